@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import host_rules, line_dedup, mixing
+from . import chat_format, host_rules, line_dedup, mixing, ppm_langid, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_ppm_langid": ppm_langid.op1_ppm_langid,
+        "op4_chat_format": chat_format.op4_chat_format,
         "op6_host_rules": host_rules.op6_host_rules,
+        "op8_minimax_shards": sharding.op8_minimax_shards,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
