@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, line_dedup, mixing, ppm_langid, sharding
+from . import chat_format, host_rules, line_dedup, maxscore, mixing, ppm_langid, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_ppm_langid": ppm_langid.op1_ppm_langid,
         "op4_chat_format": chat_format.op4_chat_format,
         "op6_host_rules": host_rules.op6_host_rules,
+        "op7_maxscore": maxscore.op7_maxscore,
         "op8_minimax_shards": sharding.op8_minimax_shards,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_line_dedup": line_dedup.op10_line_dedup,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_rules": host_rules.OP6_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op6_host_rules": host_rules.OP6_SQL, "op7_maxscore": maxscore.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
