@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, line_dedup, maxscore, mixing, ppm_langid, sharding
+from . import chat_format, host_rules, line_dedup, maxscore, mixing, pieces, ppm_langid, sharding
 
 
 def queries() -> dict:
     return {
         "op1_ppm_langid": ppm_langid.op1_ppm_langid,
         "op4_chat_format": chat_format.op4_chat_format,
+        "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_host_rules": host_rules.op6_host_rules,
         "op7_maxscore": maxscore.op7_maxscore,
         "op8_minimax_shards": sharding.op8_minimax_shards,
