@@ -86,7 +86,11 @@ class Pieces(dict):
         whole = any(MARK in p.lstrip(MARK) for p in longer)
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in longer))
         self.words = re.compile(".+" if whole else f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+", re.S)
-        self.bytes_of = [bytes([int(p[1:-1], 16)]) if k == 6 else b"" if k == 3 else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds)]
+        pieces_bytes = [bytes([int(p[1:-1], 16)]) if k == 6 else b"" if k == 3 else p.replace(MARK, " ").encode() for p, k in zip(pieces, kinds)]
+
+        self.flat = np.frombuffer(b"".join(pieces_bytes), np.uint8)
+        self.sizes = np.array([len(x) for x in pieces_bytes], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def best_path(self, word: str) -> list[int]:
         """Ids of the best path, in one pass; ties go to the longer last piece."""
@@ -144,9 +148,27 @@ class Pieces(dict):
             return mark.join(b"".join(map(self.__getitem__, self.words.findall(part.replace(" ", MARK)))) for part in text.split(MARK))
         return b"".join(map(self.__getitem__, self.words.findall(text.replace(" ", MARK))))
 
-    def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-        return out[1:] if self.prefix and out.startswith(" ") else out
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts of lists of ids, offsets[i] to offsets[i + 1] in one array, put together as one buffer of bytes."""
+        sizes = self.sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = self.flat[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])]
+        bounds = ends[offsets]
+        if self.prefix:  # the space that stands before a text goes again
+            lead = bounds[:-1][bounds[1:] > bounds[:-1]]
+            lead = lead[out[lead] == 32]
+            keep = np.ones(len(out), bool)
+            keep[lead] = False
+            bounds, out = bounds - np.searchsorted(lead, bounds), out[keep]
+        whole = out.tobytes()
+        begins = bounds[:-1][bounds[:-1] < len(out)]
+        try:
+            whole.decode()
+            if not ((out[begins] & 0xC0) == 0x80).any():
+                return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(whole)).cast(pa.string())
+        except UnicodeDecodeError:
+            pass
+        return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.string())
 
 
 _built: dict[int, Pieces] = {}
@@ -199,9 +221,10 @@ def decode(df: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: str
     def run(batches):
         p = _ready(model)
         for batch in batches:
-            ids = batch.column("_ids")
-            texts = [p.decode(x) if x else "" for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, text_col])
+            ids = batch.column("_ids").cast(pa.large_list(pa.int32())).fill_null([])
+            offsets = ids.offsets.to_numpy()
+            texts = p.decode(ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts], names=[*keep, text_col])
 
     return src.mapInArrow(run, schema)
 

@@ -50,7 +50,7 @@ def test_real_model_round_trip_and_library_decodes():
     normal = [(x, y) for x, y, k in zip(model["pieces"], model["scores"], model["kinds"]) if k in (1, 4)]
     for t in ODD + ["The quick brown fox jumps over the lazy dog."]:
         ids = np.frombuffer(p.encode(t), "<i4").tolist()
-        assert p.decode(ids) == t
+        assert p.decode(np.array(ids, np.int32), np.array([0, len(ids)])).to_pylist() == [t]
         if s.MARK not in t and "\0" not in t:
             assert lib.decode(ids) == t
     for w in ("▁jumps", "▁internationalization", "xyz▁▁▁q"):
@@ -58,6 +58,13 @@ def test_real_model_round_trip_and_library_decodes():
         assert got == best_by_search(w, normal, p.unknown_score)
 
 
+def test_ids_that_are_no_text():
+    p = s.Pieces(s.load_model())
+    lone = p.byte_ids[0xE6]
+    got = p.decode(np.array([lone, lone, p.byte_ids[0xA1], p.byte_ids[0x61]], np.int32), np.array([0, 1, 1, 4]))
+    assert got.to_pylist() == ["\ufffd", "", "\ufffda"]
+
+
 def test_spark_round_trip(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*ODD, None, *ODD])], "doc_id long, text string, _ids string")
     coded = s.encode(df)
