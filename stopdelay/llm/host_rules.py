@@ -87,8 +87,13 @@ def judged(measured: DataFrame, host_col: str = "source", max_rate: float = 0.5)
 
 
 def quality_filter(docs: DataFrame, host_col: str = "source") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    return judged(text_measures(docs), host_col).where("_kept").select(*docs.columns)
+    """The documents that pass, with the columns they came with.
+
+    The measures are written before they are judged: two passes follow, and a filter on them would else be pushed below
+    the steps that make them and repeat those for every use.
+    """
+    measured = staged(text_measures(docs).select(*docs.columns, "_n_words", "_n_repeat_words"))
+    return judged(measured, host_col).where("_kept").select(*docs.columns)
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,10 +103,11 @@ def sized_docs(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each whole round that takes a document, and one with
-    the first words of a document whose last round ends within it. Documents that the mix doesn't take are gone."""
+    the first words of a document whose last round ends within it. Documents that the mix doesn't take are gone; rows that
+    repeat an id and its text are taken together, as one row's rounds."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    taken = mix(sized_docs(docs, seed)).select(F.col("doc_id").alias("_id"), F.col("_order").alias("_o"), "size", "taken").distinct()
-    out = docs.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", text))
+    taken = mix(sized_docs(docs, seed)).select(F.col("doc_id").alias("_id"), F.col("_order").alias("_o"), "size", "taken").groupBy("_id", "_o").agg(F.first("size").alias("size"), F.sum("taken").alias("taken"))
+    out = docs.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", text)).dropDuplicates(["doc_id", "_order"])
     out = out.join(taken, out["doc_id"].eqNullSafe(taken["_id"]) & (out["_order"] == taken["_o"])).where("taken > 0")
     part = F.col("taken") % F.col("size")
     whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))

@@ -29,6 +29,7 @@ from .shared import small_batches, staged, table
 #: Cells of the frequency sketch and bits of the row filters: fixed sizes, whatever the input. They order and thin out
 #: the work and never decide a result.
 CELLS, SLICES, FILTER_BITS = 1 << 22, 64, 1 << 26
+PIECE_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -62,6 +63,17 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndar
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Fewer than k words are one shingle, none is none.
     """
+    bounds, tokens, at = [np.zeros(1, np.int64)], [], 0
+    while at < len(offsets) - 1:  # some texts at a time, so that the memory follows the longest one
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE_BYTES, side="right")) - 1)
+        b, t = _piece(offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]], k)
+        bounds.append(b[1:] + bounds[-1][-1])
+        tokens.append(t)
+        at = to
+    return np.concatenate(bounds), np.concatenate([np.zeros(0, np.uint64), *tokens])
+
+
+def _piece(offsets: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     n_docs = len(offsets) - 1
     if not len(data):
         return np.zeros(n_docs + 1, np.int64), np.zeros(0, np.uint64)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, line_dedup, maxscore, mixing, ngram_join, pieces, ppm_langid, sharding
+from . import chat_format, host_rules, line_dedup, maxscore, mixing, ngram_join, page_text, pieces, ppm_langid, sharding
 
 
 def queries() -> dict:
     return {
         "op1_ppm_langid": ppm_langid.op1_ppm_langid,
+        "op2_page_text": page_text.op2_page_text,
         "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_chat_format": chat_format.op4_chat_format,
         "op5_sentencepiece": pieces.op5_sentencepiece,
