@@ -14,6 +14,8 @@ from .shared import WORD, staged, table, words
 
 #: What counts as a symbol.
 SYMBOL = r"[#*$%&|<>]"
+#: So many rejected hosts at most, some MB, go to all tasks.
+BROADCAST_HOSTS = 100_000
 
 
 def text_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -78,7 +80,9 @@ def judged(measured: DataFrame, host_col: str = "source", max_rate: float = 0.5)
     Only hosts that were rejected are joined. An empty table gives an empty result.
     """
     measured = measured.withColumn("_base_failed", base_failed())
-    bad = host_verdicts(measured, host_col, max_rate).where(~F.col("_host_ok")).select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_bad"))
+    bad = staged(host_verdicts(measured, host_col, max_rate).where(~F.col("_host_ok")).select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_bad")))
+    if bad.count() <= BROADCAST_HOSTS:  # else texts are shuffled to the hosts
+        bad = F.broadcast(bad)
     return (
         measured.join(bad, measured[host_col].eqNullSafe(bad["_bad_host"]), "left")
         .withColumn("_kept", ~F.col("_base_failed") & F.col("_bad").isNull())
