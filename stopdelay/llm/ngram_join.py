@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged, table
+from .shared import discard, small_batches, staged, table
 
 #: Cells of the frequency sketch and bits of the row filters: fixed sizes, whatever the input. They order and thin out
 #: the work and never decide a result.
@@ -224,6 +224,60 @@ def _postings(k: int, percent: int, shared):
     return run
 
 
+def _cell_counts(batches):
+    """The filter cells of tokens, in slices: each cell once, or twice if this task has met it more than once."""
+    width = FILTER_BITS // SLICES
+
+    def out(held):
+        cells, count = np.unique(np.concatenate(held), return_counts=True)
+        cells = np.repeat(cells, np.minimum(count, 2))
+        cuts = np.searchsorted(cells, np.arange(SLICES + 1) * width)
+        full = [i for i in range(SLICES) if cuts[i] < cuts[i + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(cells[cuts[i] : cuts[i + 1]] - i * width).astype("<u4").tobytes() for i in full], pa.binary())], names=["slice", "cells"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch.column("token").to_numpy() & (FILTER_BITS - 1))
+        size += len(held[-1])
+        if size > 2_000_000:
+            yield out(held)
+            held, size = [], 0
+    if held:
+        yield out(held)
+
+
+def _met_twice(batches):
+    """A bit for each cell of a slice that came more than once."""
+    count: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, blob in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist()):
+            c = np.bincount(np.frombuffer(blob, "<u4"), minlength=FILTER_BITS // SLICES)
+            count[i] = np.minimum(2, count.get(i, 0) + c).astype(np.uint8)
+    for i, c in count.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(c > 1, bitorder="little").tobytes()], pa.binary())], names=["slice", "cells"])
+
+
+def _shared_tokens(post: DataFrame) -> DataFrame:
+    """post without most of the tokens that stand in one list only: a filter of fixed size, by cells that two rows share.
+
+    It keeps every token of two rows; where there are many more tokens than bits it keeps the others as well, which then
+    fall out by an exact count.
+    """
+    kind = "slice int, cells binary"
+    counts = post.select("token").mapInArrow(_cell_counts, kind).repartition("slice").mapInArrow(_met_twice, kind)
+    bitmap = np.zeros((SLICES, FILTER_BITS // SLICES // 8), np.uint8)
+    for r in counts.toLocalIterator():
+        bitmap[r["slice"]] = np.frombuffer(r["cells"], np.uint8)
+    shared = post.sparkSession.sparkContext.broadcast(bitmap.ravel())
+
+    def run(batches):
+        for batch in batches:
+            bit = batch.column("token").to_numpy() & (FILTER_BITS - 1)
+            yield batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+
+    return post.mapInArrow(run, post.schema)
+
+
 def _sets(k: int, shared):
     def run(batches):
         for batch in batches:
@@ -331,8 +385,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     model = spark.sparkContext.broadcast((_frequency_levels(measured), _row_filter(nodes, "rep")))
     post = docs.select("text", _bit("doc_id").alias("bit")).mapInArrow(_postings(k, percent, model), "token long, node long, n int, pos int, common int")
     post = staged(post)
+    small_batches(spark, 20_000)  # rows of numbers
+    kept = staged(_shared_tokens(post))
+    small_batches(spark)
+    discard(post)
+    post = kept
     heads = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.struct("common", "n", "node", "pos")).alias("head")).where("lo <> hi").select("token", "head")
     shared = staged(post.join(heads, "token"))
+    discard(post)
     whole = 100 + percent
     fits = whole * F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= percent * (F.col("n") + F.col("head.n"))
     stars = staged(shared.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
