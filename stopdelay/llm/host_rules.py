@@ -79,7 +79,8 @@ def judged(measured: DataFrame, host_col: str = "source", max_rate: float = 0.5)
 
     Only hosts that were rejected are joined. An empty table gives an empty result.
     """
-    measured = measured.withColumn("_base_failed", base_failed())
+    if "_base_failed" not in measured.columns:
+        measured = measured.withColumn("_base_failed", base_failed())
     bad = staged(host_verdicts(measured, host_col, max_rate).where(~F.col("_host_ok")).select(F.col("_host").alias("_bad_host"), F.lit(True).alias("_bad")))
     if bad.count() <= BROADCAST_HOSTS:  # else texts are shuffled to the hosts
         bad = F.broadcast(bad)
@@ -93,10 +94,10 @@ def judged(measured: DataFrame, host_col: str = "source", max_rate: float = 0.5)
 def quality_filter(docs: DataFrame, host_col: str = "source") -> DataFrame:
     """The documents that pass, with the columns they came with.
 
-    The measures are written before they are judged: two passes follow, and a filter on them would else be pushed below
-    the steps that make them and repeat those for every use.
+    Texts are read twice, for the hosts' rates and for the documents that pass. The base rule's result goes through an
+    array of one, as a filter on it would else be pushed below the steps that measure and repeat those for every use.
     """
-    measured = staged(text_measures(docs).select(*docs.columns, "_n_words", "_n_repeat_words"))
+    measured = text_measures(docs).select(*docs.columns, F.inline(F.array(F.struct(base_failed().alias("_base_failed")))))
     return judged(measured, host_col).where("_kept").select(*docs.columns)
 
 
