@@ -1,6 +1,6 @@
 """All registered queries of the stop tables and logs."""
 
-from . import history
+from . import cleaning, history
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "history"]
+__all__ = ["QUERIES", "SQL", "cleaning", "history"]
