@@ -316,22 +316,24 @@ def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent:
     rows = docs.select("text", _bit("doc_id").alias("bit"))
     sets = rows.mapInArrow(_sets(k, bitmap), "node long, tokens binary").dropDuplicates(["node"])
     a, b = (sets.select(F.col("node").alias(end), F.col("tokens").alias(t)) for end, t in (("a", "x"), ("b", "y")))
-    return staged(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"))
+    out = staged(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"))
+    bitmap.destroy()
+    return out
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node on an edge; the root is the component's least node. Large-star and small-star steps
-    until nothing changes; each is two shuffles, and a table written between."""
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    """(node, root) for every node on an edge; the root is the component's least node. A large-star and a small-star step
+    by turns until nothing changes, with a table written for each round."""
+    edges, state = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = staged(small)
+        before, edges = edges, staged(small)
+        if state is not None:
+            discard(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
@@ -368,11 +370,10 @@ def _across(shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: its id, n_shingles, component_id, and n_links.
+    """A row per document: its id, n_shingles and component_id.
 
     Documents link if 100 x intersection >= percent x union of their shingle sets; component_id is the least id that
-    links reach, n_links the number of verified links of the document's set (equal sets apart), of which there are
-    enough to hold its component together. Null and empty texts, and texts without a word, link with nothing. Rows
+    links reach. Null and empty texts, and texts without a word, link with nothing. Rows
     are documents: one that repeats another's id is another document; one without an id has its component's least id,
     null if there is none. Other columns are not read.
     """
@@ -388,6 +389,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     small_batches(spark, 20_000)  # rows of numbers
     kept = staged(_shared_tokens(post))
     small_batches(spark)
+    model.destroy()
     discard(post)
     post = kept
     heads = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.struct("common", "n", "node", "pos")).alias("head")).where("lo <> hi").select("token", "head")
@@ -400,12 +402,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     more = _links(docs, nodes, staged(_across(shared.drop("head"), links, percent)), k, percent)
     edges = links.union(more)
     roots = _components(edges)
-    ids = nodes.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
-    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    of_node = nodes.join(roots, "node", "left").join(ids, "root", "left").join(ends, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"), "n_links")
-    out = rows.where("n > 0").join(of_node, "node", "left").select("doc_id", "n", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = out.union(rows.where("n = 0").select("doc_id", "n", "doc_id", F.lit(0).cast("long")))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    joined = nodes.join(roots, "node")
+    ids = joined.groupBy("root").agg(F.min("rep").alias("least"))
+    of_node = staged(joined.join(ids, "root").select("node", "least"))
+    # sets without links have their own documents' least id
+    alone = nodes.join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.where("n > 0").join(alone, "node", "left").select("doc_id", "n", "component_id")
+    out = out.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -419,4 +423,4 @@ def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
