@@ -54,15 +54,15 @@ def rank_metrics(df: DataFrame, y: str, prob: str, by: Sequence[str] = ()) -> Da
     zero = F.lit(0.0)
     sums = sums.select(
         *keys, "_bucket", F.coalesce(F.sum("p").over(lower), zero).alias("_p0"), F.coalesce(F.sum("n").over(lower), zero).alias("_n0"),
-        F.sum("p").over(everything).alias("_P"), F.sum("n").over(everything).alias("_N"),
+        F.sum("p").over(everything).alias("_all_pos"), F.sum("n").over(everything).alias("_all_neg"),
     )
     inside = W.partitionBy(*keys, "_bucket").orderBy("_score").rowsBetween(W.unboundedPreceding, -1)
     s = scores.withColumns({"_p": F.coalesce(F.sum("_pos").over(inside), zero), "_n": F.coalesce(F.sum("_neg").over(inside), zero)}).join(sums, [*keys, "_bucket"])
     below_neg = F.col("_n0") + F.col("_n")
-    above_pos, above_neg = F.col("_P") - F.col("_p0") - F.col("_p"), F.col("_N") - below_neg  # this score and higher ones
-    both = (F.max("_P") > 0) & (F.max("_N") > 0)
-    auc = F.sum(F.col("_pos") * (below_neg + F.col("_neg") / 2)) / F.max(F.col("_P") * F.col("_N"))
-    ap = F.sum(F.col("_pos") * above_pos / (above_pos + above_neg)) / F.max("_P")
+    above_pos, above_neg = F.col("_all_pos") - F.col("_p0") - F.col("_p"), F.col("_all_neg") - below_neg  # this score and higher ones
+    both = (F.max("_all_pos") > 0) & (F.max("_all_neg") > 0)
+    auc = F.sum(F.col("_pos") * (below_neg + F.col("_neg") / 2)) / F.max(F.col("_all_pos") * F.col("_all_neg"))
+    ap = F.sum(F.col("_pos") * above_pos / (above_pos + above_neg)) / F.max("_all_pos")
     return s.groupBy(*keys).agg(F.when(both, auc).alias("roc_auc"), F.when(both, ap).alias("pr_auc"))
 
 

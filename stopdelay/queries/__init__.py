@@ -1,6 +1,6 @@
 """All registered queries of the stop tables and logs."""
 
-from . import cleaning, history
+from . import cleaning, history, live
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cleaning", "history"]
+__all__ = ["QUERIES", "SQL", "cleaning", "history", "live"]
