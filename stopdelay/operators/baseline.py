@@ -48,7 +48,7 @@ def walk_forward_folds(spark: SparkSession, val_months: list[str], window: int =
     """(val_month, train_month): the `window` months before each validation month."""
     v = spark.createDataFrame([(m,) for m in val_months], "val_month string").withColumn("_d", F.to_date(F.concat("val_month", F.lit("-01"))))
     months = F.sequence(F.add_months("_d", -window), F.add_months("_d", -1), F.expr("interval 1 month"))
-    return v.select("val_month", F.date_format(F.explode(months), "yyyy-MM").alias("train_month"))
+    return v.select("val_month", F.explode(F.transform(months, lambda m: F.date_format(m, "yyyy-MM"))).alias("train_month"))
 
 
 #: What a challenger may lose.
