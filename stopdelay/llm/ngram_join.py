@@ -133,27 +133,42 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A slice's counts: all of them, or places and counts of those above 0, whichever is shorter."""
+    at = np.flatnonzero(counts)
+    if 3 * len(at) < 2 * len(counts):
+        return b"s" + at.astype("<u4").tobytes() + counts[at].astype("<i8").tobytes()
+    return b"d" + counts.astype("<i8").tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    if blob[:1] == b"d":
+        return np.frombuffer(blob, "<i8", offset=1)
+    n = (len(blob) - 1) // 12
+    out = np.zeros(CELLS // SLICES, np.int64)
+    out[np.frombuffer(blob, "<u4", n, 1)] = np.frombuffer(blob, "<i8", n, 1 + 4 * n)
+    return out
+
+
 def _measure(k: int):
     def run(batches):
-        sketch, held, size = np.zeros(CELLS, np.int64), [], 0
+        sketch, held, size = np.zeros(CELLS, np.int32), [], 0
         none = lambda n, kind: pa.nulls(n, kind)
         names = ["doc_id", "n", "node", "slice", "cells"]
         for batch in batches:
             bounds, token = shingle_sets(*_texts(batch), k)
             held.append(_cells(token))
             size += len(token)
-            if size > 2_000_000:
-                sketch += np.bincount(np.concatenate(held), minlength=CELLS)
+            if size > 1_000_000:
+                np.add(sketch, np.bincount(np.concatenate(held), minlength=CELLS), out=sketch, casting="unsafe")
                 held, size = [], 0
             n = len(bounds) - 1
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(_nodes(bounds, token).view(np.int64)), none(n, pa.int32()), none(n, pa.binary())], names=names)
         if held:
-            sketch += np.bincount(np.concatenate(held), minlength=CELLS)
+            np.add(sketch, np.bincount(np.concatenate(held), minlength=CELLS), out=sketch, casting="unsafe")
         if sketch.any():
-            # a task's count in a cell stops at 65535: the order of what is that common doesn't matter
-            parts = np.minimum(sketch, 65535).astype("<u2").reshape(SLICES, -1)
-            for i, part in enumerate(parts):
-                yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int64()), pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=names)
+            for i, part in enumerate(sketch.reshape(SLICES, -1)):
+                yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int64()), pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], names=names)
 
     return run
 
@@ -163,11 +178,10 @@ def _added(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, blob in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist()):
-            # the tasks' own counts are short, sums of them are long
-            part = np.frombuffer(blob, "<u2" if len(blob) * SLICES == 2 * CELLS else "<i8")
-            total[i] = total[i] + part if i in total else part.astype(np.int64)
+            part = _unpacked(blob)
+            total[i] = total[i] + part if i in total else part
     for i, cells in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names=["slice", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(cells)], pa.binary())], names=["slice", "cells"])
 
 
 def _frequency_levels(measured: DataFrame) -> np.ndarray:
@@ -177,7 +191,7 @@ def _frequency_levels(measured: DataFrame) -> np.ndarray:
     sums = parts.repartition("slice", "salt").select("slice", "cells").mapInArrow(_added, kind)
     out = np.zeros((SLICES, CELLS // SLICES), np.uint8)
     for r in sums.repartition("slice").mapInArrow(_added, kind).toLocalIterator():
-        out[r["slice"]] = np.minimum(255, np.round(8 * np.log2(1 + np.frombuffer(r["cells"], "<i8")))).astype(np.uint8)
+        out[r["slice"]] = np.minimum(255, np.round(8 * np.log2(1 + _unpacked(r["cells"])))).astype(np.uint8)
     return out.ravel()
 
 
@@ -224,58 +238,70 @@ def _postings(k: int, percent: int, shared):
     return run
 
 
-def _cell_counts(batches):
-    """The filter cells of tokens, in slices: each cell once, or twice if this task has met it more than once."""
-    width = FILTER_BITS // SLICES
+def _sliced(slices: int):
+    """Tokens in slices of their range, each once, or twice if this task has met it more than once."""
 
     def out(held):
-        cells, count = np.unique(np.concatenate(held), return_counts=True)
-        cells = np.repeat(cells, np.minimum(count, 2))
-        cuts = np.searchsorted(cells, np.arange(SLICES + 1) * width)
-        full = [i for i in range(SLICES) if cuts[i] < cuts[i + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([(cells[cuts[i] : cuts[i + 1]] - i * width).astype("<u4").tobytes() for i in full], pa.binary())], names=["slice", "cells"])
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        token = np.repeat(token, np.minimum(count, 2))
+        of = (token >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
+        full, first = np.unique(of, return_index=True)
+        ends = np.append(first[1:], len(token))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([token[x:y].tobytes() for x, y in zip(first.tolist(), ends.tolist())], pa.binary())], names=["slice", "tokens"])
 
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch.column("token").to_numpy() & (FILTER_BITS - 1))
-        size += len(held[-1])
-        if size > 2_000_000:
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column("token").to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size > 500_000:
+                yield out(held)
+                held, size = [], 0
+        if held:
             yield out(held)
-            held, size = [], 0
-    if held:
-        yield out(held)
+
+    return run
 
 
 def _met_twice(batches):
-    """A bit for each cell of a slice that came more than once."""
-    count: dict[int, np.ndarray] = {}
+    """The tokens that came more than once, slice by slice, as the rows are in their order."""
+    now, held = None, []
+
+    def out():
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token[count > 1].view(np.int64))], names=["token"])
+
     for batch in batches:
-        for i, blob in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist()):
-            c = np.bincount(np.frombuffer(blob, "<u4"), minlength=FILTER_BITS // SLICES)
-            count[i] = np.minimum(2, count.get(i, 0) + c).astype(np.uint8)
-    for i, c in count.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(c > 1, bitorder="little").tobytes()], pa.binary())], names=["slice", "cells"])
+        for i, blob in zip(batch.column("slice").to_pylist(), batch.column("tokens").to_pylist()):
+            if i != now and held:
+                yield out()
+                held = []
+            now = i
+            held.append(np.frombuffer(blob, np.uint64))
+    if held:
+        yield out()
 
 
 def _shared_tokens(post: DataFrame) -> DataFrame:
-    """post without most of the tokens that stand in one list only: a filter of fixed size, by cells that two rows share.
+    """post without most of the tokens that stand in one list only, written.
 
-    It keeps every token of two rows; where there are many more tokens than bits it keeps the others as well, which then
-    fall out by an exact count.
+    Tokens are counted in packed slices of some 100,000, without what belongs to them. Those that came twice make a
+    filter of fixed size for the postings; what it lets through beside them falls out by the exact count that follows.
     """
-    kind = "slice int, cells binary"
-    counts = post.select("token").mapInArrow(_cell_counts, kind).repartition("slice").mapInArrow(_met_twice, kind)
-    bitmap = np.zeros((SLICES, FILTER_BITS // SLICES // 8), np.uint8)
-    for r in counts.toLocalIterator():
-        bitmap[r["slice"]] = np.frombuffer(r["cells"], np.uint8)
-    shared = post.sparkSession.sparkContext.broadcast(bitmap.ravel())
+    slices = max(SLICES, post.count() // 200_000)
+    packed = post.select("token").mapInArrow(_sliced(slices), "slice long, tokens binary")
+    twice = staged(packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_met_twice, "token long"))
+    bitmap = post.sparkSession.sparkContext.broadcast(_row_filter(twice, "token"))
 
     def run(batches):
         for batch in batches:
-            bit = batch.column("token").to_numpy() & (FILTER_BITS - 1)
-            yield batch.filter(pa.array((shared.value[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+            yield _chosen(batch, bitmap.value).select(names)
 
-    return post.mapInArrow(run, post.schema)
+    names = post.columns
+    out = staged(post.withColumn("bit", _bit("token")).mapInArrow(run, post.schema))
+    bitmap.destroy()
+    discard(twice)
+    return out
 
 
 def _sets(k: int, shared):
@@ -377,6 +403,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     are documents: one that repeats another's id is another document; one without an id has its component's least id,
     null if there is none. Other columns are not read.
     """
+    out, tables = _found(docs, k, percent, id_col, text_col)
+    out = staged(out)
+    discard(*tables)
+    return out
+
+
+def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """jaccard_components' result, and the tables that it reads."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -387,7 +421,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     post = docs.select("text", _bit("doc_id").alias("bit")).mapInArrow(_postings(k, percent, model), "token long, node long, n int, pos int, common int")
     post = staged(post)
     small_batches(spark, 20_000)  # rows of numbers
-    kept = staged(_shared_tokens(post))
+    kept = _shared_tokens(post)
     small_batches(spark)
     model.destroy()
     discard(post)
@@ -399,17 +433,19 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     fits = whole * F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= percent * (F.col("n") + F.col("head.n"))
     stars = staged(shared.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
     links = _links(docs, nodes, stars, k, percent)
-    more = _links(docs, nodes, staged(_across(shared.drop("head"), links, percent)), k, percent)
-    edges = links.union(more)
-    roots = _components(edges)
+    across = staged(_across(shared.drop("head"), links, percent))
+    discard(shared, stars)
+    more = _links(docs, nodes, across, k, percent)
+    roots = _components(links.union(more))
     joined = nodes.join(roots, "node")
     ids = joined.groupBy("root").agg(F.min("rep").alias("least"))
     of_node = staged(joined.join(ids, "root").select("node", "least"))
+    discard(links, across, more)
     # sets without links have their own documents' least id
     alone = nodes.join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     out = rows.where("n > 0").join(alone, "node", "left").select("doc_id", "n", "component_id")
     out = out.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), [measured, nodes, of_node]
 
 
 def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
