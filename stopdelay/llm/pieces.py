@@ -23,7 +23,7 @@ from .shared import small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Encodings of words that a worker remembers, twice so many at most, of at most so many characters.
-REMEMBERED, WORD_CHARS = 1 << 18, 48
+REMEMBERED, WORD_CHARS = 1 << 17, 48
 
 
 def load_model(path: str = MODEL) -> dict:
@@ -123,6 +123,10 @@ class Pieces(dict):
         ids.reverse()
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def byte_pieces(self, ch: str) -> list[int]:
         return [self.byte_ids[b] for b in ch.encode()] if self.byte_ids else [self.unknown]
 
@@ -206,6 +210,7 @@ def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: st
             offsets = np.cumsum([0, *[len(x) // 4 for x in coded]]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], names=[*keep, ids_col])
+        p.forget()  # the worker lives on
 
     return src.mapInArrow(run, schema)
 
