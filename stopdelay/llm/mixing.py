@@ -106,11 +106,11 @@ def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     the first words of a document whose last round ends within it. Documents that the mix doesn't take are gone; rows that
     repeat an id and its text are taken together, as one row's rounds."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    taken = mix(sized_docs(docs, seed)).select(F.col("doc_id").alias("_id"), F.col("_order").alias("_o"), "size", "taken").groupBy("_id", "_o").agg(F.first("size").alias("size"), F.sum("taken").alias("taken"))
+    taken = mix(sized_docs(docs, seed)).groupBy(F.col("doc_id").alias("_id"), F.col("_order").alias("_o")).agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken"))
     out = docs.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", text)).dropDuplicates(["doc_id", "_order"])
-    out = out.join(taken, out["doc_id"].eqNullSafe(taken["_id"]) & (out["_order"] == taken["_o"])).where("taken > 0")
-    part = F.col("taken") % F.col("size")
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    out = out.join(taken, out["doc_id"].eqNullSafe(taken["_id"]) & (out["_order"] == taken["_o"])).where("_taken > 0")
+    part = F.col("_taken") % F.col("_size")
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
     out = out.withColumn("_words", F.explode(F.when(part > 0, F.array_append(whole, part)).otherwise(whole)))
     pieces = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
