@@ -367,7 +367,7 @@ def _components(edges: DataFrame) -> DataFrame:
 
 
 def _across(shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different labels, by token and size.
+    """Candidate pairs of different labels, by token and size, written.
 
     The smaller set of a pair is looked up: its token stands within the shorter prefix that sets of its size or more
     need. The larger one looks into the sizes that its own place in the prefix still allows. In each list the label with
@@ -375,24 +375,28 @@ def _across(shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     """
     label = links.groupBy(F.col("b").alias("node")).agg(F.max("a").alias("label"))
     s = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # a token that one label has to itself, as most have in groups of near copies, leads to nothing new
+    mixed = s.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    s = staged(s.join(mixed, "token"))
     whole = 100 + percent
-    bin_of = lambda n: F.floor(F.log(n.cast("double")) * 33).cast("int")
+    bin_of = lambda n: F.floor(F.log(n.cast("double")) * 12).cast("int")
     index = s.where(whole * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")).withColumn("bin", bin_of(F.col("n")))
-    # the same token is in a node's postings once, but for rows of copies that a row filter let through
-    index = index.select("token", "bin", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl")).distinct()
+    index = index.select("token", "bin", F.col("node").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("label").alias("yl"))
     main = index.groupBy("token", "bin", "yl").agg(F.count(F.lit(1)).alias("c")).groupBy("token", "bin").agg(F.max(F.struct("c", "yl")).alias("m")).select("token", "bin", F.col("m.yl").alias("main"))
     index = index.join(main, ["token", "bin"]).withColumn("side", (F.col("yl") == F.col("main")).cast("int")).drop("main")
     low = F.ceil(percent * F.col("n") / 100).cast("int")
     high = F.least(F.col("n"), F.floor(whole * (F.col("n") - F.col("pos")) / percent - F.col("n")).cast("int"))
     probe = s.withColumn("low", low).withColumn("high", high).where("low <= high and low > 0")
     probe = probe.withColumn("bin", F.explode(F.sequence(bin_of(F.col("low")), bin_of(F.col("high")))))
-    probe = probe.select("token", "bin", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl")).distinct()
+    probe = probe.select("token", "bin", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("label").alias("xl"))
     probe = probe.join(main, ["token", "bin"]).withColumn("side", F.explode(F.when(F.col("xl") == F.col("main"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     fits = (
         (F.col("xl") != F.col("yl")) & ((F.col("yn") < F.col("xn")) | ((F.col("yn") == F.col("xn")) & (F.col("y") < F.col("x"))))
         & (whole * F.least(F.col("xn") - F.col("xp"), F.col("yn") - F.col("yp")) >= percent * (F.col("xn") + F.col("yn")))
     )
-    return probe.join(index, ["token", "bin", "side"]).where(fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    out = staged(probe.join(index, ["token", "bin", "side"]).where(fits).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+    discard(s)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -433,7 +437,7 @@ def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     fits = whole * F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= percent * (F.col("n") + F.col("head.n"))
     stars = staged(shared.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
     links = _links(docs, nodes, stars, k, percent)
-    across = staged(_across(shared.drop("head"), links, percent))
+    across = _across(shared.drop("head"), links, percent)
     discard(shared, stars)
     more = _links(docs, nodes, across, k, percent)
     roots = _components(links.union(more))
