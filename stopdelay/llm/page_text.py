@@ -1,10 +1,10 @@
 """HTML extraction by differencing pages of neighbouring URLs.
 
 Pages are cut into text lines by their block elements, and what stands in menus, footers, forms and the like by its
-markup is left out. The lines outside any article are then differenced: pages of a host stand by URL path, each is
-paired with the neighbour whose path it shares most of, their lines are aligned by a longest common subsequence, and
-the lines they share are the site's and go. Lines inside an article element are the page's own and stay even if a copy
-of the page is its neighbour.
+markup is left out. The lines outside any article are then differenced, on every page: pages of a host stand by URL
+path, each is paired with the neighbour whose path it shares most of, their lines are aligned by a longest common
+subsequence, and the lines they share are the site's and go. Lines inside an article element are the page's own and
+stay whatever its neighbour is.
 """
 
 from __future__ import annotations
@@ -164,17 +164,18 @@ def _common(a: str, b: str) -> int:
 
 
 def main_text(lines: list[str], inside: list[bool], neighbours: list[list[str]]) -> str:
-    """The page's own lines. neighbours: the open lines of the pages to difference with, nearest first.
+    """The page's own lines, in page order: those inside an article and the open ones that no neighbour shares.
 
-    A neighbour whose open lines are all the same says nothing and the next one is taken; without any the lines stay.
+    neighbours: the open lines of the pages of other text to difference with, nearest first. A page without lines of an
+    article would be empty where a neighbour has all its lines, so the next one is taken; without any the lines stay.
     """
-    if any(inside):
-        return "\n".join(x for x, own in zip(lines, inside) if own)
+    at = [i for i, own in enumerate(inside) if not own]
+    open_lines = [lines[i] for i in at]
     for other in neighbours:
-        if other != lines:
-            shared = shared_lines(lines, other)
-            if not all(shared):
-                return "\n".join(x for x, gone in zip(lines, shared) if not gone)
+        shared = shared_lines(open_lines, other)
+        if len(at) < len(lines) or not all(shared):
+            gone = {i for i, x in zip(at, shared) if x}
+            return "\n".join(x for i, x in enumerate(lines) if i not in gone)
     return "\n".join(lines)
 
 
@@ -196,7 +197,7 @@ def _difference(batches):
         return one is not None and two is not None and one[2:4] == two[2:4]
 
     def done(after):
-        sides = [(-_common(now[4], x[4]), k, [y for y, own in zip(x[5], x[6]) if not own]) for k, x in enumerate((before, after)) if near(now, x)]
+        sides = [(-_common(now[4], x[4]), k, [y for y, own in zip(x[5], x[6]) if not own]) for k, x in enumerate((before, after)) if near(now, x) and x[5:7] != now[5:7]]
         text = main_text(now[5], now[6], [x for _, _, x in sorted(sides, key=lambda s: s[:2])])
         return now[0], now[1], text, len(text)
 

@@ -58,6 +58,15 @@ def test_differencing(spark):
     assert p.extract_text(df.limit(0)).count() == 0
 
 
+def test_open_lines_beside_an_article(spark):
+    """Open lines are differenced on pages with an article too: the site's go, a headline or lead of the page stays in its place."""
+    page = lambda i: f"<p>The Site</p><h1>Head {i}</h1><article><p>Body {i}</p></article><p>Lead {i}</p><p>Since 1999</p>"
+    rows = [(i, f"http://h.example/a/{i}", page(i)) for i in range(3)]
+    rows += [(10 + i, f"http://g.example/a/{i}", f"<p>The Site</p><article><p>Body {i}</p></article>") for i in range(2)]
+    got = {r.page_id: r.text for r in p.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Head {i}\nBody {i}\nLead {i}" for i in range(3)}, 10: "Body 0", 11: "Body 1"}
+
+
 def test_pages_of_the_table(spark):
     """The articles of the given pages, by a plainer way that their simple markup allows."""
     d = "/root/testdata/sf0.001"
