@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .shared import small_batches, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?<![\w-])hidden(?![\w-])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: In a style: comments, quoted strings and brackets, whose semicolons and colons part nothing.
+QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
 #: Elements by what they do to a text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,18 +38,57 @@ MARKED = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay dialog toolbar pagination pager copyright".split()
 )
 EXEMPT = frozenset("html body article main h1".split())
+#: Which open elements a start tag ends by itself, each with the elements across which it doesn't.
+ENDS_P = frozenset(
+    "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main "
+    "menu nav ol p pre section summary table ul xmp".split()
+)
+SCOPE = frozenset("caption table td th object template".split())
+APART = BLOCK | LEFT_OUT | {"header"}
+IMPLIED = {
+    "a": (frozenset(["a"]), APART),
+    "li": (frozenset(["li"]), APART - {"address", "div", "p"}),
+    **{t: (frozenset(["dd", "dt"]), APART - {"address", "div", "p"}) for t in ("dd", "dt")},
+    **{t: (frozenset(["td", "th", "caption"]), frozenset(["tr", "table", "template"])) for t in ("td", "th")},
+    "tr": (frozenset(["tr", "caption"]), frozenset(["table", "template"])),
+    **{t: (frozenset(["tbody", "thead", "tfoot", "caption"]), frozenset(["table", "template"])) for t in ("tbody", "thead", "tfoot")},
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
+}
+P = (frozenset(["p"]), SCOPE | {"button"})
+#: Across which an end tag ends nothing: of a table's part, of a list's item, of another block, of anything else.
+ACROSS = {
+    **dict.fromkeys("table caption tbody thead tfoot tr td th".split(), frozenset(["table", "template"])),
+    "li": SCOPE | {"ul", "ol"},
+    "p": P[1],
+    **dict.fromkeys(("html", "body", *MAIN), frozenset()),
+}
 HOST_PAGES = 512
 
 
+def _unseen(style: str) -> bool:
+    """Whether a style's declarations hide the element; the last of a name holds, an important one before others."""
+    held: dict[str, tuple[bool, str]] = {}
+    for declaration in QUOTED.sub(" ", style).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        important = value.rstrip().endswith("important")
+        if important or not held.get(name.strip(), (False,))[0]:
+            held[name.strip()] = important, value.split("!")[0].strip()
+    return held.get("display", (0, ""))[1] == "none" or held.get("visibility", (0, ""))[1] == "hidden"
+
+
 def _left_out(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in LEFT_OUT or tag == "header" and not in_main:
         return True
     if tag in EXEMPT or not attributes:
         return False
-    if HIDDEN.search(attributes):
+    named: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        named.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or "style" in named and _unseen(named["style"]):
         return True
-    for value in ATTRIBUTE.findall(attributes):
-        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+    for name in ("class", "id", "role"):
+        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named.get(name, "")).lower()))
         if words & MARKED or "header" in words and not in_main:
             return True
     return False
@@ -60,7 +100,25 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
     inside: list[bool] = []
     held: list[str] = []
     page = page or ""
-    at, main, skip, deep = 0, 0, "", 0
+    at, main, skip = 0, 0, 0
+    stack: list[str] = []  # the open elements; from place skip - 1 on they are left out
+    count: dict[str, int] = {}
+
+    def close(tags, across):
+        """Ends the innermost open element of these with all in it, but not across some or across an article that counts."""
+        nonlocal skip
+        if not any(count.get(t) for t in tags):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i] in tags:
+                for t in stack[i:]:
+                    count[t] -= 1
+                del stack[i:]
+                if skip > i:
+                    skip = 0
+                return
+            if stack[i] in across or across and stack[i] in MAIN and not (skip and i >= skip - 1):
+                return
 
     def flush():
         if held:
@@ -78,32 +136,39 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
         if not tag:
             continue
         if m[1]:
-            if skip:
-                if tag == skip:
-                    deep -= 1
-                    if not deep:
-                        skip = ""
-                continue
+            left_out = skip
+            close((tag,), ACROSS.get(tag, SCOPE if tag in APART else APART))
+            if skip or left_out and len(stack) == left_out - 1:
+                continue  # it stood in what is left out, or ended just that
             if tag in BLOCK:
                 flush()
                 if tag in MAIN and main:
                     main -= 1
             continue
-        if tag in RAW:
+        foreign = tag in ("svg", "math") or count.get("svg") or count.get("math")
+        alone = tag in VOID or foreign and m[3].endswith("/")
+        if tag in RAW and not alone:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        if tag in ENDS_P:
+            close(*P)
+        if tag in ("tbody", "thead", "tfoot"):
+            close(*IMPLIED["tr"])
+        if tag in IMPLIED:
+            close(*IMPLIED[tag])
+        if skip and (tag in MAIN and not main or tag == "body"):
+            skip = 0  # what was left open ends here
+        if not alone:
+            stack.append(tag)
+            count[tag] = count.get(tag, 0) + 1
         if skip:
-            if tag == skip and not m[3].endswith("/"):
-                deep += 1
-            if not (tag in MAIN and not main or tag == "body"):
-                continue
-            skip = ""  # what was left open ends here
+            continue
         if tag == "br":
             held.append(" ")
-        elif tag not in VOID and _left_out(tag, m[3], main > 0):
+        elif not alone and _left_out(tag, m[3], main > 0):
             flush()
-            skip, deep = tag, 1
+            skip = len(stack)
         elif tag in BLOCK:
             flush()
             main += tag in MAIN

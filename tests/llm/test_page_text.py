@@ -43,6 +43,35 @@ def test_structure():
     assert p.page_lines("<p>&amp;amp; &#x41;&#66;</p><p> </p>")[0] == ["&amp; AB"]
 
 
+def test_hidden_is_an_attribute_or_a_declaration():
+    shown = ['style="overflow:hidden"', 'title="a hidden valley"', 'href="/hidden/valley"', 'data-hidden=1', 'style="display:none;display:block"', "title='class=ad'", 'style="background:url(x;display:none)"']
+    for x in shown:
+        assert p.page_lines(f"<article><p {x}>kept</p></article>") == (["kept"], [True]), x
+    for x in ["hidden", "HIDDEN=''", 'hidden="until-found"', 'aria-hidden="true"', 'style="color:red; Display : none !important"', "style=visibility:hidden", 'style="display:none!important;display:block"', "class=ad"]:
+        assert p.page_lines(f"<article><p {x}>gone</p><p>kept</p></article>")[0] == ["kept"], x
+
+
+def test_left_out_elements_end_where_html_ends_them():
+    for page, text in [
+        ("<article><p class=notice>no<p>a<p>b</article>", "a b"),
+        ("<article><p class=notice>no<i>no<ul><li>a</ul>b</article>", "a b"),
+        ("<article><ul><li class=share>no<li>a<ul><li class=share>no</ul>b<li>c</ul></article>", "a b c"),
+        ("<article><dl><dt class=ad>no<dd>a<dd class=ad>no<dt>b</dl></article>", "a b"),
+        ("<article><table><tr class=ad><td>no<table><tr><td>no</table>no<tr><td class=ad>no<td>a<tr><th class=ad>no<th>b<tr class=ad><td>no<tbody><tr><td>c</table>d</article>", "a b c d"),
+        ("<article><div><div class=ad>no<div>no</div></div>x</div>a</article>b", "x a b"),
+        ("<article><div><span class=ad>no</div>a</article>", "a"),
+        ("<article><section><aside>no</section>a</article><p>b", "a b"),
+        ("<article><div class=comments><article>no</div>a</article>", "a"),
+        ("<article><svg><path/><title/><g/></svg>a<svg/><p>b</article>", "a b"),
+        ("<article><div class=ad><p>no</p>no<br>no</span>no</div>a</article>", "a"),
+        ("<article><p>a</div><p>b</article>", "a b"),
+        ("<article><td class=ad>no</article><p>b", "b"),
+        ("<nav><ul><li><a>no<li>no</ul></nav><select><option>no<option>no</select>a", "a"),
+    ]:
+        assert " ".join(p.page_lines(page)[0]) == text, page
+    assert p.page_lines("<article><aside>no</article><p>b") == (["b"], [False])
+
+
 def test_differencing(spark):
     site = lambda i, body: f"<html><body><div>The Site</div>{body}<p>Since 1999 on page {i % 1}</p></body></html>"
     rows = [(i, f"http://H.example/a/{i:03}", site(i, f"<p>own {i}</p><p>more {i}</p>")) for i in range(20)]
