@@ -2,21 +2,23 @@
 
 Pages are cut into text lines by their block elements, and what stands in menus, footers, forms and the like by its
 markup is left out. The lines outside any article are then differenced, on every page: pages of a host stand by URL
-path, each is paired with the neighbour whose path it shares most of, their lines are aligned by a longest common
+path, each is paired with the nearest page of other text whose path it shares most of, their lines are aligned by a longest common
 subsequence, and the lines they share are the site's and go. Lines inside an article element are the page's own and
 stay whatever its neighbour is.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import discard, small_batches, staged, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -63,7 +65,8 @@ ACROSS = {
     "p": P[1],
     **dict.fromkeys(("html", "body", *MAIN), frozenset()),
 }
-HOST_PAGES = 512
+#: Pages of a part, on average.
+PART_PAGES = 4096
 
 
 def _unseen(style: str) -> bool:
@@ -244,41 +247,117 @@ def main_text(lines: list[str], inside: list[bool], neighbours: list[list[str]])
     return "\n".join(lines)
 
 
-PARSED = "page_id long, url string, host string, salt long, path string, lines array<string>, inside array<boolean>"
+KEY = "host string, path string, page_id long, url string, digest string"
+PARSED = f"part long, own boolean, {KEY}, lines array<string>, inside array<boolean>"
 
 
-def _parse(batches):
+def _read(batch) -> list[tuple]:
+    """Of each page its key, lines and places; the key's digest tells pages of other text."""
+    keys = zip(*[batch.column(c).to_pylist() for c in ("host", "path", "page_id", "url")])
+    out = []
+    for key, page in zip(keys, batch.column("html").to_pylist()):
+        lines, inside = page_lines(page)
+        digest = hashlib.blake2b("\n".join([*lines, "".join("01"[x] for x in inside)]).encode(), digest_size=16).hexdigest()
+        out.append(((*key, digest), lines, inside))
+    return out
+
+
+def _table(rows, schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<boolean>": pa.list_(pa.bool_())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(fields), fields)], names=[x for x, _ in fields])
+
+
+def _place(key: tuple) -> tuple:
+    """A key as Spark orders it: nulls first, texts by code point."""
+    host, path, page_id, url, digest = key
+    return host, path, page_id is not None, page_id or 0, url is not None, url or "", digest
+
+
+def _edges(batches):
+    """Of keys in order, by part: the first page and the first of other text on its host, the last and the last of other text on its host."""
+    part, held = None, None
     for batch in batches:
-        found = [page_lines(x) for x in batch.column("html").to_pylist()]
-        keep = [batch.column(c) for c in ("page_id", "url", "host", "salt", "path")]
-        yield pa.RecordBatch.from_arrays([*keep, pa.array([x for x, _ in found], pa.list_(pa.string())), pa.array([y for _, y in found], pa.list_(pa.bool_()))], names=["page_id", "url", "host", "salt", "path", "lines", "inside"])
+        rows = []
+        for at, *key in zip(*[c.to_pylist() for c in batch.columns]):
+            if at != part:
+                rows += [(part, k, *x) for k, x in enumerate(held or ()) if x]
+                part, held = at, [key, None, key, None]
+                continue
+            first, other, last, _ = held
+            if other is None and key[0] == first[0] and key[4] != first[4]:
+                held[1] = key
+            if key[0] != last[0]:
+                held[3] = None
+            elif key[4] != last[4]:
+                held[3] = last
+            held[2] = key
+        if rows:
+            yield _table(rows, f"part long, kind long, {KEY}")
+    if held:
+        yield _table([(part, k, *x) for k, x in enumerate(held) if x], f"part long, kind long, {KEY}")
+
+
+def _carried(edges: list[tuple]) -> dict[tuple, list[int]]:
+    """Which pages other parts need: the nearest of other text before a part's first page and behind its last one. edges: rows of _edges."""
+    parts: dict[int, list] = {}
+    for part, kind, *key in edges:
+        parts.setdefault(part, [None] * 4)[kind] = tuple(key)
+    out: dict[tuple, list[int]] = {}
+    for order, (mine, near, far, end) in ((sorted(parts), (0, 2, 3, 0)), (sorted(parts, reverse=True), (2, 0, 1, 2))):
+        need = None
+        for before, part in zip([None, *order], order):
+            key = parts[part][mine]
+            side = parts[before] if before is not None else None
+            if side is None or side[near][0] != key[0]:
+                need = None
+            elif side[near][4] != key[4]:
+                need = side[near]
+            elif side[far]:
+                need = side[far]
+            elif side[end][0] != key[0]:
+                need = None  # else the whole part is copies of this page, and what it needs is needed here
+            if need:
+                out.setdefault(need, []).append(part)
+    return out
 
 
 def _difference(batches):
-    """Pages in order; each is done when the page behind it is known. Three pages are held at most, beside the batch."""
-    before = now = None
+    """Pages in order, a run of copies at a time: it is done when the page behind it is known. The run's lines and those of two pages are held."""
+    before, run = None, []
+    rows: list[tuple] = []
 
-    def near(one, two):
-        return one is not None and two is not None and one[2:4] == two[2:4]
+    def open_lines(page):
+        return [x for x, own in zip(page[7], page[8]) if not own]
 
     def done(after):
-        sides = [(-_common(now[4], x[4]), k, [y for y, own in zip(x[5], x[6]) if not own]) for k, x in enumerate((before, after)) if near(now, x) and x[5:7] != now[5:7]]
-        text = main_text(now[5], now[6], [x for _, _, x in sorted(sides, key=lambda s: s[:2])])
-        return now[0], now[1], text, len(text)
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "url", "text", "n_chars"])
+        sides = [x for x in (before, after) if x is not None]
+        texts: dict[tuple, str] = {}
+        for own, path, page_id, url in run[1:]:
+            if own:
+                order = tuple(sorted(range(len(sides)), key=lambda k: (-_common(path, sides[k][3]), k)))
+                if order not in texts:
+                    texts[order] = main_text(run[0][7], run[0][8], [open_lines(sides[k]) for k in order])
+                rows.append((page_id, url, texts[order], len(texts[order])))
+                if len(rows) == 128:
+                    yield _table(rows, TEXT)
+                    rows.clear()
 
     for batch in batches:
-        rows = []
         for page in zip(*[c.to_pylist() for c in batch.columns]):
-            if now is not None:
-                rows.append(done(page))
-            before, now = now, page
-        if rows:
-            yield out(rows)
-    if now is not None:
-        yield out([done(None)])
+            together = run and (run[0][0], run[0][2]) == (page[0], page[2])
+            if not together or run[0][6] != page[6]:
+                if run:
+                    yield from done(page if together else None)
+                before, run = run[0][:3] + run[-1][1:2] + run[0][4:] if together else None, [page]
+            run.append((page[1], *page[3:6]))
+    if run:
+        yield from done(None)
+    if rows:
+        yield _table(rows, TEXT)
+
+
+TEXT = "page_id long, url string, text string, n_chars long"
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -286,21 +365,52 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     White space in a line, however coded, is one space; lines stand in page order, one to a row of text; a page without
     text has "". Null html is an empty page; a page without a URL belongs to the host "". Repeated rows are pages of
-    their own. Pages of a host stand by path, then id; hosts of more than HOST_PAGES pages are dealt by a hash of the
-    path into groups of about that many, in which each page has its nearest neighbours. Other columns are not read.
+    their own. Pages of a host stand by path, then id, then URL; each has on either side the nearest page of other text to
+    be differenced with, across any number of copies. Other columns are not read.
+
+    Pages are dealt by ranges of that order into parts. A first reading keeps keys only; from the keys at the edges of the
+    parts follows which pages (two a part at most) a second reading sends to another part as well.
     """
-    small_batches(pages.sparkSession, 128)
+    spark = pages.sparkSession
+    small_batches(spark, 128)
     url = F.coalesce("url", F.lit(""))
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    p = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
-    large = p.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOST_PAGES).select("host", F.ceil(F.col("n") / HOST_PAGES).alias("groups"))
-    if large.count() <= 100_000:  # a few MB at most; else they are joined by a shuffle
-        large = F.broadcast(large)
-    p = p.join(large, "host", "left").withColumn("salt", F.pmod(F.xxhash64("path"), F.coalesce("groups", F.lit(1))))
-    parsed = p.select("page_id", "url", "host", "salt", "path", "html").mapInArrow(_parse, PARSED)
-    dealt = parsed.repartition("host", "salt").sortWithinPartitions("host", "salt", "path", "page_id", "url")
-    return dealt.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    p = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    order = [x.split()[0] for x in KEY.split(", ")]
+
+    def first_reading(batches):
+        for batch in batches:
+            yield _table([x for x, _, _ in _read(batch)], KEY)
+
+    keys = staged(p.mapInArrow(first_reading, KEY))
+    n = keys.count()
+    parts = max(12, -(-n // PART_PAGES))
+    some = sorted(_place(tuple(r)) for r in keys.sample(min(1.0, 20 * parts / max(n, 1)), seed=1).collect())
+    bounds = sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def deal(batches):
+        for batch in batches:
+            rows = list(zip(*[c.to_pylist() for c in batch.columns]))
+            yield _table([(bisect_right(shared.value, _place(x)), *x) for x in rows], f"part long, {KEY}")
+
+    def by_part(df):
+        return df.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", *order)
+
+    edges = by_part(keys.mapInArrow(deal, f"part long, {KEY}")).mapInArrow(_edges, f"part long, kind long, {KEY}")
+    carried = spark.sparkContext.broadcast(_carried([tuple(r) for r in edges.collect()]))  # four rows a part at most
+    discard(keys)
+
+    def second_reading(batches):
+        for batch in batches:
+            rows = []
+            for key, lines, inside in _read(batch):
+                rows.append((bisect_right(shared.value, _place(key)), True, *key, lines, inside))
+                rows += [(part, False, *key, lines, inside) for part in carried.value.get(key, ())]
+            yield _table(rows, PARSED)
+
+    return by_part(p.mapInArrow(second_reading, PARSED)).mapInArrow(_difference, TEXT)
 
 
 def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,31 @@ def test_open_lines_beside_an_article(spark):
     assert got == {**{i: f"Head {i}\nBody {i}\nLead {i}" for i in range(3)}, 10: "Body 0", 11: "Body 1"}
 
 
+def test_neighbours_on_a_large_host(spark):
+    """Against all pages in one list: a large host whose sections have menus of their own, with long runs of copies."""
+    r, rows = random.Random(3), []
+    for i in range(1500):
+        k = 700 if 700 <= i < 1100 else i - i % 4 if i % 40 < 4 else i  # runs of 4 copies, and of 400
+        rows.append((i, f"http://h.example/s{i // 5:03}/{i:04}", f"<p>Site</p><p>Section {k // 5}</p><p>own {k}</p>" + "<p>more</p>" * (k % 3)))
+    rows += [(5000 + i, f"http://g{i % 3}.example/{i}", f"<p>G</p><p>own {i // 6}</p>") for i in range(60)]
+    rows += [(None, "http://h.example/s100/0500", "<p>Site</p><p>x</p>"), (5500, "http://h.example/s100/0500", "<p>Site</p><p>y</p>")]
+    r.shuffle(rows)
+    host, path = lambda x: x[1].split("/")[2], lambda x: "/" + x[1].split("/", 3)[3]
+    ordered = sorted(rows, key=lambda x: (host(x), path(x), x[0] is not None, x[0] or 0))
+    want = []
+    for i, x in enumerate(ordered):
+        lines = p.page_lines(x[2])[0]
+        sides = []
+        for k, others in enumerate((ordered[:i][::-1], ordered[i + 1 :])):
+            y = next((y for y in others if host(y) != host(x) or y[2] != x[2]), None)
+            if y and host(y) == host(x):
+                sides.append((-p._common(path(x), path(y)), k, p.page_lines(y[2])[0]))
+        want.append((x[0] or 0, x[1], p.main_text(lines, [False] * len(lines), [y for _, _, y in sorted(sides)])))
+    got = [(x.page_id or 0, x.url, x.text) for x in p.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got) == sorted(want)
+    assert not any("Site" in text for _, u, text in got if "//h." in u)
+
+
 def test_pages_of_the_table(spark):
     """The articles of the given pages, by a plainer way that their simple markup allows."""
     d = "/root/testdata/sf0.001"
