@@ -18,8 +18,10 @@ from .shared import small_batches, staged, table
 ORDER = 3
 UNIT = 1 << 16
 CHUNK = 1 << 20
-#: Bounds of the model that is broadcast: leaves kept per language, and cells (leaves of all languages x languages).
-LEAVES, CELLS = 1 << 17, 1 << 24
+#: Bounds of a part of the model, which is broadcast: leaves of its languages, and cells (those leaves x languages).
+LEAVES, CELLS = 1 << 20, 1 << 24
+#: Contexts of order 2 are dealt by this odd number into the parts of a language that is too large for one.
+SPREAD = 40503
 
 
 def grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -86,12 +88,15 @@ def _count(batches):
 
 
 class Tree:
-    """Context trees of all languages, with code lengths.
+    """Context trees of some languages, with code lengths.
 
-    counts: {lang: (grams of 4 bytes, sorted; how often each)}. Inner nodes are sums of the leaves.
+    counts: {lang: (grams of 4 bytes, sorted; how often each)}. Inner nodes are sums of the leaves. With place (b, n) the
+    leaves are those of the b-th of n parts of the contexts of order 2, and scores count the bytes in such contexts only;
+    lower has the (grams of 2 bytes, counts) of each language, from which orders 0 and 1 are summed.
     """
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], place: tuple[int, int] = (0, 1), lower: dict[str, tuple[np.ndarray, np.ndarray]] | None = None):
+        self.place = place
         self.langs = sorted(counts, key=lambda x: x.encode())
         self.levels = []
         for lang in self.langs:
@@ -99,7 +104,8 @@ class Tree:
             per = []
             for order in range(ORDER + 1):
                 size = 8 * (order + 1)
-                grams_, sums = _merged([leaves.astype(np.uint64) & np.uint64((1 << size) - 1)], [n.astype(np.int64)])
+                nodes, times = lower[lang] if lower and order < 2 else (leaves, n)
+                grams_, sums = _merged([nodes.astype(np.uint64) & np.uint64((1 << size) - 1)], [times.astype(np.int64)])
                 contexts, first = np.unique(grams_ >> np.uint64(8), return_index=True)
                 total = np.add.reduceat(sums, first) if len(first) else sums
                 kinds = np.diff(np.append(first, len(grams_)))
@@ -142,6 +148,8 @@ class Tree:
             minus_t, minus_k = np.zeros(len(g)), np.zeros(len(g))
             for order in range(ORDER, -1, -1):
                 grams_, sums, contexts, total, kinds = per[order][:5]
+                if not len(contexts):
+                    continue
                 here = g & np.uint64((1 << (8 * (order + 1))) - 1)
                 i, known = find(contexts, here >> np.uint64(8))
                 known &= open_
@@ -170,7 +178,9 @@ class Tree:
             g = grams(data[a - lead : b], starts)[lead:]
             row = self._lookup(g)
             cost = self.table[row]
-            out = np.flatnonzero(row < 0)
+            own = self._own(g)
+            cost[~own] = 0
+            out = np.flatnonzero((row < 0) & own)
             if len(out):
                 kinds, which = np.unique(g[out], return_inverse=True)
                 cost[out] = self.code_lengths(kinds)[which]
@@ -180,6 +190,10 @@ class Tree:
             sums[own] += np.add.reduceat(cost, np.maximum(offsets[own], a) - a, axis=0, dtype=np.int64)
         return sums
 
+    def _own(self, g: np.ndarray) -> np.ndarray:
+        b, n = self.place
+        return (((g >> np.uint32(8) & np.uint32(0xFFFF)) * np.uint32(SPREAD) & np.uint32(0xFFFF)).astype(np.int64) * n >> 16) == b
+
     def _lookup(self, g: np.ndarray) -> np.ndarray:
         slot = self._slot(g)
         row = self.rows[slot]
@@ -194,66 +208,129 @@ class Tree:
         return row
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tree:
+class Forest:
+    """A model in parts, each a broadcast Tree: of a group of languages, or of one language and some of its contexts."""
+
+    def __init__(self, langs: list[str], parts: list):
+        self.langs, self.parts = langs, parts
+
+
+def _arrays(top: pa.Table, langs: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of rows (lang, gram, n): the grams of each language, sorted, and their counts."""
+    place = {x: k for k, x in enumerate(langs)}
+    enc = top.column("lang").combine_chunks().dictionary_encode()
+    enc = enc.combine_chunks() if isinstance(enc, pa.ChunkedArray) else enc
+    at = np.array([place[x] for x in enc.dictionary.to_pylist()], np.int64)[enc.indices.to_numpy(zero_copy_only=False)] if top.num_rows else np.zeros(0, np.int64)
+    gram, n = top.column("gram").to_numpy(), top.column("n").to_numpy()
+    order = np.lexsort((gram, at))
+    ends = np.searchsorted(at[order], np.arange(len(langs) + 1))
+    return {x: (gram[order[ends[k] : ends[k + 1]]].astype(np.uint32), n[order[ends[k] : ends[k + 1]]]) for k, x in enumerate(langs)}
+
+
+def _groups(leaves: dict[str, int]) -> list[tuple[list[str], int]]:
+    """Languages by parts of the model: (languages, 1), or (one language, into how many parts its contexts are dealt)."""
+    out, group = [], []
+    for x in sorted(leaves, key=lambda x: x.encode()):
+        if leaves[x] > LEAVES:
+            out.append(([x], -(-2 * leaves[x] // LEAVES)))  # half full on average, as contexts differ in size
+            continue
+        held = sum(leaves[y] for y in group) + leaves[x]
+        if group and (held > LEAVES or held * (len(group) + 1) > CELLS):
+            out.append((group, 1))
+            group = []
+        group.append(x)
+    return [*out, (group, 1)] if group or not out else out
+
+
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Tree | Forest:
     """Trees from all rows of labelled whose language isn't null.
 
-    Counts are made in tasks and summed in a shuffle. The model that goes to the driver and is broadcast is bounded:
-    each language's most frequent leaves, at most LEAVES and at most CELLS / languages^2.
+    Counts are made in tasks and summed in a shuffle, and all of them are kept. Where they pass LEAVES or CELLS, the model
+    is made and broadcast in parts of at most about that size, one after the other.
     """
-    small_batches(labelled.sparkSession)
+    spark = labelled.sparkSession
+    small_batches(spark)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # a histogram of counts by powers of 2^(1/4) tells where each language's cut is, without ranking all grams
-    counts = staged(counts)
-    step = F.floor(F.log2("n") * 4).cast("int")
-    levels = counts.groupBy("lang", step.alias("level")).agg(F.count(F.lit(1)).alias("k")).orderBy("lang", F.desc("level")).collect()
-    langs = sorted({r.lang for r in levels})
-    most = max(1, min(LEAVES, CELLS // max(1, len(langs)) ** 2))
-    floor_, held = {}, {}
-    for r in levels:
-        held[r.lang] = held.get(r.lang, 0) + r.k
-        if held[r.lang] <= most or r.lang not in floor_:
-            floor_[r.lang] = r.level
-    at = F.lit(1 << 30)
-    for lang, level in floor_.items():
-        at = F.when(F.col("lang") == lang, F.lit(level)).otherwise(at)
-    top = counts.where(step >= at).toArrow()
-    lang, gram, n = top.column("lang").to_pylist(), top.column("gram").to_numpy(), top.column("n").to_numpy()
-    out = {}
-    for x in langs:
-        own = np.array([y == x for y in lang], bool)
-        g, c = gram[own], n[own]
-        order = np.lexsort((g, -c))[:most]
-        order = order[np.argsort(g[order])]
-        out[x] = (g[order].astype(np.uint32), c[order])
-    return Tree(out)
-
-
-def predict(docs: DataFrame, tree: Tree, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    counts = staged(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    groups = _groups({r.lang: r.k for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()})
+    if len(groups) == 1 and groups[0][1] == 1:
+        return Tree(_arrays(counts.toArrow(), groups[0][0]))
+    context = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)) * F.lit(SPREAD)
+    parts = []
+    for langs, n in groups:
+        own, lower = counts.where(F.col("lang").isin(langs)), None
+        if n > 1:
+            pairs = own.groupBy("lang", F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n"))  # 65,536 rows at most
+            lower = _arrays(pairs.toArrow(), langs)
+        for b in range(n):
+            part = own.where(F.shiftright(context.bitwiseAND(F.lit(0xFFFF)) * F.lit(n), 16) == b) if n > 1 else own
+            parts.append((langs, spark.sparkContext.broadcast(Tree(_arrays(part.toArrow(), langs), (b, n), lower))))
+    return Forest(sorted({x for langs, _ in groups for x in langs}, key=lambda x: x.encode()), parts)
+
+
+def _decide(langs: list[str], length: np.ndarray, letters: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Language and score of each text from its code lengths (texts x languages)."""
+    best, share = np.full(len(letters), len(langs)), np.zeros(len(letters))
+    if langs and letters.any():
+        first = length.argmin(1)
+        odds = np.exp2(np.maximum(-1000.0, (length[np.arange(len(first)), first][:, None] - length) / UNIT)).sum(1)
+        best, share = np.where(letters, first, best), np.where(letters, 1 / odds, 0.0)
+    return pa.array(np.array([*langs, "und"], object)[best], pa.string()), pa.array(share)
+
+
+def _lengths(docs: DataFrame, forest: Forest) -> DataFrame:
+    """_key and _parts: (part, code lengths of its languages) of each text of docs(_key, _text), once however often it stands there."""
+    out = None
+    for k, (_, shared) in enumerate(forest.parts):
+
+        def run(batches, k=k, shared=shared):
+            t = shared.value
+            for batch in batches:
+                offsets, data = text_buffer(batch.column("_text"))
+                length = t.score(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([k] * len(length), pa.int32()), pa.array(length.tolist(), pa.list_(pa.int64()))], names=["_key", "part", "bits"])
+
+        one = docs.mapInArrow(run, "_key string, part int, bits array<long>")
+        out = one if out is None else out.union(one)
+    return out.groupBy("_key").agg(F.collect_set(F.struct("part", "bits")).alias("_parts"))
+
+
+def predict(docs: DataFrame, tree: Tree | Forest, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """id_cols with lang_pred and score for every row of docs.
 
     The language with the shortest code wins, ties by code point; the score is its share of the probability, in 0 to 1.
     Texts that are null or have no letter (Unicode L) are `und` with score 0, as are all texts of a tree without
-    languages. Texts are read whole, however long. Repeated rows are predicted each.
+    languages. Texts are read whole, however long. Repeated rows are predicted each. With a model in parts texts are read
+    once a part and only code lengths are shuffled, by a digest of the text.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
     cols = docs.select(*id_cols, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.select(*id_cols).schema)
+    langs = tree.langs
+    if isinstance(tree, Forest):
+        keyed = cols.withColumn("_key", F.when(F.col("_letters"), F.sha2(F.col("_text"), 256)))
+        lengths = _lengths(keyed.where("_letters").select("_key", "_text"), tree)
+        cols = keyed.drop("_text").join(lengths, "_key", "left").select(*id_cols, "_letters", "_parts")
+        places = [np.array([langs.index(x) for x in own]) for own, _ in tree.parts]
+
+        def length_of(batch):
+            out = np.zeros((batch.num_rows, len(langs)), np.int64)
+            for row, found in zip(out, batch.column("_parts").to_pylist()):
+                for x in found or ():
+                    row[places[x["part"]]] += np.array(x["bits"], np.int64)
+            return out
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(tree)
+
+        def length_of(batch):
+            offsets, data = text_buffer(batch.column("_text"))
+            return shared.value.score(data, offsets)
 
     def run(batches):
-        t = shared.value
-        names = np.array([*t.langs, "und"], object)
         for batch in batches:
             letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
-            best, share = np.full(len(letters), len(t.langs)), np.zeros(len(letters))
-            if t.langs and letters.any():
-                offsets, data = text_buffer(batch.column("_text"))
-                length = t.score(data, offsets)
-                first = length.argmin(1)
-                odds = np.exp2(np.maximum(-1000.0, (length[np.arange(len(first)), first][:, None] - length) / UNIT)).sum(1)
-                best, share = np.where(letters, first, best), np.where(letters, 1 / odds, 0.0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in id_cols], pa.array(names[best], pa.string()), pa.array(share)], names=[*id_cols, "lang_pred", "score"])
+            length = length_of(batch) if langs and letters.any() else np.zeros((len(letters), len(langs)), np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in id_cols], *_decide(langs, length, letters)], names=[*id_cols, "lang_pred", "score"])
 
     return cols.mapInArrow(run, f"{fields}, lang_pred string, score double")
 

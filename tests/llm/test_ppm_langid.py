@@ -89,3 +89,32 @@ def test_nulls_no_letters_empty_tables(spark):
     empty = p.train(labelled.limit(0))
     assert {(r.lang_pred, r.score) for r in p.predict(docs, empty).collect()} == {("und", 0.0)}
     assert p.predict(docs.limit(0), empty).count() == 0
+
+
+def test_nothing_is_cut_however_many_leaves(spark, monkeypatch):
+    """A model in parts, of groups of languages and of one language's contexts, gives what one tree of all counts gives."""
+    r = random.Random(4)
+    make = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    train = {"big": [make("abcdefgh é", 200) for _ in range(40)], **{f"l{k}": [make("abcdé"[k : k + 2] + " ", 30) for _ in range(3)] for k in range(4)}}
+    df = spark.createDataFrame([(t, k) for k, v in train.items() for t in v], "text string, lang string")
+    texts = [make("abcdefghéz ", r.randrange(1, 40)) for _ in range(60)] + ["", None, "12", "aé", "aé"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = tree_of({k: [x.encode() for x in v] for k, v in train.items()})
+    want = sorted(tuple(x) for x in p.predict(docs, whole).collect())
+    monkeypatch.setattr(p, "LEAVES", 500)
+    monkeypatch.setattr(p, "CELLS", 500)
+    model = p.train(df)
+    assert model.langs == whole.langs and len(model.parts) > 10 and sum(len(x) > 1 for x, _ in model.parts) >= 1
+    assert sorted(tuple(x) for x in p.predict(docs, model).collect()) == want
+
+
+def test_languages_keep_all_their_leaves(spark):
+    """More than 2^17 kinds of grams in one language, and many languages."""
+    r = np.random.default_rng(5)
+    rows = [("".join(map(chr, r.integers(33, 127, 4000))), "a") for _ in range(60)] + [("".join(map(chr, r.integers(33, 127, 7000))), f"b{k}") for k in range(60)]
+    t = p.train(spark.createDataFrame(rows, "text string, lang string"))
+    want = tree_of({k: [x.encode() for x, y in rows if y == k] for _, k in rows})
+    trees = [x.value for _, x in t.parts] if isinstance(t, p.Forest) else [t]
+    got = {x: per for tree in trees for x, per in zip(tree.langs, tree.levels)}
+    assert sorted(got) == want.langs and len(got["a"][3][0]) > 1 << 17
+    assert all((a[0] == b[0]).all() and (a[1] == b[1]).all() for x, per in zip(want.langs, want.levels) for a, b in zip(got[x], per))
