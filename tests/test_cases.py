@@ -297,3 +297,29 @@ def test_nanoseconds_are_read(spark, tmp_path):
     pq.write_table(pa.table({"time": at, "id": ["a"]}), tmp_path / "data-2025-01.parquet", version="2.6")
     r = t.read_monthly(spark, str(tmp_path)).first()
     assert r.time == T("2025-01-01 00:00") and r.month == "2025-01"
+
+
+def test_champion_and_challenger_have_the_same_rounds(spark, monkeypatch):
+    import inspect
+
+    from stopdelay.plans import models as pm
+    from stopdelay.queries import models as q
+
+    rounds, fit = [], pm.Bundle.fit
+
+    def record(self, *args, **named):
+        bound = inspect.signature(fit).bind(self, *args, **named)
+        bound.apply_defaults()
+        rounds.append(bound.arguments["rounds"])
+        return self
+
+    frame = spark.createDataFrame([("train",), ("eval",)], "fold_month string")
+    monkeypatch.setattr(pm.Bundle, "fit", record)
+    monkeypatch.setattr(pm.Bundle, "score", lambda self, df, mode: df)
+    monkeypatch.setattr(pm, "load_split", lambda df, months, columns: df)
+    monkeypatch.setattr(pm, "model_metrics", lambda df: df)
+    monkeypatch.setattr(pm, "compare_metrics", lambda old, new: old)
+    monkeypatch.setattr(pm, "promotion_verdict", lambda df: spark.createDataFrame([(False,)], "promote boolean"))
+    monkeypatch.setattr(q, "frame", lambda spark, d: frame)
+    q.championship(spark, "")
+    assert len(rounds) == 2 and rounds[0] == rounds[1]
