@@ -9,6 +9,9 @@ is probed in the other terms for as long as it can still get in, and the shards'
 
 from __future__ import annotations
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,17 +22,22 @@ from .shared import table
 
 #: Rows of a shard and queries of a block, on average; a cell holds one of each.
 SHARD_ROWS, BLOCK_QUERIES = 16_384, 2_048
-#: Components are held within this size, so that sums of products stay whole in 64 bits.
-LARGEST = 1 << 26
+#: Components and sums of products of up to this size are held in 64 bits; larger ones are Python's whole numbers.
+LARGEST = 1 << 61
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """floor(1024 x) as rows; shorter vectors end with zeros."""
+    """floor(1024 x) as rows, of Python's whole numbers if any is larger than LARGEST; shorter vectors end with zeros."""
     column = column.cast(pa.large_list(pa.float64()))
     offsets = column.offsets.to_numpy()
-    flat = np.clip(np.floor(column.values.to_numpy()[: offsets[-1]] * 1024.0), -LARGEST, LARGEST).astype(np.int64)
+    flat = column.values.to_numpy()[: offsets[-1]]
+    if np.abs(flat[offsets[0] :]).max(initial=0) > LARGEST / 1024:
+        # from 2^53 on a float is whole, and its product with 1024 may be none
+        flat = np.array([int(x) * 1024 if abs(x) >= 1 << 53 else math.floor(x * 1024.0) for x in flat.tolist()], object)
+    else:
+        flat = np.floor(flat * 1024.0).astype(np.int64)
     lengths = np.diff(offsets)
-    out = np.zeros((len(lengths), int(lengths.max(initial=0))), np.int64)
+    out = np.zeros((len(lengths), int(lengths.max(initial=0))), flat.dtype)
     row = np.repeat(np.arange(len(lengths)), lengths)
     out[row, np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], lengths)] = flat[offsets[0] :]
     return out
@@ -43,6 +51,7 @@ class Shard:
         self.ids, self.columns = ids[order], np.ascontiguousarray(vectors[order].T)
         self.rows = np.ascontiguousarray(self.columns.T)
         self.postings = {}
+        self.most = [int(x) for x in np.abs(self.rows).max(axis=0, initial=0)]
         for d, x in enumerate(self.columns):
             for sign in (1, -1):
                 at = np.flatnonzero(x * sign > 0)
@@ -52,6 +61,10 @@ class Shard:
         """Ids and scores of the k best rows but those with the id `own`, ties to smaller ids."""
         n = len(self.ids)
         query = query[: len(self.columns)]
+        sizes = [abs(int(q)) for q in query]
+        if self.rows.dtype == object or max(sizes, default=0) > LARGEST or sum(q * x for q, x in zip(sizes, self.most)) > LARGEST:
+            return self._exact(own, query, k)
+        query = query.astype(np.int64)
         # a first threshold from some rows' whole scores
         some = np.arange(0, n, max(1, n // (32 * k)))
         first = self.rows[some][:, : len(query)] @ query
@@ -89,10 +102,19 @@ class Shard:
         return self.ids[found[top]], score[top]
 
 
+    def _exact(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same from whole scores of all rows, where these may not fit in 64 bits."""
+        found = np.flatnonzero(self.ids != own)
+        score = self.rows[found][:, : len(query)].astype(object) @ query.astype(object)
+        top = heapq.nsmallest(k, range(len(found)), key=lambda i: (-score[i], self.ids[found[i]]))
+        return self.ids[found[top]], score[top]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score: each query's k best among all vectors whose id isn't its own.
 
-    Scores are inner products of floor(1024 x); ties go to smaller ids; where vectors differ in length the longer one's
+    Scores are inner products of floor(1024 x), exact for components of any size; one among the best that doesn't fit in
+    64 bits fails, as it does in SQL. Ties go to smaller ids; where vectors differ in length the longer one's
     end counts as 0. Rows without an id, and vectors that are null or hold null or non-finite components, take no part.
     Rows that repeat an id are candidates each; a query id that repeats gets the best of all its rows, each candidate row's
     id and score once. Vectors are dealt by row into shards, queries into blocks, and each pair of a shard and a block is
