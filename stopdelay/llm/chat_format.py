@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import sliced, table
 
 HEAD, TAIL = b"<|turn|>", b"<|end|>\n"
 #: The strings that no content may hold, the template's own and those of common chat templates.
@@ -157,7 +157,6 @@ def format_chats(turns: DataFrame) -> DataFrame:
     role are empty. Turns stand by turn, then role, then text, nulls first; repeated rows are repeated turns. Turns
     without a conversation are left out. A very long text is a part of its own. Other columns are not read.
     """
-    small_batches(turns.sparkSession, 128)
     t = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(_format, SCHEMA)
@@ -176,7 +175,7 @@ def _read_back(batches):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    for batch in batches:
+    for batch in sliced(batches):
         rows = []
         for conv, part, text, starts, lengths in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)]):
             if part == 0:

@@ -8,28 +8,36 @@ few of each under any total order of all tokens; three orders are used:
     C  descending hash
 
 Order A makes the candidates: its prefixes are postings, and documents meet in a token's postings if sizes and places in
-the prefix allow the overlap. Candidates must then share prefix tokens under B and under C as well, and only what passes
-all three is verified on the whole sets, exactly.
-
-Copies don't make pairs: equal sets are one node. In every posting list the node with the commonest tokens is verified
-against the others first; nodes it links with are one label, and what is left to compare are nodes of different labels.
-So a group of near copies costs about one pair a member, and yet no link between two different sets can be lost, as far
-as it would join two components. Whole texts are read in each pass rather than kept as sets, which would be larger.
+the prefix allow the overlap. Candidate pairs then meet their prefixes under B and under C: they must share a token in
+both, and what the two prefixes leave open must still allow the overlap. Only pairs that pass all three orders get their
+whole sets and are verified, exactly.
+
+Copies don't make pairs: equal sets, by 128-bit hashes, are one node. In every posting list the node with the commonest
+tokens is verified against the others first; nodes it links with are one label, and what is left to compare are nodes of
+different labels. So a group of near copies costs about one pair a member, and yet no link between two different sets
+can be lost, as far as it would join two components. A pass over whole texts makes the sets of those nodes only that a
+candidate pair has.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, small_batches, staged, table
+from .shared import arrow_batches, discard, staged, table
 
-#: Cells of the frequency sketch and bits of the row filters: fixed sizes, whatever the input. They order and thin out
-#: the work and never decide a result.
-CELLS, SLICES, FILTER_BITS = 1 << 22, 64, 1 << 26
+#: Cells of the frequency sketch: as many as there are documents, within these bounds. The sketch orders the work and
+#: never decides a result.
+LEAST_CELLS, MOST_CELLS, SLICES = 1 << 18, 1 << 24, 16
+#: Ids that a filter of 32 bits an id is made for, 32 MB at most; more ids are joined instead.
+FILTER_IDS = 1 << 23
+#: Pairs of one node that meet in one place; a node with more of them is dealt out.
+NODE_PAIRS, HOT_NODES = 1_000, 100_000
 PIECE_BYTES = 1 << 18
+#: So many ids of documents to leave out, some MB, go to all tasks; with more, texts are shuffled to them.
+BROADCAST_IDS = 500_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -115,17 +123,19 @@ def _texts(batch) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], data[offsets[0] : offsets[-1]]
 
 
-def _nodes(bounds: np.ndarray, token: np.ndarray) -> np.ndarray:
-    """A 64-bit number for each set, equal for equal sets; 0 for the empty set."""
-    out = np.zeros(len(bounds) - 1, np.uint64)
-    full = np.flatnonzero(np.diff(bounds))
-    if len(full):
-        out[full] = _mix(np.add.reduceat(_mix(token ^ _SHINGLE[-2]), bounds[full]) + np.diff(bounds)[full].astype(np.uint64))
-    return out
+def _hashes(bounds: np.ndarray, token: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Two 64-bit numbers for each set, equal for equal sets; 0 for the empty set."""
+    n, full, out = np.diff(bounds), np.flatnonzero(np.diff(bounds)), []
+    for salt in (_SHINGLE[-2], _SHINGLE[-3]):
+        h = np.zeros(len(n), np.uint64)
+        if len(full):
+            h[full] = _mix(np.add.reduceat(_mix(token ^ salt), bounds[full]) + n[full].astype(np.uint64))
+        out.append(pa.array(h.view(np.int64)))
+    return out[0], out[1]
 
 
-def _cells(token: np.ndarray) -> np.ndarray:
-    return (token & np.uint64(CELLS - 1)).astype(np.int64)
+def _cells(token: np.ndarray, cells: int) -> np.ndarray:
+    return (token & np.uint64(cells - 1)).astype(np.int64)
 
 
 def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
@@ -133,107 +143,127 @@ def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _binaries(bounds: np.ndarray, numbers: np.ndarray) -> pa.Array:
+    """Lists of 64-bit numbers as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((8 * bounds).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of a binary column: bounds and numbers."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    numbers = np.frombuffer(raw, np.uint64, int(at[-1] - at[0]) // 8, int(at[0])) if raw is not None else np.zeros(0, np.uint64)
+    return (at - at[0]) // 8, numbers
+
+
 def _packed(counts: np.ndarray) -> bytes:
-    """A slice's counts: all of them, or places and counts of those above 0, whichever is shorter."""
-    at = np.flatnonzero(counts)
-    if 3 * len(at) < 2 * len(counts):
-        return b"s" + at.astype("<u4").tobytes() + counts[at].astype("<i8").tobytes()
-    return b"d" + counts.astype("<i8").tobytes()
-
-
-def _unpacked(blob: bytes) -> np.ndarray:
-    if blob[:1] == b"d":
-        return np.frombuffer(blob, "<i8", offset=1)
-    n = (len(blob) - 1) // 12
-    out = np.zeros(CELLS // SLICES, np.int64)
-    out[np.frombuffer(blob, "<u4", n, 1)] = np.frombuffer(blob, "<i8", n, 1 + 4 * n)
-    return out
+    """A slice's counts in the smallest whole numbers that hold them; the first byte tells their width."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(counts.max()) < 1 << (8 * w))
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
-def _measure(k: int):
+def _measure(k: int, cells: int):
     def run(batches):
-        sketch, held, size = np.zeros(CELLS, np.int32), [], 0
-        none = lambda n, kind: pa.nulls(n, kind)
-        names = ["doc_id", "n", "node", "slice", "cells"]
+        sketch, one = np.zeros(cells, np.int32), np.int32(1)
+        names = ["doc_id", "n", "h1", "h2", "slice", "cells"]
         for batch in batches:
             bounds, token = shingle_sets(*_texts(batch), k)
-            held.append(_cells(token))
-            size += len(token)
-            if size > 1_000_000:
-                np.add(sketch, np.bincount(np.concatenate(held), minlength=CELLS), out=sketch, casting="unsafe")
-                held, size = [], 0
-            n = len(bounds) - 1
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(_nodes(bounds, token).view(np.int64)), none(n, pa.int32()), none(n, pa.binary())], names=names)
-        if held:
-            np.add(sketch, np.bincount(np.concatenate(held), minlength=CELLS), out=sketch, casting="unsafe")
+            np.add.at(sketch, _cells(token, cells), one)
+            m = len(bounds) - 1
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), *_hashes(bounds, token), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if sketch.any():
+            none = pa.nulls(1, pa.int64())
             for i, part in enumerate(sketch.reshape(SLICES, -1)):
-                yield pa.RecordBatch.from_arrays([none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int64()), pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([_packed(part)], pa.binary())], names=names)
 
     return run
 
 
-def _added(batches):
+def _added(finish):
     """Sums of a partition's slices, one array a slice however many rows come."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, blob in zip(batch.column("slice").to_pylist(), batch.column("cells").to_pylist()):
-            part = _unpacked(blob)
-            total[i] = total[i] + part if i in total else part
-    for i, cells in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_packed(cells)], pa.binary())], names=["slice", "cells"])
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            cells = batch.column("cells")
+            for j, i in enumerate(batch.column("slice").to_pylist()):
+                blob = cells[j].as_buffer()
+                part = np.frombuffer(blob, f"<u{blob[0]}", offset=1)
+                if i in total:
+                    total[i] += part.astype(np.int64)
+                else:
+                    total[i] = part.astype(np.int64)
+        for i, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([finish(counts)], pa.binary())], names=["slice", "cells"])
+
+    return run
 
 
-def _frequency_levels(measured: DataFrame) -> np.ndarray:
+def _levels(counts: np.ndarray) -> bytes:
+    return np.minimum(255, np.round(8 * np.log2(1 + counts))).astype(np.uint8).tobytes()
+
+
+def _frequency_levels(measured: DataFrame, cells: int) -> np.ndarray:
     """The sketch as logarithmic levels, a byte a cell. Tasks' counts are summed in two steps, the first one salted."""
     kind = "slice int, cells binary"
-    parts = measured.where(F.col("slice").isNotNull()).select("slice", "cells", F.pmod(F.monotonically_increasing_id(), F.lit(64)).alias("salt"))
-    sums = parts.repartition("slice", "salt").select("slice", "cells").mapInArrow(_added, kind)
-    out = np.zeros((SLICES, CELLS // SLICES), np.uint8)
-    for r in sums.repartition("slice").mapInArrow(_added, kind).toLocalIterator():
-        out[r["slice"]] = np.minimum(255, np.round(8 * np.log2(1 + _unpacked(r["cells"])))).astype(np.uint8)
+    parts = measured.where(F.col("slice").isNotNull()).select("slice", "cells", F.pmod(F.monotonically_increasing_id(), F.lit(16)).alias("salt"))
+    sums = parts.repartition("slice", "salt").select("slice", "cells").mapInArrow(_added(_packed), kind)
+    out = np.zeros((SLICES, cells // SLICES), np.uint8)
+    for r in sums.repartition("slice").mapInArrow(_added(_levels), kind).collect():  # cells bytes in all
+        out[r["slice"]] = np.frombuffer(r["cells"], np.uint8)
     return out.ravel()
 
 
-def _bit(id_col: str):
-    return F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
-
-
-def _row_filter(ids: DataFrame, id_col: str) -> np.ndarray:
-    """A bit for every id in ids, in a bitmap of fixed size: rows whose bit isn't set aren't needed."""
-    at = _bit(id_col) + 1
+def _filter(ids: DataFrame, bit, n: int) -> np.ndarray:
+    """A bitmap of 32 bits for each of n ids and 2^28 at most; bit(bits) is the column of an id's place."""
+    bits = 1 << max(16, min(28, (32 * n).bit_length()))
+    at = bit(bits) + 1
     rows = ids.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    out = np.zeros((bits // 32768, 4096), np.uint8)
     for r in rows:
         out[r["b"] - 1] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
+def _held(bitmap: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _wanted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Texts of docs with a place `bit` in a bitmap that has all of ids(rep) and few others, or of those in ids alone
+    where they are too many for a bitmap."""
+    n = ids.count()
+    if n > FILTER_IDS:
+        own = docs.join(ids.select("rep").distinct(), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
+        return own.select("text", F.lit(0).cast("long").alias("bit")), np.full(1, 255, np.uint8)
+    place = lambda c: lambda bits: F.pmod(F.xxhash64(c), F.lit(bits))
+    bitmap = _filter(ids, place("rep"), n)
+    return docs.select("text", place("doc_id")(8 * len(bitmap)).alias("bit")), bitmap
+
+
 def _chosen(batch, bitmap: np.ndarray):
-    bit = batch.column("bit").to_numpy()
-    return batch.filter(pa.array((bitmap[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+    return batch.filter(pa.array(_held(bitmap, batch.column("bit").to_numpy())))
 
 
 def _postings(k: int, percent: int, shared):
+    """Of every set its hashes, size, mean level of its tokens, and prefix under A. A set that is too small to link with
+    any other has none."""
+
     def run(batches):
         levels, bitmap = shared.value
         for batch in batches:
             bounds, token = shingle_sets(*_texts(_chosen(batch, bitmap)), k)
-            node, n = _nodes(bounds, token).view(np.int64), np.diff(bounds)
-            if not len(token):
-                continue
-            level = levels[_cells(token)]
+            n = np.diff(bounds)
+            level = levels[_cells(token, len(levels))]
             rank = (level.astype(np.uint64) << np.uint64(56)) | (token >> np.uint64(8))
-            p = np.where(n > 0, _prefix(n, percent), 0)
+            p = np.where(100 * n >= percent * (n + 1), _prefix(n, percent), 0)
             picks = [a + np.argsort(rank[a:b], kind="stable")[:q] for a, b, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), p.tolist()) if q]
-            of = np.repeat(np.arange(len(n)), p)
             sums = np.concatenate([[0], np.cumsum(level, dtype=np.int64)])
             common = 16 * (sums[bounds[1:]] - sums[bounds[:-1]]) // np.maximum(1, n)
-            place = np.arange(len(of)) - np.repeat(np.cumsum(p) - p, p)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[np.concatenate(picks)].view(np.int64)), pa.array(node[of]), pa.array(n[of].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(common[of].astype(np.int32))],
-                names=["token", "node", "n", "pos", "common"],
-            )
+            prefix = _binaries(np.concatenate([[0], np.cumsum(p)]), token[np.concatenate(picks)] if picks else token[:0])
+            ints = lambda x: pa.array(x.astype(np.int32))
+            out = pa.RecordBatch.from_arrays([*_hashes(bounds, token), ints(n), ints(common), ints(p), prefix], names=["h1", "h2", "n", "common", "p", "prefix"])
+            yield out.filter(pa.array(p > 0))
 
     return run
 
@@ -246,18 +276,17 @@ def _sliced(slices: int):
         token = np.repeat(token, np.minimum(count, 2))
         of = (token >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)
         full, first = np.unique(of, return_index=True)
-        ends = np.append(first[1:], len(token))
-        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), pa.array([token[x:y].tobytes() for x, y in zip(first.tolist(), ends.tolist())], pa.binary())], names=["slice", "tokens"])
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)), _binaries(np.append(first, len(token)), token)], names=["slice", "tokens"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            held.append(batch.column("token").to_numpy().view(np.uint64))
+            held.append(_numbers(batch.column("prefix"))[1])
             size += len(held[-1])
             if size > 500_000:
                 yield out(held)
                 held, size = [], 0
-        if held:
+        if size:
             yield out(held)
 
     return run
@@ -272,78 +301,141 @@ def _met_twice(batches):
         return pa.RecordBatch.from_arrays([pa.array(token[count > 1].view(np.int64))], names=["token"])
 
     for batch in batches:
-        for i, blob in zip(batch.column("slice").to_pylist(), batch.column("tokens").to_pylist()):
+        bounds, token = _numbers(batch.column("tokens"))
+        for j, i in enumerate(batch.column("slice").to_pylist()):
             if i != now and held:
                 yield out()
                 held = []
             now = i
-            held.append(np.frombuffer(blob, np.uint64))
+            held.append(token[bounds[j] : bounds[j + 1]])
     if held:
         yield out()
 
 
-def _shared_tokens(post: DataFrame) -> DataFrame:
-    """post without most of the tokens that stand in one list only, written.
-
-    Tokens are counted in packed slices of some 100,000, without what belongs to them. Those that came twice make a
-    filter of fixed size for the postings; what it lets through beside them falls out by the exact count that follows.
-    """
-    slices = max(SLICES, post.count() // 200_000)
-    packed = post.select("token").mapInArrow(_sliced(slices), "slice long, tokens binary")
-    twice = staged(packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_met_twice, "token long"))
-    bitmap = post.sparkSession.sparkContext.broadcast(_row_filter(twice, "token"))
+def _thinned(shared):
+    """Prefixes as lists of the tokens that stand in the filter, with their places."""
 
     def run(batches):
+        bitmap = shared.value
         for batch in batches:
-            yield _chosen(batch, bitmap.value).select(names)
+            bounds, token = _numbers(batch.column("prefix"))
+            keep = _held(bitmap, _cells(token, 8 * len(bitmap)))
+            kept = np.concatenate([[0], np.cumsum(keep)])[bounds].astype(np.int32)
+            place = (np.arange(len(token)) - np.repeat(bounds[:-1], np.diff(bounds)))[keep].astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(kept), pa.array(x)) for x in (token[keep].view(np.int64), place)]
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("h1", "h2", "n", "common")], *lists], names=["h1", "h2", "n", "common", "tokens", "places"])
+            yield out.filter(pa.array(np.diff(kept) > 0))
+
+    return run
+
+
+def _shared_tokens(post: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Postings (token, node, n, pos, common) without most of the tokens that stand in one set only, written.
 
-    names = post.columns
-    out = staged(post.withColumn("bit", _bit("token")).mapInArrow(run, post.schema))
+    Tokens are counted in packed slices of some 100,000, without what belongs to them. Those that came twice make a
+    filter for the prefixes; what it lets through beside them falls out by the exact count that follows. A set comes
+    once, however many rows passed the filter of its document.
+    """
+    spark = post.sparkSession
+    slices = max(SLICES, (post.agg(F.sum("p")).first()[0] or 0) // 200_000)
+    packed = post.select("prefix").mapInArrow(_sliced(slices), "slice long, tokens binary")
+    twice = staged(packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_met_twice, "token long"))
+    bitmap = spark.sparkContext.broadcast(_filter(twice, lambda bits: F.col("token").bitwiseAND(F.lit(bits - 1).cast("long")), twice.count()))
+    lists = post.mapInArrow(_thinned(bitmap), "h1 long, h2 long, n int, common int, tokens array<long>, places array<int>")
+    sets = lists.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("n", "common", "tokens", "places")])
+    rows = sets.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("node", "n", "common", F.inline(F.arrays_zip("tokens", "places")))
+    out = staged(rows.select(F.col("tokens").alias("token"), "node", "n", F.col("places").alias("pos"), "common"))
     bitmap.destroy()
     discard(twice)
     return out
 
 
-def _sets(k: int, shared):
+def _sets(k: int, percent: int, shared):
+    """Of every set its hashes, size, its prefixes under B and C, and the whole, each ascending."""
+
     def run(batches):
         for batch in batches:
             bounds, token = shingle_sets(*_texts(_chosen(batch, shared.value)), k)
-            node, blob = _nodes(bounds, token).view(np.int64), token.tobytes()
-            keep = np.flatnonzero(np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array([blob[8 * bounds[i] : 8 * bounds[i + 1]] for i in keep.tolist()], pa.binary())], names=["node", "tokens"])
+            n = np.diff(bounds)
+            p = np.where(n > 0, _prefix(n, percent), 0)
+            ends = [token[x:y] for a, b, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), p.tolist()) for x, y in ((a, a + q), (b - q, b))]
+            both = _binaries(np.concatenate([[0], np.cumsum(2 * p)]), np.concatenate([token[:0], *ends]))
+            out = pa.RecordBatch.from_arrays([*_hashes(bounds, token), pa.array(n.astype(np.int32)), both, _binaries(bounds, token)], names=["h1", "h2", "n", "ends", "whole"])
+            yield out.filter(pa.array(n > 0))
 
     return run
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets reach the threshold: prefixes under B, then under C, then whole."""
-    p, q = int(_prefix(np.int64(len(x)), percent)), int(_prefix(np.int64(len(y)), percent))
-    shared = lambda a, b: len(np.intersect1d(a, b, assume_unique=True))
-    if not shared(x[:p], y[:q]) or not shared(x[-p:], y[-q:]):
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def may_link(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """Whether sets of sizes nx and ny may reach the threshold; x and y hold their prefixes under B and C, one after the
+    other. They must share a token under either order, and with all that the prefixes leave open the overlap must do."""
+    p, q = len(x) // 2, len(y) // 2
+    (xb, xc), (yb, yc) = (x[:p], x[p:]), (y[:q], y[q:])
+    low, high = _overlap(xb, yb), _overlap(xc, yc)
+    if not low or not high:
         return False
-    both = shared(x, y)
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    # tokens up to t and from u on are known of both sets
+    t, u = min(xb[-1], yb[-1]), max(xc[0], yc[0])
+    ix, iy = np.searchsorted(xb, t, "right"), np.searchsorted(yb, t, "right")
+    jx, jy = p - np.searchsorted(xc, u), q - np.searchsorted(yc, u)
+    if t < u:
+        most = low + high + min(nx - ix - jx, ny - iy - jy)
+    else:
+        most = min(low + min(nx - ix, ny - iy), high + min(nx - jx, ny - jy))
+    return bool((100 + percent) * most >= percent * (nx + ny))
+
+
+def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets reach the threshold."""
+    return (100 + percent) * _overlap(x, y) >= percent * (len(x) + len(y))
 
 
-def _verified(percent: int):
+def _tested(test):
+    """The pairs (a, b) whose sets x and y of sizes xn and yn pass a test."""
+
     def run(batches):
         for batch in batches:
-            yes = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            (xs, x), (ys, y) = _numbers(batch.column("x")), _numbers(batch.column("y"))
+            sizes = zip(batch.column("xn").to_pylist(), batch.column("yn").to_pylist())
+            yes = [test(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], *n) for i, n in enumerate(sizes)]
             yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
 
     return run
 
 
+def _beside(pairs: DataFrame, sets: DataFrame, hot: DataFrame, column: str) -> DataFrame:
+    """pairs with the sets of both ends. A node of many pairs comes in copies, and its pairs are dealt over them."""
+    sets = sets.select(F.col("node"), F.col("n"), F.col(column))
+    copies = sets.join(hot, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)))
+    for end, other, x in (("b", "a", "y"), ("a", "b", "x")):
+        dealt = pairs.join(hot.withColumnRenamed("node", end), end, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1).cast("long"))))
+        own = copies.select(F.col("node").alias(end), "salt", F.col("n").alias(f"{x}n"), F.col(column).alias(x))
+        pairs = dealt.drop("copies").join(own, [end, "salt"]).drop("salt")
+    return pairs
+
+
 def _links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that reach the threshold, written."""
     spark = docs.sparkSession
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    bitmap = spark.sparkContext.broadcast(_row_filter(ends.join(nodes, "node").select("rep"), "rep"))
-    rows = docs.select("text", _bit("doc_id").alias("bit"))
-    sets = rows.mapInArrow(_sets(k, bitmap), "node long, tokens binary").dropDuplicates(["node"])
-    a, b = (sets.select(F.col("node").alias(end), F.col("tokens").alias(t)) for end, t in (("a", "x"), ("b", "y")))
-    out = staged(pairs.join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"))
-    bitmap.destroy()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("many"))
+    ends = staged(ends.join(nodes, "node"))
+    hot = ends.where(F.col("many") > NODE_PAIRS).select("node", F.ceil(F.col("many") / NODE_PAIRS).alias("copies"))
+    if hot.count() <= HOT_NODES:
+        hot = F.broadcast(hot)
+    texts, bitmap = _wanted(docs, ends)
+    shared = spark.sparkContext.broadcast(bitmap)
+    sets = texts.mapInArrow(_sets(k, percent, shared), "h1 long, h2 long, n int, ends binary, whole binary")
+    sets = sets.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("n", "ends", "whole")])
+    sets = staged(sets.join(ends.select("h1", "h2", "node"), ["h1", "h2"]).drop("h1", "h2"))
+    shared.destroy()
+    some = staged(_beside(pairs, sets, hot, "ends").mapInArrow(_tested(lambda x, y, nx, ny: may_link(x, y, nx, ny, percent)), "a long, b long"))
+    out = staged(_beside(some, sets, hot, "whole").mapInArrow(_tested(lambda x, y, nx, ny: links(x, y, percent)), "a long, b long"))
+    discard(ends, sets, some)
     return out
 
 
@@ -407,8 +499,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     are documents: one that repeats another's id is another document; one without an id has its component's least id,
     null if there is none. Other columns are not read.
     """
-    out, tables = _found(docs, k, percent, id_col, text_col)
-    out = staged(out)
+    with arrow_batches(docs.sparkSession):
+        out, tables = _found(docs, k, percent, id_col, text_col)
+        out = staged(out)
     discard(*tables)
     return out
 
@@ -416,38 +509,36 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
 def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """jaccard_components' result, and the tables that it reads."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    measured = staged(docs.mapInArrow(_measure(k), "doc_id long, n long, node long, slice int, cells binary"))
-    rows = measured.where(F.col("slice").isNull()).select("doc_id", "n", "node")
-    nodes = staged(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")))
-    model = spark.sparkContext.broadcast((_frequency_levels(measured), _row_filter(nodes, "rep")))
-    post = docs.select("text", _bit("doc_id").alias("bit")).mapInArrow(_postings(k, percent, model), "token long, node long, n int, pos int, common int")
-    post = staged(post)
-    small_batches(spark, 20_000)  # rows of numbers
-    kept = _shared_tokens(post)
-    small_batches(spark)
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << docs.count().bit_length()))
+    measured = staged(docs.mapInArrow(_measure(k, cells), "doc_id long, n long, h1 long, h2 long, slice int, cells binary"))
+    rows = measured.where(F.col("slice").isNull()).select("doc_id", "n", "h1", "h2")
+    nodes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()))  # numbers that hold once they are written
+    texts, bitmap = _wanted(docs, nodes)
+    model = spark.sparkContext.broadcast((_frequency_levels(measured, cells), bitmap))
+    post = staged(texts.mapInArrow(_postings(k, percent, model), "h1 long, h2 long, n int, common int, p int, prefix binary"))
     model.destroy()
+    kept = _shared_tokens(post, nodes)
     discard(post)
-    post = kept
-    heads = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.struct("common", "n", "node", "pos")).alias("head")).where("lo <> hi").select("token", "head")
-    shared = staged(post.join(heads, "token"))
-    discard(post)
+    heads = kept.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.struct("common", "n", "node", "pos")).alias("head")).where("lo <> hi").select("token", "head")
+    shared = staged(kept.join(heads, "token"))
+    discard(kept)
     whole = 100 + percent
     fits = whole * F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= percent * (F.col("n") + F.col("head.n"))
     stars = staged(shared.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = _links(docs, nodes, stars, k, percent)
-    across = _across(shared.drop("head"), links, percent)
+    first = _links(docs, nodes, stars, k, percent)
+    across = _across(shared.drop("head"), first, percent)
     discard(shared, stars)
     more = _links(docs, nodes, across, k, percent)
-    roots = _components(links.union(more))
+    roots = _components(first.union(more))
     joined = nodes.join(roots, "node")
     ids = joined.groupBy("root").agg(F.min("rep").alias("least"))
     of_node = staged(joined.join(ids, "root").select("node", "least"))
-    discard(links, across, more)
+    discard(first, across, more)
     # sets without links have their own documents' least id
-    alone = nodes.join(of_node, "node", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
-    out = rows.where("n > 0").join(alone, "node", "left").select("doc_id", "n", "component_id")
+    alone = nodes.join(of_node, "node", "left").select("h1", "h2", F.coalesce("least", "rep").alias("component_id"))
+    out = rows.where("n > 0").join(alone, ["h1", "h2"], "left").select("doc_id", "n", "component_id")
     out = out.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), [measured, nodes, of_node]
 
@@ -459,6 +550,8 @@ def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
     """
     found = jaccard_components(docs, k, percent)
     gone = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, small_batches, staged, table
+from .shared import discard, sliced, staged, table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -343,7 +343,7 @@ def _difference(batches):
                     yield _table(rows, TEXT)
                     rows.clear()
 
-    for batch in batches:
+    for batch in sliced(batches):
         for page in zip(*[c.to_pylist() for c in batch.columns]):
             together = run and (run[0][0], run[0][2]) == (page[0], page[2])
             if not together or run[0][6] != page[6]:
@@ -372,7 +372,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
     parts follows which pages (two a part at most) a second reading sends to another part as well.
     """
     spark = pages.sparkSession
-    small_batches(spark, 128)
     url = F.coalesce("url", F.lit(""))
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
@@ -380,7 +379,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     order = [x.split()[0] for x in KEY.split(", ")]
 
     def first_reading(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield _table([x for x, _, _ in _read(batch)], KEY)
 
     keys = staged(p.mapInArrow(first_reading, KEY))
@@ -403,7 +402,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     discard(keys)
 
     def second_reading(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for key, lines, inside in _read(batch):
                 rows.append((bisect_right(shared.value, _place(key)), True, *key, lines, inside))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import sliced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -197,7 +197,6 @@ def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: st
     Null and empty texts have no ids. Texts are encoded whole, and a very long word in memory in proportion to it.
     Other columns pass through; one that is called like ids_col is replaced.
     """
-    small_batches(df.sparkSession)
     model = _shared(df.sparkSession, path)
     keep = [c for c in df.columns if c not in (text_col, ids_col)]
     src = df.select(*keep, F.col(text_col).alias("_text"))
@@ -205,7 +204,7 @@ def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: st
 
     def run(batches):
         p = _ready(model)
-        for batch in batches:
+        for batch in sliced(batches):
             coded = [p.encode(t or "") for t in batch.column("_text").to_pylist()]
             offsets = np.cumsum([0, *[len(x) // 4 for x in coded]]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
@@ -217,7 +216,6 @@ def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: st
 
 def decode(df: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
     """df with the text of ids_col in its place; null ids are the empty text. A column called like text_col is replaced."""
-    small_batches(df.sparkSession)
     model = _shared(df.sparkSession, path)
     keep = [c for c in df.columns if c not in (text_col, ids_col)]
     src = df.select(*keep, F.col(ids_col).alias("_ids"))
@@ -225,7 +223,7 @@ def decode(df: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: str
 
     def run(batches):
         p = _ready(model)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = batch.column("_ids").cast(pa.large_list(pa.int32())).fill_null([])
             offsets = ids.offsets.to_numpy()
             texts = p.decode(ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0])

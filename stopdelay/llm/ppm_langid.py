@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, staged, table
+from .shared import arrow_batches, sliced, staged, table
 
 ORDER = 3
 UNIT = 1 << 16
@@ -249,9 +249,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     is made and broadcast in parts of at most about that size, one after the other.
     """
     spark = labelled.sparkSession
-    small_batches(spark)
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = staged(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    with arrow_batches(spark):
+        counts = staged(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     groups = _groups({r.lang: r.k for r in counts.groupBy("lang").agg(F.count(F.lit(1)).alias("k")).collect()})
     if len(groups) == 1 and groups[0][1] == 1:
         return Tree(_arrays(counts.toArrow(), groups[0][0]))
@@ -285,7 +285,7 @@ def _lengths(docs: DataFrame, forest: Forest) -> DataFrame:
 
         def run(batches, k=k, shared=shared):
             t = shared.value
-            for batch in batches:
+            for batch in sliced(batches):
                 offsets, data = text_buffer(batch.column("_text"))
                 length = t.score(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array([k] * len(length), pa.int32()), pa.array(length.tolist(), pa.list_(pa.int64()))], names=["_key", "part", "bits"])
@@ -303,7 +303,6 @@ def predict(docs: DataFrame, tree: Tree | Forest, id_cols: tuple[str, ...] = ("d
     languages. Texts are read whole, however long. Repeated rows are predicted each. With a model in parts texts are read
     once a part and only code lengths are shuffled, by a digest of the text.
     """
-    small_batches(docs.sparkSession)
     cols = docs.select(*id_cols, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.select(*id_cols).schema)
     langs = tree.langs
@@ -327,7 +326,7 @@ def predict(docs: DataFrame, tree: Tree | Forest, id_cols: tuple[str, ...] = ("d
             return shared.value.score(data, offsets)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
             length = length_of(batch) if langs and letters.any() else np.zeros((len(letters), len(langs)), np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in id_cols], *_decide(langs, length, letters)], names=[*id_cols, "lang_pred", "score"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +33,11 @@ def words(c: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the place that the cluster shares: spark.checkpoint.dir, or one of our own where that is unset."""
+    """A new folder in the place that the cluster shares: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -56,9 +60,30 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows per Arrow batch: Spark bounds a batch by rows only, so long texts need few of them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = 10_000, size: str = "2m"):
+    """Bounds the Arrow batches of the jobs that run inside, by rows and by bytes; the session's own bounds come back after it.
+
+    A result that is computed later has the session's bounds, which are 10,000 rows and 64 MB unless it states others.
+    """
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(x) for x in names]
+    for name, value in zip(names, (str(rows), size)):
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def sliced(batches, size: int = 1 << 20):
+    """Batches in slices of rows of about so many bytes, so that what is made of one doesn't follow the session's batch size."""
+    for batch in batches:
+        n = max(1, min(batch.num_rows, -(-batch.nbytes // size)))
+        step = max(1, -(-batch.num_rows // n))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def rows_wanted(df: DataFrame, rows_per_task: int, least: int = 12) -> int:

@@ -68,8 +68,8 @@ def test_shingles_hash_like_words():
     assert [len(s) for s in sets] == [2, 2, 1, 1, 0, 0, 1, 1, 4, 1]
     assert sets[0] == sets[1] == sets[6] | sets[7] and sets[7] < sets[8]
     assert not sets[2] & (sets[0] | sets[3])
-    nodes = j._nodes(bounds, token)
-    assert nodes[0] == nodes[1] and len(set(nodes.tolist())) == 8
+    nodes = list(zip(*[h.to_pylist() for h in j._hashes(bounds, token)]))
+    assert nodes[0] == nodes[1] and len(set(nodes)) == 8
 
 
 def test_odd_tables(spark):
@@ -79,3 +79,42 @@ def test_odd_tables(spark):
     assert j.jaccard_components(df.limit(0)).count() == 0
     kept = j.near_duplicate_filter(spark.createDataFrame([(3, "a b c d e f g"), (2, "A b c d e f g"), (9, "x")], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9]
+
+
+def test_no_pair_that_links_fails_the_filters():
+    r, passed = random.Random(5), {True: 0, False: 0}
+    for _ in range(3000):
+        n = r.choice([1, 3, 6, 7, 20, 60, 200])
+        x = {r.getrandbits(64) for _ in range(n)}
+        y = set(r.sample(sorted(x), max(1, round(n * r.choice([0.3, 0.7, 0.9, 0.95, 1]))))) | {r.getrandbits(64) for _ in range(round(n * r.choice([0, 0.02, 0.1, 0.5])))}
+        x, y = (np.array(sorted(s), np.uint64) for s in (x, y))
+        for percent in (80, 85):
+            ends = []
+            for s in (x, y):
+                p = int(j._prefix(np.int64(len(s)), percent))
+                ends.append(np.concatenate([s[:p], s[len(s) - p :]]))
+            want = 100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y))
+            assert j.links(x, y, percent) == want
+            may = j.may_link(*ends, len(x), len(y), percent)
+            assert may or not want
+            if not want:
+                passed[may] += 1
+    assert passed[False] > 2 * passed[True]  # and most of the others do
+
+
+def test_hot_nodes_and_many_ids(spark, monkeypatch):
+    """Nodes of many pairs are dealt out, and ids too many for a filter are joined."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            words[r.randrange(120)] = f"x{r.randrange(500)}"
+        texts.append(" ".join(words))
+    texts += corpus(4, 15)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(j, "NODE_PAIRS", 3)
+    monkeypatch.setattr(j, "HOT_NODES", 2)
+    monkeypatch.setattr(j, "FILTER_IDS", 5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.jaccard_components(df).collect()} == brute(texts, 4, 85)
