@@ -30,7 +30,7 @@ from .shared import arrow_batches, discard, staged, table
 
 #: Cells of the frequency sketch: as many as there are documents, within these bounds. The sketch orders the work and
 #: never decides a result.
-LEAST_CELLS, MOST_CELLS, SLICES = 1 << 18, 1 << 24, 16
+LEAST_CELLS, MOST_CELLS, SLICES = 1 << 20, 1 << 24, 16
 #: Ids that a filter of 32 bits an id is made for, 32 MB at most; more ids are joined instead.
 FILTER_IDS = 1 << 23
 #: Pairs of one node that meet in one place; a node with more of them is dealt out.
