@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACES, ascii_lower, table
+from .shared import SPACES, ascii_lower, free, staged, table
+
+#: So many common lines at most, some 30 MB, go to all tasks; with more, lines are shuffled to them.
+BROADCAST_LINES = 500_000
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -21,7 +24,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
 
     Null or empty text is one empty line (the text becomes ""). Documents without an id don't count towards min_docs
     and keep no common line. Repeated rows of one id are one document: all of them keep or lose a line. Texts that
-    lose all lines become "". Other columns pass through, whatever their names but for the two that are added.
+    lose all lines become "". Other columns pass through, whatever their names; those that are called like the two added
+    ones are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     marks = (
@@ -30,31 +34,40 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .where(F.length("line") >= min_chars)
         .select("id", "print", "pos", F.unhex(F.md5(ascii_lower(F.col("line")))).alias("key"))
     )
+    marks = staged(marks)  # read twice, without the texts
     common = (
         marks.groupBy("key", "id").agg(F.lit(1).alias("one"))
         .groupBy("key").agg(F.count("id").alias("n"), F.max("id").alias("last"))
         .where(F.col("n") >= min_docs).select("key", "last")
     )
+    common = staged(common)
+    if common.count() <= BROADCAST_LINES:
+        common = F.broadcast(common)
     drops = (
         marks.join(common, "key").where(F.col("id").isNull() | (F.col("id") < F.col("last")))
-        .groupBy("id", "print").agg(F.collect_set("pos").alias("_drop"))
+        .groupBy("id", "print").agg(F.collect_set("pos").alias("drop"))
     )
+    print_, other, lines, drop, id_ = free(docs.columns, "print", "print_of", "lines", "drop", "id")
+    drops = drops.select(F.col("id").alias(id_), F.col("print").alias(other), F.col("drop").alias(drop))
     # the lines are split below the join, so that the positions above pick from an array that is there once
-    left = docs.select("*", F.xxhash64(text).alias("_print"), F.split(text, "\n", -1).alias("_lines"))
-    on = left[id_col].eqNullSafe(drops["id"]) & (left["_print"] == drops["print"])
-    n = F.size("_lines")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), "_drop"), lambda p: F.col("_lines")[p])
+    left = docs.select("*", F.xxhash64(text).alias(print_), F.split(text, "\n", -1).alias(lines))
+    on = left[id_col].eqNullSafe(drops[id_]) & (left[print_] == drops[other])
+    n = F.size(lines)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), drop), lambda p: F.col(lines)[p])
     return left.join(drops, on, "left").select(
-        *[(F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else left[c]) for c in docs.columns],
+        *[(F.when(F.col(drop).isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else left[c]) for c in docs.columns if c not in ADDED],
         n.cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"),
+        F.greatest(F.coalesce(F.size(drop), F.lit(0)), F.lit(0)).cast("long").alias("_n_dropped"),
     )
 
 
+ADDED = ("_n_lines", "_n_dropped")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup(docs)
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.greatest("_n_dropped", F.lit(0)).alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP10_SQL = """

@@ -32,6 +32,17 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the place that the cluster shares: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
