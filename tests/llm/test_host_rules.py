@@ -30,7 +30,7 @@ def verdicts(rows, max_rate=0.5):
     if not n:
         return []
     mean = f / n
-    v = sum(y * y / x for x, y in hosts.values()) / n - mean * mean
+    v = sum(y * y / x for x, y in hosts.values()) / n - mean * mean - mean * (1 - mean) * len(hosts) / n
     k = min(1e6, max(1.0, mean * (1 - mean) / v - 1)) if v > 1e-12 else 1e6
     ok = {host: (y + mean * k) / (x + k) <= max_rate for host, (x, y) in hosts.items()}
     return [not b and ok[host] for (host, _), b in zip(rows, bad)]
