@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .shared import SPACES, WORD, staged, table
 
-BUCKET_ROWS = 20_000
+#: Rows of a source's bucket at most, and buckets of a source, whose sums are one task's window.
+BUCKET_ROWS, BUCKETS = 4_000, 1 << 17
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
@@ -72,7 +73,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, bl
     aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     plan = apportioned(aims, block, shards)
     n = sized.count()
-    buckets = max(1, n // BUCKET_ROWS)
+    buckets = min(BUCKETS, max(1, n // BUCKET_ROWS))
     # by the order's high bits: bucket numbers rise with the order
     spread = sized.withColumn("_bucket", F.floor((F.col("_order").cast("double") / 2.0**64 + 0.5) * buckets).cast("long"))
     sums = spread.groupBy("source", "_bucket").agg(F.sum("size").alias("_in"))
@@ -102,22 +103,25 @@ def sized_docs(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The mix as documents, with the columns of docs: a row for each whole round that takes a document, and one with
-    the first words of a document whose last round ends within it. Documents that the mix doesn't take are gone; rows that
-    repeat an id and its text are taken together, as one row's rounds."""
+    """The mix as documents, with the columns of docs, whatever their names: a row for each whole round that takes a
+    document, and one with the first words of a document whose last round ends within it. Documents that the mix doesn't
+    take are gone; rows that repeat an id and its text are taken together, as one row's rounds."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    taken = mix(sized_docs(docs, seed)).groupBy(F.col("doc_id").alias("_id"), F.col("_order").alias("_o")).agg(F.first("size").alias("_size"), F.sum("taken").alias("_taken"))
-    out = docs.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", text)).dropDuplicates(["doc_id", "_order"])
-    out = out.join(taken, out["doc_id"].eqNullSafe(taken["_id"]) & (out["_order"] == taken["_o"])).where("_taken > 0")
-    part = F.col("_taken") % F.col("_size")
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("_taken") / F.col("_size")).cast("int"))
-    out = out.withColumn("_words", F.explode(F.when(part > 0, F.array_append(whole, part)).otherwise(whole)))
-    pieces = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
-    fields = {"text": F.when(F.col("_words") < 0, F.col("text")).otherwise(cut)}
+    # one key for the rows and what is taken of them, so that texts are shuffled once
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
+    taken = mix(sized_docs(docs, seed)).select(*key, "_order", "size", "taken").groupBy("id", "none", "_order").agg(F.first("size").alias("size"), F.sum("taken").alias("taken"))
+    out = docs.select(*key, F.xxhash64(F.lit(seed), "doc_id", text).alias("_order"), F.struct(*docs.columns).alias("own")).dropDuplicates(["id", "none", "_order"])
+    out = out.join(taken, ["id", "none", "_order"]).where("taken > 0")
+    part = F.col("taken") % F.col("size")
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    out = out.select("own", F.explode(F.when(part > 0, F.array_append(whole, part)).otherwise(whole)).alias("words"))
+    own, words = F.col("own"), F.col("words")
+    pieces = F.regexp_extract_all(F.coalesce(own["text"], F.lit("")), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    cut = F.array_join(F.slice(pieces, F.lit(1), words.cast("int")), "")
+    fields = {"text": F.when(words < 0, own["text"]).otherwise(cut)}
     if "n_chars" in docs.columns:
-        fields["n_chars"] = F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length(cut).cast("long"))
-    return out.select(*[fields[c].alias(c) if c in fields else F.col(c) for c in docs.columns])
+        fields["n_chars"] = F.when(words < 0, own["n_chars"]).otherwise(F.length(cut).cast("long"))
+    return out.select(*[fields.get(c, own[c]).alias(c) for c in docs.columns])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
