@@ -1,8 +1,9 @@
 """Sharding by minimax contiguous partition.
 
 Documents of equal text are one atomic group; groups stand in the order of their 128-bit text digests. The smallest
-capacity for which a greedy pass fits the groups into the shards is found by binary search, and the groups are cut
-where that pass cuts. The search needs the sizes of groups only around the cuts: elsewhere it works on bins, runs of
+capacity for which a greedy pass fits the groups into the shards is found by binary search. Within that capacity the
+groups are cut as near to even shares as it allows, so that no shard is larger than the least possible and the last one
+isn't left short. The search needs the sizes of groups only around the cuts: elsewhere it works on bins, runs of
 groups whose digests share leading bits, and it splits the bins that a cut may fall into until none is left to split.
 So the driver holds a bounded number of bins however many groups there are.
 """
@@ -71,6 +72,26 @@ def smallest_capacity(sizes: np.ndarray, shards: int, low: int | None = None) ->
     return low
 
 
+def _even(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cuts nearest to even shares such that no shard exceeds a capacity that a greedy pass can do with."""
+    n, total = len(ends), int(ends[-1])
+    starts = np.concatenate([[0], ends])
+    # earliest[i]: the first place from which the last i shards hold all that is left
+    earliest = [n]
+    for _ in range(shards - 1):
+        earliest.append(int(np.searchsorted(starts, starts[earliest[-1]] - capacity, side="left")))
+    cuts, at = [], 0
+    for i in range(1, shards):
+        share = total * i // shards
+        near = int(np.searchsorted(starts, share, side="left"))
+        if near and share - starts[near - 1] < starts[near] - share:
+            near -= 1
+        most = int(np.searchsorted(starts, starts[at] + capacity, side="right")) - 1
+        at = max(at, min(max(near, earliest[shards - i]), most))
+        cuts.append(at)
+    return [*cuts, n]
+
+
 def _doubtful(sizes: np.ndarray, low: int, high: int, shards: int) -> np.ndarray:
     """Which bins a cut may fall into, for any capacity from low to high. Bins' borders are groups' borders, so a greedy
     cut is never before the last border within low of the least start, nor beyond high from the greatest."""
@@ -115,7 +136,11 @@ def plan_cuts(digests: DataFrame, shards: int, first_bits: int = 14, more_bits:
     while len(units):
         # bins kept whole fit this capacity, and groups can do no better than the even share
         high, low = smallest_capacity(units[:, 2], left), -(-int(units[:, 2].sum()) // left)
-        doubt = _doubtful(units[:, 2], low, high, left) & (units[:, 3] > 1)
+        sizes, ends = units[:, 2], np.cumsum(units[:, 2])
+        doubt = _doubtful(sizes, low, high, left) | _doubtful(sizes[::-1], low, high, left)[::-1]
+        even = np.searchsorted(ends, [int(ends[-1]) * i // left for i in range(1, left)])
+        doubt[np.minimum(even, len(units) - 1)] = True
+        doubt &= units[:, 3] > 1
         if not doubt.any():
             break
         opened = F.lit(False)
@@ -132,7 +157,7 @@ def plan_cuts(digests: DataFrame, shards: int, first_bits: int = 14, more_bits:
         units = units[np.lexsort((units[:, 1], units[:, 0]))]
     if not len(units):
         return [], alone
-    cuts = _greedy(np.cumsum(units[:, 2]), smallest_capacity(units[:, 2], left), left)
+    cuts = _even(np.cumsum(units[:, 2]), smallest_capacity(units[:, 2], left), left)
     last = (1 << 61, 0)
     return [(int(units[i, 0]), int(units[i, 1])) if i < len(units) else last for i in cuts[:-1]], alone
 
@@ -140,7 +165,7 @@ def plan_cuts(digests: DataFrame, shards: int, first_bits: int = 14, more_bits:
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard and slot of every document, under the law that shards' bytes are near equal.
 
-    Size is the text's UTF-8 bytes (null: none) plus 16. Equal texts share a shard; null texts are equal to one another
+    Size is the text's UTF-8 bytes (null: none) plus 16; text_crc32 of a null text is null. Equal texts share a shard; null texts are equal to one another
     and to nothing else. Slots count from 0 in each shard without gaps. Repeated rows get slots of their own; an empty
     table gives no rows; other columns are not read.
     """

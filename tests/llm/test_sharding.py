@@ -73,3 +73,24 @@ def test_empty_and_fewer_groups_than_shards(spark):
     assert {r.shard for r in rows_of(spark, ["a", "a"], 4)[1]} < set(range(4))
     df = spark.createDataFrame([(1, "a", 2, "x")], "doc_id long, text string, size long, shard string")
     assert s.shard(df, 3).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_even_cuts_keep_the_least_capacity(seed):
+    r = random.Random(seed)
+    sizes = np.array([r.choice([1, 5, 20, 100]) for _ in range(r.randrange(1, 200))])
+    k = r.randrange(1, 12)
+    capacity = s.smallest_capacity(sizes, k)
+    cuts = s._even(np.cumsum(sizes), capacity, k)
+    assert len(cuts) == k and cuts == sorted(cuts) and cuts[-1] == len(sizes)
+    sums = [int(x.sum()) for x in np.split(sizes, cuts[:-1])]
+    assert max(sums) <= capacity
+
+
+def test_no_shard_is_short(spark):
+    r = random.Random(3)
+    _, rows = rows_of(spark, ["x" * r.randrange(1, 400) + str(i) for i in range(4000)], 12)
+    sums = {}
+    for x in rows:
+        sums[x.shard] = sums.get(x.shard, 0) + x.size
+    assert len(sums) == 12 and max(sums.values()) - min(sums.values()) < 1000
