@@ -68,8 +68,8 @@ def _marks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at[hit] + 1, owner[hit]
 
 
-def assemble(conv: np.ndarray, roles: list[bytes], role_of: np.ndarray, offsets: np.ndarray, data: np.ndarray, learn: np.ndarray, first_part: int) -> pa.RecordBatch:
-    """One batch of turns, in order, as a row per run of one conversation.
+def assemble(conv: np.ndarray, roles: list[bytes], role_of: np.ndarray, offsets: np.ndarray, data: np.ndarray, learn: np.ndarray, first_part: int, nameless: int = 0) -> pa.RecordBatch:
+    """One batch of turns, in order, as a row per run of one conversation. The first `nameless` turns have no conv_id.
 
     offsets, data: the contents as one buffer.
     """
@@ -100,7 +100,10 @@ def assemble(conv: np.ndarray, roles: list[bytes], role_of: np.ndarray, offsets:
         out[to[marks] - 1] = ord("\\")
     # rows: runs of one conversation; mask spans in code points of the row's string
     points = np.concatenate([[0], np.cumsum((out & 0xC0) != 0x80)])
-    run = np.flatnonzero(np.concatenate([[True], conv[1:] != conv[:-1]]))
+    new = np.concatenate([[True], conv[1:] != conv[:-1]])
+    if 0 < nameless < n:
+        new[nameless] = True
+    run = np.flatnonzero(new)
     ends = np.concatenate([run[1:], [n]])
     row_of = np.repeat(np.arange(len(run)), ends - run)
     base = points[start[run]]
@@ -114,7 +117,7 @@ def assemble(conv: np.ndarray, roles: list[bytes], role_of: np.ndarray, offsets:
     part[0] = first_part
     formatted = pa.StringArray.from_buffers(len(run), pa.py_buffer(text_offsets), pa.py_buffer(out))
     return pa.RecordBatch.from_arrays(
-        [pa.array(conv[run]), pa.array(part), pa.array((ends - run).astype(np.int32)), formatted, ints(s0), ints(length)],
+        [pa.array(conv[run], mask=run < nameless), pa.array(part), pa.array((ends - run).astype(np.int32)), formatted, ints(s0), ints(length)],
         names=["conv_id", "part", "n_turns", "formatted", "mask_start", "mask_length"],
     )
 
@@ -133,7 +136,8 @@ def _format(batches):
     last, part = None, 0
     for batch in batches:
         offsets, data = _flat(batch.column("text"))
-        conv = batch.column("conv_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = batch.column("conv_id")
+        conv, none = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.null_count  # nulls stand first
         role = batch.column("role").dictionary_encode()
         names = role.dictionary.to_pylist()
         roles, role_of = [_escape_role(x) for x in names], role.indices.to_numpy(zero_copy_only=False)
@@ -141,11 +145,12 @@ def _format(batches):
         at = 0
         while at < len(conv):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PART_BYTES, side="right")) - 1)
-            part = part + 1 if last is not None and conv[at] == last else 0
-            piece = assemble(conv[at:to], roles, role_of[at:to], offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]], learn[at:to], part)
-            if (conv[at:to] != conv[at]).any():
+            first = (at < none, conv[at])
+            part = part + 1 if first == last else 0
+            piece = assemble(conv[at:to], roles, role_of[at:to], offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]], learn[at:to], part, max(0, none - at))
+            last, at = (to - 1 < none, conv[to - 1]), to
+            if last != first:
                 part = 0
-            last, at = conv[to - 1], to
             yield piece
 
 
@@ -155,9 +160,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     A conversation is one row, or some rows (parts) of about a MB where it is longer or goes over a batch; a part holds
     whole turns, and mask_start and mask_length are the code points of its assistants' contents. Null text and null
     role are empty. Turns stand by turn, then role, then text, nulls first; repeated rows are repeated turns. Turns
-    without a conversation are left out. A very long text is a part of its own. Other columns are not read.
+    without a conv_id are one conversation without a number. A very long text is a part of its own. Other columns are not read.
     """
-    t = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(_format, SCHEMA)
 
@@ -206,3 +211,24 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     return read_back(format_chats(turns.unionByName(extra)))
+
+
+def _sql_role(role: str) -> str:
+    return f"replace(replace({role}, '\\', '\\\\'), chr(10), '\\n')"
+
+
+#: A control string with any backslashes behind its first character.
+_SQL_CONTROL = "|".join(rf"{re.escape(c[0])}\\*{re.escape(c[1:])}" for c in CONTROLS)
+OP4_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, {len(HEAD) + 1 + len(TAIL)} + length({_sql_role("role")}) + len(regexp_extract_all({_sql_role("role")}, '{_SQL_CONTROL}'))
+    + length(text) + len(regexp_extract_all(text, '{_SQL_CONTROL}')) AS chars FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

@@ -7,7 +7,7 @@ from stopdelay.llm import chat_format as c
 def digests(rows):
     """The contract, row by row: rows of (conv_id, turn, role, text)."""
     out = {}
-    for conv, _, role, text in sorted(((r[0], r[1], r[2] or "", r[3] or "") for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2], r[3])):
+    for conv, _, role, text in sorted(((r[0], r[1], r[2] or "", r[3] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])):
         x = out.setdefault(conv, [0, "", ""])
         x[0] += 1
         x[1] += f"{role}\n{text}\n"
@@ -33,11 +33,11 @@ def test_controls_nulls_and_borders(spark):
     rows = [(i // 5, i % 5, ["user", "assistant", "system", None, "a\nb\\n"][i % 5], t) for i, t in enumerate(TRICKY * 3)]
     check(spark, rows)
     check(spark, [(7, 0, "assistant", t) for t in TRICKY])  # ties in turn
-    check(spark, [(None, 0, "user", "x"), (3, None, "assistant", "y"), (3, None, "assistant", "y"), (3, 1, "user", "z")])
+    check(spark, [(None, 0, "user", "x"), (0, 0, "user", "zero"), (None, 1, "assistant", "y"), (3, None, "assistant", "y"), (3, None, "assistant", "y"), (3, 1, "user", "z")])
 
 
 def test_conversation_in_parts(spark, monkeypatch):
-    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <s> " + "x" * (i % 50)) for i in range(900)] + [(2, 0, "user", "y" * 3_000_000), (2, 1, "assistant", "<s>" * 1000)]
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} <s> " + "x" * (i % 50 * 100)) for i in range(900)] + [(2, 0, "user", "y" * 3_000_000), (2, 1, "assistant", "<s>" * 1000)]
     check(spark, rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     assert c.format_chats(df).where("conv_id = 1").count() > 1
