@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .shared import table
 
 #: Rows of a shard and queries of a block, on average; a cell holds one of each.
-SHARD_ROWS, BLOCK_QUERIES = 16_384, 2_048
+SHARD_ROWS, BLOCK_QUERIES = 16_384, 16_384
 #: Components and sums of products of up to this size are held in 64 bits; larger ones are Python's whole numbers.
 LARGEST = 1 << 61
 
