@@ -522,8 +522,9 @@ def _found(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     kept = _shared_tokens(post, nodes)
     discard(post)
     heads = kept.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max(F.struct("common", "n", "node", "pos")).alias("head")).where("lo <> hi").select("token", "head")
+    heads = staged(heads)  # a table of its own, so that Spark can split the join where one token has many rows
     shared = staged(kept.join(heads, "token"))
-    discard(kept)
+    discard(kept, heads)
     whole = 100 + percent
     fits = whole * F.least(F.col("n") - F.col("pos"), F.col("head.n") - F.col("head.pos")) >= percent * (F.col("n") + F.col("head.n"))
     stars = staged(shared.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct())
@@ -557,3 +558,28 @@ def near_duplicate_filter(docs: DataFrame, k: int = 5, percent: int = 80) -> Dat
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), listed AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM worded
+), sets AS (
+  SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS node FROM listed WHERE len(s) > 0 GROUP BY ALL
+), shingles AS (
+  SELECT node, n, hash(unnest(s)) AS x FROM sets
+), pairs AS (
+  SELECT a.node AS a, b.node AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.node < b.node AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reach(node, root) AS (
+  SELECT node, node FROM sets UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node WHERE r.root < e.b
+), least AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT doc_id, len(l.s)::BIGINT AS n_shingles, coalesce(least.root, doc_id) AS component_id
+FROM listed l LEFT JOIN sets ON sets.s = list_sort(l.s) LEFT JOIN least USING (node)
+"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_rules": host_rules.OP6_SQL, "op7_maxscore": maxscore.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op3_ngram_join": ngram_join.OP3_SQL, "op4_chat_format": chat_format.OP4_SQL, "op6_host_rules": host_rules.OP6_SQL, "op7_maxscore": maxscore.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
