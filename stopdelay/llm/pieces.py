@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import sliced, table
+from .shared import free, sliced, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -199,13 +199,14 @@ def encode(df: DataFrame, path: str = MODEL, text_col: str = "text", ids_col: st
     """
     model = _shared(df.sparkSession, path)
     keep = [c for c in df.columns if c not in (text_col, ids_col)]
-    src = df.select(*keep, F.col(text_col).alias("_text"))
+    (own,) = free(keep, "text")
+    src = df.select(*keep, F.col(text_col).alias(own))
     schema = src.select(*keep).withColumn(ids_col, F.array().cast("array<int>")).schema
 
     def run(batches):
         p = _ready(model)
         for batch in sliced(batches):
-            coded = [p.encode(t or "") for t in batch.column("_text").to_pylist()]
+            coded = [p.encode(t or "") for t in batch.column(own).to_pylist()]
             offsets = np.cumsum([0, *[len(x) // 4 for x in coded]]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), "<i4")))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], ids], names=[*keep, ids_col])
@@ -218,13 +219,14 @@ def decode(df: DataFrame, path: str = MODEL, ids_col: str = "ids", text_col: str
     """df with the text of ids_col in its place; null ids are the empty text. A column called like text_col is replaced."""
     model = _shared(df.sparkSession, path)
     keep = [c for c in df.columns if c not in (text_col, ids_col)]
-    src = df.select(*keep, F.col(ids_col).alias("_ids"))
+    (own,) = free(keep, "ids")
+    src = df.select(*keep, F.col(ids_col).alias(own))
     schema = src.select(*keep).withColumn(text_col, F.lit("")).schema
 
     def run(batches):
         p = _ready(model)
         for batch in sliced(batches):
-            ids = batch.column("_ids").cast(pa.large_list(pa.int32())).fill_null([])
+            ids = batch.column(own).cast(pa.large_list(pa.int32())).fill_null([])
             offsets = ids.offsets.to_numpy()
             texts = p.decode(ids.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts], names=[*keep, text_col])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, sliced, staged, table
+from .shared import arrow_batches, free, sliced, staged, table
 
 ORDER = 3
 UNIT = 1 << 16
@@ -303,18 +303,19 @@ def predict(docs: DataFrame, tree: Tree | Forest, id_cols: tuple[str, ...] = ("d
     languages. Texts are read whole, however long. Repeated rows are predicted each. With a model in parts texts are read
     once a part and only code lengths are shuffled, by a digest of the text.
     """
-    cols = docs.select(*id_cols, F.col(text_col).alias("_text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    text_, letters_, key_, parts_ = free(list(id_cols), "text", "letters", "key", "parts")
+    cols = docs.select(*id_cols, F.col(text_col).alias(text_), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters_))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cols.select(*id_cols).schema)
     langs = tree.langs
     if isinstance(tree, Forest):
-        keyed = cols.withColumn("_key", F.when(F.col("_letters"), F.sha2(F.col("_text"), 256)))
-        lengths = _lengths(keyed.where("_letters").select("_key", "_text"), tree)
-        cols = keyed.drop("_text").join(lengths, "_key", "left").select(*id_cols, "_letters", "_parts")
+        keyed = cols.withColumn(key_, F.when(F.col(letters_), F.sha2(F.col(text_), 256)))
+        lengths = _lengths(keyed.where(F.col(letters_)).select(F.col(key_).alias("_key"), F.col(text_).alias("_text")), tree).toDF(key_, parts_)
+        cols = keyed.drop(text_).join(lengths, key_, "left").select(*id_cols, letters_, parts_)
         places = [np.array([langs.index(x) for x in own]) for own, _ in tree.parts]
 
         def length_of(batch):
             out = np.zeros((batch.num_rows, len(langs)), np.int64)
-            for row, found in zip(out, batch.column("_parts").to_pylist()):
+            for row, found in zip(out, batch.column(parts_).to_pylist()):
                 for x in found or ():
                     row[places[x["part"]]] += np.array(x["bits"], np.int64)
             return out
@@ -322,12 +323,12 @@ def predict(docs: DataFrame, tree: Tree | Forest, id_cols: tuple[str, ...] = ("d
         shared = docs.sparkSession.sparkContext.broadcast(tree)
 
         def length_of(batch):
-            offsets, data = text_buffer(batch.column("_text"))
+            offsets, data = text_buffer(batch.column(text_))
             return shared.value.score(data, offsets)
 
     def run(batches):
         for batch in sliced(batches):
-            letters = batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            letters = batch.column(letters_).to_numpy(zero_copy_only=False).astype(bool)
             length = length_of(batch) if langs and letters.any() else np.zeros((len(letters), len(langs)), np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in id_cols], *_decide(langs, length, letters)], names=[*id_cols, "lang_pred", "score"])
 
