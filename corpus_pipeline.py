@@ -14,7 +14,7 @@ from stopdelay.llm.line_dedup import line_dedup
 from stopdelay.llm.mixing import mixed_documents
 from stopdelay.llm.ngram_join import near_duplicate_filter
 from stopdelay.llm.pieces import encode
-from stopdelay.llm.shared import staged, table
+from stopdelay.llm.shared import discard, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
