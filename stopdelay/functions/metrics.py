@@ -9,11 +9,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BINS = 10
+#: Terms of a metric are summed as whole billionths: such sums are exact, whatever the order of the rows.
+UNIT = 1e9
+
+
+def units(x: Column) -> Column:
+    return F.round(x * UNIT).cast("decimal(20,0)")
+
+
+def total(x: Column) -> Column:
+    return F.sum(units(x)).cast("double") / UNIT
+
+
+def mean(x: Column) -> Column:
+    return total(x) / F.count(x)
 
 
 def pinball(y: Column, pred: Column, alpha: float) -> Column:
     d = y - pred
-    return F.avg(F.greatest(alpha * d, (alpha - 1) * d))
+    return mean(F.greatest(alpha * d, (alpha - 1) * d))
 
 
 def coverage(y: Column, q: Column) -> Column:
@@ -21,7 +35,7 @@ def coverage(y: Column, q: Column) -> Column:
 
 
 def quantile_metrics(y: Column, p50: Column, p90: Column) -> dict[str, Column]:
-    return {"pinball_p50": pinball(y, p50, 0.5), "pinball_p90": pinball(y, p90, 0.9), "mae_p50": F.avg(F.abs(y - p50)), "coverage_p90": coverage(y, p90)}
+    return {"pinball_p50": pinball(y, p50, 0.5), "pinball_p90": pinball(y, p90, 0.9), "mae_p50": mean(F.abs(y - p50)), "coverage_p90": coverage(y, p90)}
 
 
 def bin_of(prob: Column, bins: int = BINS) -> Column:
@@ -30,12 +44,13 @@ def bin_of(prob: Column, bins: int = BINS) -> Column:
 
 def reliability_table(df: DataFrame, y: str, prob: str, by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
     """Rows, mean probability and observed share of every bin that has rows."""
-    return df.withColumn("bin", bin_of(F.col(prob), bins)).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg(prob).alias("mean_prob"), F.avg(y).alias("observed"))
+    return df.withColumn("bin", bin_of(F.col(prob), bins)).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), mean(F.col(prob)).alias("mean_prob"), mean(F.col(y)).alias("observed"))
 
 
 def expected_calibration_error(df: DataFrame, y: str, prob: str, by: Sequence[str] = (), bins: int = BINS) -> DataFrame:
-    gap = F.col("n") * F.abs(F.col("mean_prob") - F.col("observed"))
-    return reliability_table(df, y, prob, by, bins).groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"))
+    """The bins' gaps between summed probabilities and outcomes, by rows."""
+    sums = df.groupBy(*by, bin_of(F.col(prob), bins).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.abs(F.sum(units(F.col(prob))) - F.sum(units(F.col(y)))).alias("_gap"))
+    return sums.groupBy(*by).agg((F.sum("_gap").cast("double") / UNIT / F.sum("_n")).alias("ece"))
 
 
 def rank_metrics(df: DataFrame, y: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
@@ -62,13 +77,14 @@ def rank_metrics(df: DataFrame, y: str, prob: str, by: Sequence[str] = ()) -> Da
     above_pos, above_neg = F.col("_all_pos") - F.col("_p0") - F.col("_p"), F.col("_all_neg") - below_neg  # this score and higher ones
     both = (F.max("_all_pos") > 0) & (F.max("_all_neg") > 0)
     auc = F.sum(F.col("_pos") * (below_neg + F.col("_neg") / 2)) / F.max(F.col("_all_pos") * F.col("_all_neg"))
-    ap = F.sum(F.col("_pos") * above_pos / (above_pos + above_neg)) / F.max("_all_pos")
+    ap = total(F.col("_pos") * (above_pos / (above_pos + above_neg))) / F.max("_all_pos")
     return s.groupBy(*keys).agg(F.when(both, auc).alias("roc_auc"), F.when(both, ap).alias("pr_auc"))
 
 
 def classification_metrics(df: DataFrame, y: str, prob: str, by: Sequence[str] = ()) -> DataFrame:
     """roc_auc, pr_auc, brier, base_rate and ece, a row per group; y is 0 or 1."""
-    base = df.groupBy(*by).agg(F.avg(F.pow(F.col(prob) - F.col(y), 2)).alias("brier"), F.avg(y).alias("base_rate"))
+    miss = F.col(prob) - F.col(y)
+    base = df.groupBy(*by).agg(mean(miss * miss).alias("brier"), mean(F.col(y)).alias("base_rate"))
     parts = (rank_metrics(df, y, prob, by), expected_calibration_error(df, y, prob, by))
     for part in parts:
         base = base.join(part, list(by)) if by else base.join(part)  # one row each where nothing groups them

@@ -9,11 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import LATE_MIN
+from ..sources.tables import small
 
+#: Days of a window, and the entities that have a history.
 WINDOWS = (14, 30)
 GRANULARITIES = {"train": ["train_type", "train_number"], "station_type": ["station_name", "train_type"], "type": ["train_type"]}
 
 
+#: Entities of which there are few, so that their tables are worth a look at their size.
+COARSE = ("station_type", "type")
+
+
 def stat_columns(prefix: str, windows: Sequence[int] = WINDOWS) -> list[str]:
     return [f"{prefix}_{s}_{w}d" for w in windows for s in ("mean_delay", "delayed_rate")] + [f"{prefix}_count_{windows[-1]}d"]
 
@@ -86,7 +92,8 @@ def attach_rolling(df: DataFrame, prefix: str, keys: Sequence[str], windows: Seq
     age = F.date_diff("event_date", F.col("_s.join_date"))
     # the column's own window is its tolerance
     known = [F.when(age <= int(c.rsplit("_", 1)[1][:-1]), F.col("_s")[c]).alias(c) for c in cols]
-    return df.join(prior.select(*keys, "event_date", *known), [*keys, "event_date"], "left")
+    table = prior.select(*keys, "event_date", *known)
+    return df.join(small(table) if prefix in COARSE else table, [*keys, "event_date"], "left")
 
 
 def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:

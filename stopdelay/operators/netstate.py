@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import LATE_MIN, seal_time
+from ..sources.tables import small
 
 SCOPES = {"station_live": ["station_name"], "type_live": ["train_type"], "network_live": []}
 
@@ -58,7 +59,8 @@ def add_network_state(df: DataFrame, lead_minutes: int | None = None, scopes: Se
     out = df.withColumn("_end", seal)
     for scope in scopes:
         keys = SCOPES[scope]
-        out = out.join(hourly_state(obs, keys, scope, slide), [*keys, "_end"], "left")
+        state = hourly_state(obs, keys, scope, slide)
+        out = out.join(state if scope == "station_live" else small(state), [*keys, "_end"], "left")
     if "station_live" in scopes:
         out = out.withColumn("station_live_n_60m", F.coalesce("station_live_n_60m", F.lit(0)))
     return out.drop("_end")

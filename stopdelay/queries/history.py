@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.times import add_calendar_features, add_scheduled_time, holidays
+from ..functions.times import ZONE, add_calendar_features, add_scheduled_time, holidays
 from ..operators import history as h
 from ..operators import netstate as n
 from ..plans.features import build_feature_frame
@@ -134,7 +134,13 @@ def calendar_features(spark, d):
     return s.select("id", "event_date", "scheduled_hour", "weekday", "month", "is_weekend", "is_holiday")
 
 
-def frame_sql():
+def frame_sql(local: bool = False):
+    """local: of the calendar of Berlin, which the adapters' month keeps an hour ahead."""
+    source, calendar, wall = a.PLANNED, CALENDAR, "p.scheduled_time"
+    if local:
+        wall = "CAST(timezone('Europe/Berlin', timezone('UTC', p.scheduled_time)) AS TIMESTAMP)"
+        source += f", local AS (SELECT p.* EXCLUDE (event_date), CAST({wall} AS DATE) AS event_date FROM planned p)"
+        calendar = CALENDAR.replace("scheduled_time", wall)
     parts = [rolled(p, k) for p, k in h.GRANULARITIES.items()] + [state_sql(s, k) for s, k in n.SCOPES.items()]
     joins = "".join(f"\n  ASOF LEFT JOIN rolling_{p} {p} ON {' AND '.join(f'p.{x} = {p}.{x}' for x in k)} AND p.event_date >= {p}.join_date" for p, k in h.GRANULARITIES.items())
     hist = []
@@ -143,13 +149,20 @@ def frame_sql():
             v = f"{p}.{c}" if "count" in c else f"round({p}.{c}, 6)"
             hist.append(f"CASE WHEN p.event_date - {p}.join_date <= {c.rsplit('_', 1)[1][:-1]} THEN {v} END AS {c}")
     state = [f"{s}.{c}" if c.endswith("_n_60m") else f"round({s}.{c}, 6) AS {c}" for s in n.SCOPES for c in n.state_columns(s)]
-    return f"""WITH {a.PLANNED}, {", ".join(parts)}
-SELECT p.id, p.station_name, p.train_type, p.train_number, p.train_line_station_num, p.scheduled_time, {CALENDAR.replace("event_date", "p.event_date")}, {", ".join(hist)}, {", ".join(state)},
-  p.delay_in_min >= 6 AS target_delayed6, p.delay_in_min AS target_delay_min, strftime(p.scheduled_time, '%Y-%m') AS fold_month
+    sql = f"""WITH {source}, {", ".join(parts)}
+SELECT p.id, p.station_name, p.train_type, p.train_number, p.train_line_station_num, p.scheduled_time, {calendar.replace("event_date", "p.event_date")}, {", ".join(hist)}, {", ".join(state)},
+  p.delay_in_min >= 6 AS target_delayed6, p.delay_in_min AS target_delay_min, strftime({wall}, '%Y-%m') AS fold_month
 FROM planned p{joins}
   JOIN station_live USING (id) JOIN type_live USING (id) JOIN network_live USING (id)"""
+    return sql if not local else sql.replace("FROM planned GROUP BY", "FROM local GROUP BY").replace("FROM planned p\n", "FROM local p\n")
 
 
 @query("feature_frame", frame_sql())
 def feature_frame(spark, d):
     return naive(rounded(build_feature_frame(a.stops_events(spark, d), holidays(spark, a.HORIZON_YEAR))), "scheduled_time")
+
+
+@query("feature_frame_local", frame_sql(local=True))
+def feature_frame_local(spark, d):
+    """The frame by the calendar of Berlin, whose days begin at 23:00 UTC here."""
+    return naive(rounded(build_feature_frame(a.stops_events(spark, d), holidays(spark, a.HORIZON_YEAR), zone=ZONE)), "scheduled_time")

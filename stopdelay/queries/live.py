@@ -71,87 +71,106 @@ def first_seal(spark, d):
 
 
 
-def auc_sql(src, by, y="y", prob="delay_probability"):
+def total_sql(x):
+    """DuckDB: an exact sum, in whole billionths as the operators have it."""
+    return f"(sum(round(({x}) * 1e9)::HUGEINT)::DOUBLE / 1e9)"
+
+
+def mean_sql(x):
+    return f"({total_sql(x)} / count({x}))"
+
+
+def fixed(df, digits=6):
+    """df with doubles of so many digits, by the same arithmetic as fixed_sql."""
+    unit = 10.0**digits
+    return df.select(*[(F.floor(F.col(c) * unit + 0.5).cast("double") / unit).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def fixed_sql(x, digits=6):
+    return f"(floor(({x}) * {10**digits}::DOUBLE + 0.5) / {10**digits}::DOUBLE)"
+
+
+def auc_sql(src, by, y="y", prob="delay_probability", name=""):
     """DuckDB: rank metrics over distinct scores."""
     k = f"{by}, " if by else ""
     part = f"PARTITION BY {by} " if by else ""
-    return f"""scores AS (SELECT {k}{prob} AS s, sum({y}) AS pos, count(*) - sum({y}) AS neg FROM {src} GROUP BY ALL
-), cum AS (
-  SELECT *, sum(neg) OVER ({part}ORDER BY s) - neg AS below, sum(pos) OVER ({part}ORDER BY s DESC) AS tp, sum(neg) OVER ({part}ORDER BY s DESC) AS fp FROM scores
-), ranked AS (
-  SELECT {k}sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS roc_auc, sum(pos * tp / (tp + fp)) / sum(pos) AS pr_auc, sum(pos) > 0 AND sum(neg) > 0 AS mixed FROM cum {f'GROUP BY {by}' if by else ''}
+    return f"""scores{name} AS (SELECT {k}{prob} AS s, sum({y}) AS pos, count(*) - sum({y}) AS neg FROM {src} GROUP BY ALL
+), cum{name} AS (
+  SELECT *, sum(neg) OVER ({part}ORDER BY s) - neg AS below, sum(pos) OVER ({part}ORDER BY s DESC) AS tp, sum(neg) OVER ({part}ORDER BY s DESC) AS fp FROM scores{name}
+), ranked{name} AS (
+  SELECT {k}sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS roc_auc, {total_sql("pos * (tp / (tp + fp))")} / sum(pos) AS pr_auc, sum(pos) > 0 AND sum(neg) > 0 AS mixed FROM cum{name} {f'GROUP BY {by}' if by else ''}
 )"""
 
 
 def ece_sql(src, by, y="y", prob="delay_probability", name="ece"):
     k = f"{by}, " if by else ""
-    return f"""bins_{name} AS (SELECT {k}least(greatest(CAST(trunc({prob} * 10) AS INTEGER), 0), 9) AS bin, count(*) AS n, avg({prob}) AS p, avg({y}) AS o FROM {src} GROUP BY ALL
-), eces_{name} AS (SELECT {k}sum(n * abs(p - o)) / sum(n) AS {name} FROM bins_{name} {f'GROUP BY {by}' if by else ''})"""
+    return f"""bins_{name} AS (SELECT {k}least(greatest(CAST(trunc({prob} * 10) AS INTEGER), 0), 9) AS bin, count(*) AS n, sum(round({prob} * 1e9)::HUGEINT) AS p, sum(round({y} * 1e9)::HUGEINT) AS o FROM {src} GROUP BY ALL
+), eces_{name} AS (SELECT {k}sum(abs(p - o))::DOUBLE / 1e9 / sum(n) AS {name} FROM bins_{name} {f'GROUP BY {by}' if by else ''})"""
 
 
-@query("roc_auc", f"WITH {SCORED}, {auc_sql('scored', '')} SELECT round(roc_auc, 6) AS roc_auc FROM ranked")
+@query("roc_auc", f"WITH {SCORED}, {auc_sql('scored', '')} SELECT {fixed_sql('roc_auc')} AS roc_auc FROM ranked")
 def roc_auc(spark, d):
-    return rounded(m.rank_metrics(scored(spark, d), "y", "delay_probability").select("roc_auc"))
+    return fixed(m.rank_metrics(scored(spark, d), "y", "delay_probability").select("roc_auc"))
 
 
-@query("average_precision", f"WITH {SCORED}, {auc_sql('scored', '')} SELECT round(pr_auc, 6) AS pr_auc FROM ranked")
+@query("average_precision", f"WITH {SCORED}, {auc_sql('scored', '')} SELECT {fixed_sql('pr_auc')} AS pr_auc FROM ranked")
 def average_precision(spark, d):
-    return rounded(m.rank_metrics(scored(spark, d), "y", "delay_probability").select("pr_auc"))
+    return fixed(m.rank_metrics(scored(spark, d), "y", "delay_probability").select("pr_auc"))
 
 
-@query("brier", f"WITH {SCORED} SELECT round(avg((delay_probability - y) ** 2), 6) AS brier, round(avg(y), 6) AS base_rate FROM scored")
+@query("brier", f"WITH {SCORED} SELECT {fixed_sql(mean_sql('(delay_probability - y) * (delay_probability - y)'))} AS brier, {fixed_sql(mean_sql('y'))} AS base_rate FROM scored")
 def brier(spark, d):
-    return rounded(m.classification_metrics(scored(spark, d), "y", "delay_probability").select("brier", "base_rate"))
+    return fixed(m.classification_metrics(scored(spark, d), "y", "delay_probability").select("brier", "base_rate"))
 
 
-@query("ece", f"WITH {SCORED}, {ece_sql('scored', '')} SELECT round(ece, 6) AS ece FROM eces_ece")
+@query("ece", f"WITH {SCORED}, {ece_sql('scored', '')} SELECT {fixed_sql('ece')} AS ece FROM eces_ece")
 def ece(spark, d):
-    return rounded(m.expected_calibration_error(scored(spark, d), "y", "delay_probability"))
+    return fixed(m.expected_calibration_error(scored(spark, d), "y", "delay_probability"))
 
 
-@query("reliability", f"WITH {SCORED}, {ece_sql('scored', '')} SELECT bin, n, round(p, 6) AS mean_prob, round(o, 6) AS observed FROM bins_ece")
+@query("reliability", f"WITH {SCORED}, {ece_sql('scored', '')} SELECT bin, n, {fixed_sql('p::DOUBLE / 1e9 / n')} AS mean_prob, {fixed_sql('o::DOUBLE / 1e9 / n')} AS observed FROM bins_ece")
 def reliability(spark, d):
-    return rounded(m.reliability_table(scored(spark, d), "y", "delay_probability"))
+    return fixed(m.reliability_table(scored(spark, d), "y", "delay_probability"))
 
 
 def pinball_sql(y, q, alpha):
-    return f"avg(greatest({alpha}::DOUBLE * ({y} - {q}), ({alpha}::DOUBLE - 1) * ({y} - {q})))"
+    return mean_sql(f"greatest({alpha}::DOUBLE * ({y} - {q}), ({alpha}::DOUBLE - 1) * ({y} - {q}))")
 
 
-QUANTILES = {"pinball_p50": pinball_sql("actual_delay_min", "delay_p50_min", 0.5), "pinball_p90": pinball_sql("actual_delay_min", "delay_p90_min", 0.9), "mae_p50": "avg(abs(actual_delay_min - delay_p50_min))", "coverage_p90": "avg((actual_delay_min <= delay_p90_min)::INT)"}
+QUANTILES = {"pinball_p50": pinball_sql("actual_delay_min", "delay_p50_min", 0.5), "pinball_p90": pinball_sql("actual_delay_min", "delay_p90_min", 0.9), "mae_p50": mean_sql("abs(actual_delay_min - delay_p50_min)"), "coverage_p90": "avg((actual_delay_min <= delay_p90_min)::INT)"}
 
 
-@query("quantile_metrics", f"WITH {SCORED} SELECT " + ", ".join(f"round({v}, 6) AS {c}" for c, v in QUANTILES.items()) + " FROM scored")
+@query("quantile_metrics", f"WITH {SCORED} SELECT " + ", ".join(f"{fixed_sql(v)} AS {c}" for c, v in QUANTILES.items()) + " FROM scored")
 def quantile_metrics(spark, d):
     y = F.col("actual_delay_min").cast("double")
-    return rounded(scored(spark, d).agg(*[v.alias(c) for c, v in m.quantile_metrics(y, F.col("delay_p50_min"), F.col("delay_p90_min")).items()]))
+    return fixed(scored(spark, d).agg(*[v.alias(c) for c, v in m.quantile_metrics(y, F.col("delay_p50_min"), F.col("delay_p90_min")).items()]))
 
 
 REPORT = f"""WITH {SCORED}, {auc_sql('scored', 'day')}, {ece_sql('scored', 'day')}, counts AS (
   SELECT day, count(*) AS n_predictions, count(*) FILTER (is_canceled) AS n_canceled, count(*) FILTER (NOT is_canceled) AS n_evaluated,
          coalesce(avg((changed_time IS NOT NULL)::INT) FILTER (NOT is_canceled), 0) AS share_with_observed_change, coalesce(avg((coverage = 'train')::INT) FILTER (NOT is_canceled), 0) AS coverage_train_share
   FROM truth GROUP BY day
-), q AS (SELECT day, avg((delay_probability - y) ** 2) AS brier, avg(y) AS base_rate, {", ".join(f"{v} AS {c}" for c, v in QUANTILES.items())} FROM scored GROUP BY day)"""
+), q AS (SELECT day, {mean_sql('(delay_probability - y) * (delay_probability - y)')} AS brier, {mean_sql('y')} AS base_rate, {", ".join(f"{v} AS {c}" for c, v in QUANTILES.items())} FROM scored GROUP BY day)"""
 
 
-@query("daily_report", f"""{REPORT} SELECT day, n_predictions, n_canceled, n_evaluated, {", ".join(f"round({c}, 6) AS {c}" for c in ("share_with_observed_change", "coverage_train_share", *QUANTILES, "base_rate"))},
-  {", ".join(f"CASE WHEN mixed THEN round({c}, 6) END AS {c}" for c in ("roc_auc", "pr_auc", "brier", "ece"))} FROM counts LEFT JOIN q USING (day) LEFT JOIN ranked USING (day) LEFT JOIN eces_ece USING (day)""")
+@query("daily_report", f"""{REPORT} SELECT day, n_predictions, n_canceled, n_evaluated, {", ".join(f"{fixed_sql(c)} AS {c}" for c in ("share_with_observed_change", "coverage_train_share", *QUANTILES, "base_rate"))},
+  {", ".join(f"CASE WHEN mixed THEN {fixed_sql(c)} END AS {c}" for c in ("roc_auc", "pr_auc", "brier", "ece"))} FROM counts LEFT JOIN q USING (day) LEFT JOIN ranked USING (day) LEFT JOIN eces_ece USING (day)""")
 def daily_report(spark, d):
-    return rounded(g.daily_report(truth(spark, d)))
+    return fixed(g.daily_report(truth(spark, d)))
 
 
 @query("daily_report_raw", f"""WITH {SCORED}, raw AS (SELECT * FROM scored WHERE raw_delay_probability IS NOT NULL), {ece_sql('raw', 'day', prob='raw_delay_probability', name='ece_raw')}
-SELECT day, count(*) AS n_corrected, round(avg((actual_delay_min <= raw_delay_p90_min)::INT), 6) AS coverage_p90_raw, CASE WHEN avg(y) > 0 AND avg(y) < 1 THEN round(any_value(ece_raw), 6) END AS ece_raw
+SELECT day, count(*) AS n_corrected, {fixed_sql('avg((actual_delay_min <= raw_delay_p90_min)::INT)')} AS coverage_p90_raw, CASE WHEN avg(y) > 0 AND avg(y) < 1 THEN {fixed_sql('any_value(ece_raw)')} END AS ece_raw
 FROM raw JOIN eces_ece_raw USING (day) GROUP BY day HAVING count(*) >= 100""")
 def daily_report_raw(spark, d):
-    return rounded(g.uncorrected_report(truth(spark, d)))
+    return fixed(g.uncorrected_report(truth(spark, d)))
 
 
-SERIES = f"""{REPORT}, series AS (SELECT day, CASE WHEN mixed THEN round(ece, 6) END AS ece, CASE WHEN mixed THEN round(roc_auc, 6) END AS roc_auc FROM counts LEFT JOIN ranked USING (day) LEFT JOIN eces_ece USING (day))"""
+SERIES = f"""{REPORT}, series AS (SELECT day, CASE WHEN mixed THEN {fixed_sql('ece')} END AS ece, CASE WHEN mixed THEN {fixed_sql('roc_auc')} END AS roc_auc FROM counts LEFT JOIN ranked USING (day) LEFT JOIN eces_ece USING (day))"""
 
 
 def series(spark, d):
-    return rounded(g.daily_report(truth(spark, d)).select("day", "ece", "roc_auc"))
+    return fixed(g.daily_report(truth(spark, d)).select("day", "ece", "roc_auc"))
 
 
 @query("metrics_upsert", f"{SERIES} SELECT day, CASE WHEN day >= DATE '2024-01-25' THEN 0.5::DOUBLE ELSE ece END AS ece, CASE WHEN day < DATE '2024-01-25' THEN roc_auc END AS roc_auc, CASE WHEN day >= DATE '2024-01-25' THEN 'new' END AS note FROM series")
@@ -197,15 +216,15 @@ def live_summary(spark, d):
 
 
 def requests(spark, d):
-    """Requests of the day after now, some of stations and trains that are unknown."""
+    """A request for every stop, some of stations and trains that are unknown."""
     i = F.col("id").cast("long")
-    s = a.stops_events(spark, d).where(i % 10 == 0).withColumn("scheduled_time", F.col("time"))
+    s = a.stops_events(spark, d).withColumn("scheduled_time", F.col("time"))
     return s.select("id", F.when(i % 70 == 0, "S99").otherwise(F.col("station_name")).alias("station_name"), "train_type", F.when(i % 30 == 0, "none").otherwise(F.col("train_number")).alias("train_number"), "train_line_station_num", "scheduled_time", F.to_date("time").alias("event_date"))
 
 
 REQUESTS = """requests AS (
   SELECT id, CASE WHEN CAST(id AS BIGINT) % 70 = 0 THEN 'S99' ELSE station_name END AS station_name, train_type, CASE WHEN CAST(id AS BIGINT) % 30 = 0 THEN 'none' ELSE train_number END AS train_number,
-         train_line_station_num, time AS scheduled_time, CAST(time AS DATE) AS event_date FROM stops WHERE CAST(id AS BIGINT) % 10 = 0
+         train_line_station_num, time AS scheduled_time, CAST(time AS DATE) AS event_date FROM stops
 )"""
 LIVE_COLUMNS = ["station_live_mean_delay_60m", "station_live_delayed_share_60m", "station_live_n_60m", "type_live_mean_delay_60m", "type_live_delayed_share_60m", "network_live_mean_delay_60m", "network_live_delayed_share_60m"]
 LIVE = f"""{STATE}, {REQUESTS}, live AS (
@@ -220,14 +239,19 @@ def live_features(spark, d):
     return rounded(g.live_features(requests(spark, d), state(spark, d)).select("id", *LIVE_COLUMNS))
 
 
+def stored(df, name):
+    """A snapshot as the table that lookups read, so that its statistics are made once."""
+    return t.read_snapshot(df.sparkSession, t.write_snapshot(df, t.shared_path(df.sparkSession, name)))
+
+
 def snap(spark, d):
-    """Statistics as of the 12th, from the stops themselves."""
+    """Statistics as of the 12th, from the stops themselves, stored."""
     s = a.stops_events(spark, d).where(~F.col("is_canceled")).withColumn("event_date", F.to_date("time"))
-    return b.snapshot(s.where(F.col("event_date") < F.lit("2024-01-12").cast("date")), h.latest_stats)
+    return stored(b.snapshot(s.where(F.col("event_date") < F.lit("2024-01-12").cast("date")), h.latest_stats), "snapshot")
 
 
 def overlay(spark, d):
-    return b.snapshot(g.observed_stops(a.predictions_events(spark, d), a.changes_events(spark, d), a.now()), h.latest_stats)
+    return stored(b.snapshot(g.observed_stops(a.predictions_events(spark, d), a.changes_events(spark, d), a.now()), h.latest_stats), "overlay")
 
 
 def latest_sql(cte, src):
@@ -261,8 +285,7 @@ for granularity in h.GRANULARITIES:
 
 @query("snapshot_entities", f"WITH {a.STOPS}, {SNAP} SELECT granularity, count(*) AS n FROM snap GROUP BY 1")
 def snapshot_entities(spark, d):
-    path = t.write_snapshot(snap(spark, d), t.shared_path(spark, "snapshot"))
-    return t.read_snapshot(spark, path).groupBy("granularity").agg(F.count(F.lit(1)).alias("n"))
+    return snap(spark, d).groupBy("granularity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lookup_sql():

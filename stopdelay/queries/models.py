@@ -14,7 +14,7 @@ from ..sources import adapters as a
 from ..sources import tables as t
 from .cleaning import nearest
 from .history import rounded
-from .live import auc_sql, ece_sql, pinball_sql
+from .live import auc_sql, ece_sql, fixed, fixed_sql, mean_sql, pinball_sql
 from .registry import query
 
 VAL = ["2000-01", "2000-02", "2000-03"]
@@ -72,20 +72,20 @@ def baseline_predict(spark, d):
     return rounded(predicted(spark, d).select("station_name", "train_type", "target_delay_min", "baseline_prob", "baseline_p50", "baseline_p90"))
 
 
-CV = {"pinball_p50": pinball_sql("target_delay_min", "baseline_p50", 0.5), "pinball_p90": pinball_sql("target_delay_min", "baseline_p90", 0.9), "mae_p50": "avg(abs(target_delay_min - baseline_p50))", "coverage_p90": "avg((target_delay_min <= baseline_p90)::INT)"}
+CV = {"pinball_p50": pinball_sql("target_delay_min", "baseline_p50", 0.5), "pinball_p90": pinball_sql("target_delay_min", "baseline_p90", 0.9), "mae_p50": mean_sql("abs(target_delay_min - baseline_p50)"), "coverage_p90": "avg((target_delay_min <= baseline_p90)::INT)"}
 
 
 def fold_sql(month):
     src = f"""WITH {a.TRAINING}, {FOLDS}, train AS (SELECT t.* FROM training t JOIN folds ON fold_month = train_month AND val_month = '{month}'), val AS (SELECT * FROM training WHERE fold_month = '{month}'), {fit_sql('train')}, {PREDICTED},
   p AS (SELECT *, target_delayed6::INT::DOUBLE AS y FROM predicted), {auc_sql('p', '', prob='baseline_prob')}, {ece_sql('p', '', prob='baseline_prob')}"""
     return f"""(SELECT '{month}' AS val_month, * FROM ({src} SELECT roc_auc AS baseline_roc_auc, pr_auc AS baseline_pr_auc, ece AS baseline_ece, q.* FROM ranked, eces_ece,
-  (SELECT avg((baseline_prob - y) ** 2) AS baseline_brier, avg(y) AS baseline_base_rate, {", ".join(f"{v} AS baseline_{c}" for c, v in CV.items())} FROM p) q))"""
+  (SELECT {mean_sql('(baseline_prob - y) * (baseline_prob - y)')} AS baseline_brier, {mean_sql('y')} AS baseline_base_rate, {", ".join(f"{v} AS baseline_{c}" for c, v in CV.items())} FROM p) q))"""
 
 
 CV_COLUMNS = [f"baseline_{c}" for c in ("roc_auc", "pr_auc", "brier", "base_rate", "ece", *CV)]
 
 
-@query("cv_baseline_metrics", f"WITH f AS ({' UNION ALL '.join('SELECT * FROM ' + fold_sql(x) for x in VAL)}) SELECT coalesce(val_month, 'mean') AS val_month, {', '.join(f'round(avg({c}), 5) AS {c}' for c in CV_COLUMNS)} FROM f GROUP BY GROUPING SETS ((val_month), ())")
+@query("cv_baseline_metrics", f"WITH f AS ({' UNION ALL '.join('SELECT * FROM ' + fold_sql(x) for x in VAL)}) SELECT coalesce(val_month, 'mean') AS val_month, {', '.join(f'{fixed_sql(mean_sql(c), 5)} AS {c}' for c in CV_COLUMNS)} FROM f GROUP BY GROUPING SETS ((val_month), ())")
 def cv_baseline_metrics(spark, d):
     """Baseline metrics of each fold and their mean; folds are a list of months, a few jobs each."""
     rows, out = a.training_rows(spark, d), None
@@ -98,13 +98,13 @@ def cv_baseline_metrics(spark, d):
         one = m.classification_metrics(p, "y", "baseline_prob").join(p.agg(*[c.alias(k) for k, c in m.quantile_metrics(y, F.col("baseline_p50"), F.col("baseline_p90")).items()]))
         one = one.select(F.lit(val).alias("val_month"), *[F.col(c.removeprefix("baseline_")).alias(c) for c in CV_COLUMNS])
         out = one if out is None else out.union(one)
-    mean = out.agg(*[F.avg(c).alias(c) for c in CV_COLUMNS]).select(F.lit("mean").alias("val_month"), *CV_COLUMNS)
-    return out.union(mean).select("val_month", *[F.round(c, 5).alias(c) for c in CV_COLUMNS])
+    each = [m.mean(F.col(c)).alias(c) for c in CV_COLUMNS]
+    return fixed(out.groupBy("val_month").agg(*each).union(out.agg(*each).select(F.lit("mean").alias("val_month"), *CV_COLUMNS)), 5)
 
 
-@query("promotion", f"""WITH {SPLIT}, p AS (SELECT *, target_delayed6::INT::DOUBLE AS y, least(1.0, baseline_prob * 1.5::DOUBLE) AS worse FROM predicted), {auc_sql('p', '', prob='baseline_prob')}, {ece_sql('p', '', prob='baseline_prob')}, {ece_sql('p', '', prob='worse', name='worse_ece')},
+@query("promotion", f"""WITH {SPLIT}, p AS (SELECT *, target_delayed6::INT::DOUBLE AS y, least(1.0, baseline_prob * 1.5::DOUBLE) AS worse FROM predicted), {auc_sql('p', '', prob='baseline_prob')}, {ece_sql('p', '', prob='baseline_prob')}, {auc_sql('p', '', prob='worse', name='_worse')}, {ece_sql('p', '', prob='worse', name='worse_ece')},
   l AS (SELECT {CV['pinball_p90']} AS a, {CV['pinball_p90'].replace('baseline_p90', '(baseline_p90 + 9)')} AS b FROM p), v AS (
-  SELECT concat_ws('; ', CASE WHEN b > a * 1.02 THEN 'pinball_p90' END, CASE WHEN worse_ece > ece + 0.01 THEN 'ece' END) AS failures FROM l, eces_ece, eces_worse_ece)
+  SELECT concat_ws('; ', CASE WHEN w.pr_auc < r.pr_auc - 0.002::DOUBLE THEN 'pr_auc' END, CASE WHEN b > a * 1.02 THEN 'pinball_p90' END, CASE WHEN worse_ece > ece + 0.01 THEN 'ece' END) AS failures FROM l, eces_ece, eces_worse_ece, ranked r, ranked_worse w)
   SELECT failures, failures = '' AS promote FROM v""")
 def promotion(spark, d):
     """The baseline against one that overstates."""
@@ -114,9 +114,7 @@ def promotion(spark, d):
         w = m.classification_metrics(p, "y", prob).join(p.agg(m.pinball(F.col("target_delay_min").cast("double"), p90, 0.9).alias("pinball_p90")))
         return w.unpivot([], w.columns, "metric", "value")
 
-    # the overstated probability keeps the order but where it is cut at 1, so its rank metrics are the baseline's
-    new = of("worse", F.col("baseline_p90") + 9).where("metric <> 'pr_auc'").union(of("baseline_prob", F.col("baseline_p90")).where("metric = 'pr_auc'"))
-    return b.promotion_verdict(b.compare_metrics(of("baseline_prob", F.col("baseline_p90")), new))
+    return b.promotion_verdict(b.compare_metrics(of("baseline_prob", F.col("baseline_p90")), of("worse", F.col("baseline_p90") + 9)))
 
 
 def frame(spark, d):

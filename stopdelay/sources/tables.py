@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that the cluster shares."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, written and counted, as a broadcast if it has so many rows at most; a larger one is joined by a shuffle."""
+    path = shared_path(df.sparkSession, "small")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return F.broadcast(out) if out.count() <= rows else out
+
+
 def read_monthly(spark: SparkSession, path: str) -> DataFrame:
     """Files data-YYYY-MM.parquet, or folders month=YYYY-MM, with the month from the name.
 
