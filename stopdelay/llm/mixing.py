@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .shared import SPACES, WORD, staged, table
 
 #: Rows of a source's bucket at most, and buckets of a source, whose sums are one task's window.
-BUCKET_ROWS, BUCKETS = 4_000, 1 << 17
+BUCKET_ROWS, BUCKETS = 1_000, 1 << 17
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
