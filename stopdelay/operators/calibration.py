@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import coverage, expected_calibration_error
 from ..functions.times import minutes
+from ..sources.tables import version_order, write_calibration
 from .logs import ground_truth, outcome
 
 #: How much evidence, how old, and the target.
@@ -16,8 +17,8 @@ LOOKBACK_DAYS, MIN_PAIRS, TARGET, SETTLED_HOURS = 7, 2000, 0.90, 3
 
 
 def current_model(df: DataFrame) -> DataFrame:
-    """Rows of the greatest model_version."""
-    newest = df.agg(F.max("model_version").alias("_newest"))  # one row
+    """Rows of the newest model_version: the greatest number in it, then the greatest text, so that v10 follows v9."""
+    newest = df.agg(F.max_by("model_version", version_order("model_version")).alias("_newest"))  # one row
     return df.join(F.broadcast(newest), F.col("model_version") == F.col("_newest")).drop("_newest")
 
 
@@ -35,14 +36,31 @@ def collect_pairs(predictions: DataFrame, changes: DataFrame, now: Column) -> Da
     )
 
 
+def linear_quantile(df: DataFrame, value: Column, q: float) -> DataFrame:
+    """One row, v: the linearly interpolated quantile. Values are counted by whole part, then only those two parts that
+    hold the neighbouring ranks are looked into; no task holds all values."""
+    h = df.select(value.cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor("x"))
+    up = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = h.groupBy("part").agg(F.sum("n").alias("m"))  # a row a minute
+    total = parts.agg(F.sum("m").alias("all"))
+    rank = (F.col("all") - 1) * F.lit(q)
+    parts = parts.withColumn("before", F.coalesce(F.sum("m").over(up), F.lit(0))).join(F.broadcast(total)).withColumns({"low": F.floor(rank), "high": F.ceil(rank), "share": rank - F.floor(rank)})
+    held = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("m"))
+    inside = h.join(F.broadcast(parts.where(held("low") | held("high"))), "part")  # two rows at most
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("x").rowsBetween(W.unboundedPreceding, 0))
+    at = lambda r: F.min(F.when(F.col("upto") > F.col(r), F.col("x")))
+    both = inside.withColumn("upto", upto).agg(at("low").alias("a"), at("high").alias("b"), F.max("share").alias("share"))
+    return both.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("v"))
+
+
 def conformal_offset(pairs: DataFrame, target: float = TARGET) -> DataFrame:
     """One row: the linear quantile of what outcomes exceed p90 by; negative if p90 covers too much."""
-    return pairs.agg(F.round(F.percentile(F.col("actual_delay_min") - F.col("model_p90_min"), F.lit(target)), 2).alias("p90_delta_min"))
+    return linear_quantile(pairs, F.col("actual_delay_min") - F.col("model_p90_min"), target).select(F.round("v", 2).alias("p90_delta_min"))
 
 
 def isotonic_curve(pairs: DataFrame) -> tuple[list[float], list[float]]:
-    """Knots of the isotonic fit. Their number is bounded by the distinct probabilities, which are rounded to 4 digits."""
-    data = pairs.select(F.round("model_probability", 4).alias("p"), outcome().alias("label")).groupBy("p", "label").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    """Knots of the isotonic fit of the exact probabilities, which are summed by value first."""
+    data = pairs.select(F.col("model_probability").alias("p"), outcome().alias("label")).groupBy("p", "label").agg(F.count(F.lit(1)).cast("double").alias("w"))
     model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(data)
     return [round(x, 6) for x in model.boundaries.toArray().tolist()], [round(min(1.0, max(0.0, y)), 6) for y in model.predictions.toArray().tolist()]
 
@@ -99,6 +117,23 @@ def fit_calibration(pairs: DataFrame, now: Column, min_pairs: int = MIN_PAIRS) -
     return {"model_version": n["version"], "n_samples": n["all"], "curve_x": xs, "curve_y": ys, "p90_delta_min": float(delta), "validation": checks}
 
 
+def rebuild(predictions: DataFrame, changes: DataFrame, now: Column, created_at: str, path: str, min_pairs: int = MIN_PAIRS) -> dict | None:
+    """Logs to the published calibration of the newest model: pairs, fit, gate; what doesn't help or has too little
+    evidence takes the model's calibration away. Returns what is published."""
+    pairs = collect_pairs(predictions, changes, now)
+    version = pairs.agg(F.max("model_version")).first()[0]
+    if version is None:
+        newest = current_model(predictions.select("model_version").distinct()).first()
+        version = newest["model_version"] if newest else None
+        if version is None:
+            return None
+        out = None
+    else:
+        out = fit_calibration(pairs, now, min_pairs)
+    write_calibration(predictions.sparkSession, out, version, created_at, path)
+    return out
+
+
 def latest_calibration(table: DataFrame, version: str) -> DataFrame:
     """The newest calibration of that model; no row means identity."""
     return table.where(F.col("model_version") == version).withColumn("_i", F.row_number().over(W.partitionBy("model_version").orderBy(F.desc("created_at")))).where("_i = 1").drop("_i")

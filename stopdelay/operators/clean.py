@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.times import DELAY_MAX, DELAY_MIN, month_key, to_zone_time
 
@@ -79,11 +78,12 @@ def check(df: DataFrame, name: str, **kw) -> DataFrame:
 
 
 def check_schema(df: DataFrame, expected: dict[str, str] = RAW_SCHEMA) -> DataFrame:
-    """A row per expected column: its type here, and whether that is the expected one. Other columns are allowed."""
+    """A row per expected column: its type here, whether that is the expected one, and how many rows have a value. Other
+    columns are allowed."""
     have = dict(df.dtypes)
-    rows = [(c, t, have.get(c), have.get(c) == t) for c, t in expected.items()]
-    schema = T.StructType([T.StructField(c, k) for c, k in (("column", T.StringType()), ("expected", T.StringType()), ("found", T.StringType()), ("passed", T.BooleanType()))])
-    return df.sparkSession.createDataFrame(rows, schema)
+    counts = df.agg(*[(F.count(F.col(c)) if c in have else F.lit(0).cast("long")).alias(c) for c in expected])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(k).alias("expected"), F.lit(have.get(c)).cast("string").alias("found"), F.lit(have.get(c) == k).alias("passed"), F.col(c).alias("values")) for c, k in expected.items()]
+    return counts.select(F.explode(F.array(*rows)).alias("_c")).select("_c.*")
 
 
 def first_of(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

@@ -106,9 +106,15 @@ def monitoring_tail(series: DataFrame, n: int = 30) -> DataFrame:
     return series.orderBy(F.desc("day")).limit(n)
 
 
+def since(log: DataFrame, now: Column, days: int) -> DataFrame:
+    """The log's rows of so many days before now and of today and later, by its day column, where it has one."""
+    return log.where(F.col("day") >= F.date_sub(F.to_date(now), days)) if "day" in log.columns else log
+
+
 def live_state(predictions: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
-    """The hour before now by station, by type and over all (scope), in one pass: mean delay, late share, rows."""
-    t = ground_truth(predictions, changes).withColumn("obs_time", F.coalesce("changed_time", "scheduled_time"))
+    """The hour before now by station, by type and over all (scope), in one pass: mean delay, late share, rows. Of the
+    logs today and yesterday are read."""
+    t = ground_truth(since(predictions, now, 1), since(changes, now, 1)).withColumn("obs_time", F.coalesce("changed_time", "scheduled_time"))
     t = t.where(~F.col("is_canceled") & (F.col("obs_time") >= now - minutes(F.lit(60))) & (F.col("obs_time") < now))
     g = t.groupingSets([["station_name"], ["train_type"], []], "station_name", "train_type").agg(
         F.grouping_id().alias("_g"), F.avg("actual_delay_min").alias("mean_delay_60m"), F.avg(outcome()).alias("delayed_share_60m"), F.count(F.lit(1)).alias("n_60m")
@@ -142,11 +148,12 @@ def board(predictions: DataFrame, changes: DataFrame, now: Column, limit: int =
     A stop's first seal counts; trains that share type, number and time are one. actual_delay_min is 0 without a report,
     db_live_delay_min is null. Departed trains stay a day.
     """
-    p = predictions if station is None else predictions.where(F.col("station_name") == station)
+    p = since(predictions, now, 2)
+    p = p if station is None else p.where(F.col("station_name") == station)
     p = first_of(p, ["stop_id"], F.col("predicted_at"), F.col("scheduled_time"))
     p = first_of(p, ["station_name", "train_type", "train_number", "scheduled_time"], F.col("predicted_at"), F.col("stop_id"))
     p = p.where(F.col("scheduled_time") >= now - minutes(F.lit(24 * 60)))
-    t = ground_truth(p, changes).withColumn("db_live_delay_min", whole_minutes(F.col("scheduled_time"), F.col("changed_time")))
+    t = ground_truth(p, since(changes, now, 3)).withColumn("db_live_delay_min", whole_minutes(F.col("scheduled_time"), F.col("changed_time")))
     t = t.withColumn("side", F.when(F.col("scheduled_time") >= now, "upcoming").otherwise("departed"))
     near = F.abs(F.unix_micros("scheduled_time") - F.unix_micros(now))
     place = F.row_number().over(W.partitionBy("station_name", "side").orderBy(near, "stop_id"))
@@ -158,7 +165,6 @@ def board(predictions: DataFrame, changes: DataFrame, now: Column, limit: int =
 
 def observed_stops(predictions: DataFrame, changes: DataFrame, now: Column, lookback_days: int = 35) -> DataFrame:
     """The live log as stops, of completed days only."""
-    since = F.date_sub(F.to_date(now), lookback_days)
-    t = ground_truth(predictions.where(F.col("day") >= since), changes)
+    t = ground_truth(since(predictions, now, lookback_days), since(changes, now, lookback_days + 1))
     out = t.withColumns({"delay_in_min": F.col("actual_delay_min").cast("int"), "event_date": F.to_date("scheduled_time")})
     return out.where(F.col("event_date") < F.to_date(now)).select("station_name", "train_type", "train_number", "delay_in_min", "is_canceled", "event_date")

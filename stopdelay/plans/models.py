@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import classification_metrics, nearest_quantiles, quantile_metrics
-from ..operators.baseline import compare_metrics, promotion_verdict, score_postprocess
-from ..sources.tables import load_split, shared_path
+from ..operators.baseline import compare_metrics, fit_baseline, predict_baseline, promotion_verdict, score_postprocess
+from ..sources.tables import load_split, shared_path, version_order
 
 CATEGORICAL = ["station_name", "train_type"]
 HASHED = ["train_number"]
@@ -90,6 +91,18 @@ class QuantileBoost:
             out = tree.transform(out).withColumn(name, F.col(name) + self._value(values)).drop("leaf", "prediction")
         return out
 
+    def save(self, path: str) -> dict:
+        """Writes the trees below path; returns the rest, as JSON has it."""
+        for i, (tree, _) in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/{i}")
+        return {"alpha": self.alpha, "rounds": self.rounds, "step": self.step, "depth": self.depth, "base": self.base, "values": [sorted(v.items()) for _, v in self.trees]}
+
+    @classmethod
+    def load(cls, path: str, rest: dict) -> QuantileBoost:
+        out = cls(rest["alpha"], rest["rounds"], rest["step"], rest["depth"])
+        out.base, out.trees = rest["base"], [(DecisionTreeRegressionModel.load(f"{path}/{i}"), {float(k): v for k, v in x}) for i, x in enumerate(rest["values"])]
+        return out
+
 
 class Bundle:
     """A version's models with the feature list that they were trained on."""
@@ -97,13 +110,32 @@ class Bundle:
     def __init__(self, version: str, features: Sequence[str]):
         self.version, self.features = version, list(features)
 
-    def fit(self, df: DataFrame, rounds: int = 10) -> Bundle:
+    def fit(self, df: DataFrame, rounds: int = 10, boost_rounds: int = 4) -> Bundle:
         encoded, self.encoder = encode(df, self.features)
         encoded = encoded.select("features", "target_delayed6", "target_delay_min")
         self.classifier = fit_classifier(encoded, rounds)
-        self.q50, self.q90 = (QuantileBoost(alpha).fit(encoded, "target_delay_min") for alpha in (0.5, 0.9))
+        self.q50, self.q90 = (QuantileBoost(alpha, boost_rounds).fit(encoded, "target_delay_min") for alpha in (0.5, 0.9))
         return self
 
+    def save(self, path: str) -> None:
+        """Writes the bundle below path, a folder a version; its description comes last, so that what is there is whole."""
+        at = f"{path}/{self.version}"
+        self.encoder.write().overwrite().save(f"{at}/encoder")
+        self.classifier.write().overwrite().save(f"{at}/classifier")
+        about = {"version": self.version, "features": self.features, "q50": self.q50.save(f"{at}/q50"), "q90": self.q90.save(f"{at}/q90")}
+        SparkSession.active().createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: str | None = None) -> Bundle:
+        """The bundle of that version, or of the newest one (see version_order)."""
+        found = spark.read.text(f"{path}/*/about").withColumn("version", F.get_json_object("value", "$.version"))
+        found = found.where(F.col("version") == version) if version is not None else found.orderBy(version_order("version").desc()).limit(1)
+        about = json.loads(found.first()["value"])
+        out, at = cls(about["version"], about["features"]), f"{path}/{about['version']}"
+        out.encoder, out.classifier = PipelineModel.load(f"{at}/encoder"), PipelineModel.load(f"{at}/classifier")
+        out.q50, out.q90 = (QuantileBoost.load(f"{at}/{q}", about[q]) for q in ("q50", "q90"))
+        return out
+
     def score(self, df: DataFrame, mode: str = "serve") -> DataFrame:
         """df with delay_probability, p50 and p90."""
         _, numeric = encoder(self.features)
@@ -123,6 +155,24 @@ def model_metrics(scored: DataFrame) -> DataFrame:
     return wide.unpivot([], wide.columns, "metric", "value")
 
 
+def train_cv(features: DataFrame, folds: dict[str, list[str]], names: Sequence[str], rounds: int = 10, boost_rounds: int = 4) -> DataFrame:
+    """(val_month, metric, model, baseline) of each fold {val_month: train_months}, and the folds' mean: models and
+    baselines are fitted on the same months and scored on the same rows."""
+    columns, out = sorted({*names, *CATEGORICAL, "target_delayed6", "target_delay_min"}), None
+    for val, train in folds.items():
+        rows = load_split(features, train, columns)
+        scored = Bundle(val, names).fit(rows, rounds, boost_rounds).score(load_split(features, [val], columns), "cv")
+        base = predict_baseline(fit_baseline(rows), scored.drop("delay_probability", "p50", "p90"))
+        base = base.withColumnsRenamed({"baseline_prob": "delay_probability", "baseline_p50": "p50", "baseline_p90": "p90"})
+        both = compare_metrics(model_metrics(base), model_metrics(scored))
+        one = both.select(F.lit(val).alias("val_month"), "metric", F.col("challenger").alias("model"), F.col("champion").alias("baseline"))
+        out = one if out is None else out.union(one)
+    path = shared_path(features.sparkSession, "folds")
+    out.write.parquet(path)
+    out = features.sparkSession.read.parquet(path)
+    return out.union(out.groupBy("metric").agg(F.avg("model").alias("model"), F.avg("baseline").alias("baseline")).select(F.lit("mean"), "metric", "model", "baseline"))
+
+
 def championship(champion: Bundle, features: DataFrame, train_months: list[str], eval_month: str, refit_months: list[str], challenger_features: Sequence[str]) -> tuple[DataFrame, Bundle | None]:
     """(verdict, bundle): a challenger from the months before, both scored on the month, each on its own features; the
     bundle is the challenger refitted on refit_months if it is promoted."""

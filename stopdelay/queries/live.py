@@ -418,9 +418,8 @@ def isotonic_curve(spark, d):
 @query("calibration_result")
 def calibration_result(spark, d):
     """The correction that is published, read back; no row if none helps."""
-    out = k.fit_calibration(pairs(spark, d), a.now(), 500)
     path = t.shared_path(spark, "calibration")
-    t.write_calibration(spark, out, "v2", a.NOW, path)
+    k.rebuild(a.predictions_events(spark, d), a.changes_events(spark, d), a.now(), a.NOW, path, 500)
     back = t.read_calibration(spark, path, "v2")
     rows = [] if back is None else [(back["model_version"], back["n_samples"], back["curve_x"], back["curve_y"], back["p90_delta_min"])]
     return spark.createDataFrame(rows, "model_version string, n_samples long, curve_x array<double>, curve_y array<double>, p90_delta_min double")

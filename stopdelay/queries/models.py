@@ -157,3 +157,25 @@ def championship(spark, d):
     champion = pm.Bundle("v1", names).fit(df.where("fold_month = 'train'"))
     verdict, refitted = pm.championship(champion, df, ["train"], "eval", ["train", "eval"], FEATURES)
     return verdict.withColumn("refitted", F.lit(refitted is not None))
+
+
+#: What the small registered bundles are trained on.
+BUNDLE_FEATURES = ["station_name", "train_type", "scheduled_hour", "weekday", "train_mean_delay_14d", "station_live_mean_delay_60m"]
+
+
+@query("saved_bundle")
+def saved_bundle(spark, d):
+    """Scores of a bundle before it is saved and after it is loaded, for every stop of the last days."""
+    df = frame(spark, d)
+    path = t.shared_path(spark, "bundles")
+    bundle = pm.Bundle("v1", BUNDLE_FEATURES).fit(df.where("fold_month = 'train'"), rounds=2, boost_rounds=2)
+    bundle.save(path)
+    rows = df.where("fold_month = 'eval'")
+    old, new = (x.score(rows).select("id", *[F.col(c).alias(f"{c}{end}") for c in ("delay_probability", "p50", "p90")]) for x, end in ((bundle, ""), (pm.Bundle.load(spark, path), "_loaded")))
+    return old.join(new, "id")
+
+
+@query("train_cv")
+def train_cv(spark, d):
+    """A fold of the frame: the models' metrics beside the baseline's."""
+    return pm.train_cv(frame(spark, d), {"eval": ["train"]}, BUNDLE_FEATURES, rounds=5, boost_rounds=3)

@@ -5,21 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import metrics as m
+from ..operators import logs as g
+from ..plans import models as pm
 from ..sources import adapters as a
 from ..sources import tables as t
 from ..sources import timetable as x
 from ..streaming import streams as st
 from .history import naive, rounded
+from .live import REPORT, fixed, fixed_sql
+from .models import BUNDLE_FEATURES, frame
 from .registry import query
 
 
-def as_stream(df: DataFrame, order: str) -> DataFrame:
-    """df, written in two files one after the other, as a stream of one file a batch: what is before now, and the rest."""
-    spark = df.sparkSession
+#: Files of a part; a micro-batch reads one part.
+FILES = 8
+
+
+def as_stream(parts: list[DataFrame]) -> DataFrame:
+    """The parts, written one after the other, as a stream of a part a batch."""
+    spark, schema = parts[0].sparkSession, parts[0].schema
     path = t.shared_path(spark, "stream")
-    for part in (F.col(order) < a.now(), F.col(order) >= a.now()):
-        df.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for part in parts:
+        part.repartition(FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
+def halves(df: DataFrame, order: str, *more: DataFrame) -> list[DataFrame]:
+    """What is before now, and the rest, of df and of each further frame."""
+    return [x.where(c) for c in (F.col(order) < a.now(), F.col(order) >= a.now()) for x in (df, *more)]
+
+
+def clock(df: DataFrame, order: str) -> DataFrame:
+    """Rows of a stop and station called clock, from two months on: they let the watermark pass all others."""
+    later = a.now() + F.make_dt_interval(days=F.lit(60))
+    row = [later.alias(f.name) if f.name == order else F.lit({"is_canceled": False, "stop_id": "clock", "station_name": "clock"}.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema]
+    return df.sparkSession.range(FILES).select(*row)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -32,44 +53,81 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(sink)
 
 
-@query("stream_first_seal", f"WITH {a.LOGS} SELECT stop_id FROM predictions")
+@query("stream_first_seal", f"WITH {a.LOGS} SELECT stop_id, predicted_at, delay_probability FROM predictions")
 def stream_first_seal(spark, d):
-    """Every prediction sealed twice; the stream keeps the first."""
-    p = a.predictions_events(spark, d).select("stop_id", "predicted_at")
-    again = p.withColumn("predicted_at", F.col("predicted_at") + F.make_dt_interval(hours=F.lit(1)))
-    return drained(st.first_seal_stream(as_stream(p.union(again), "predicted_at"))).select("stop_id")
+    """Every prediction sealed again an hour later with another score; the stream keeps the first."""
+    p = a.predictions_events(spark, d).select("stop_id", "predicted_at", "delay_probability")
+    again = p.withColumns({"predicted_at": F.col("predicted_at") + F.make_dt_interval(hours=F.lit(1)), "delay_probability": F.lit(2.0)})
+    return naive(drained(st.first_seal_stream(as_stream(halves(p, "predicted_at", again)))), "predicted_at")
 
 
 @query("stream_latest_change", f"WITH {a.LOGS} SELECT stop_id, observed_at, changed_time, is_canceled FROM latest")
 def stream_latest_change(spark, d):
     c = a.changes_events(spark, d).drop("day")
-    return naive(drained(st.latest_change_stream(as_stream(c, "observed_at")), "complete"), "observed_at", "changed_time")
+    return naive(drained(st.latest_change_stream(as_stream(halves(c, "observed_at"))), "complete"), "observed_at", "changed_time")
 
 
-@query("stream_netstate")
+@query("stream_netstate", f"""WITH {a.STOPS} SELECT station_name, time_bucket(INTERVAL 5 MINUTE, time) + to_minutes(5 * k) AS window_end, round(avg(delay_in_min), 6) AS mean_delay_60m,
+  round(avg((delay_in_min >= 6)::INT), 6) AS delayed_share_60m, count(*) AS n_60m FROM stops, range(1, 13) AS r(k) WHERE NOT is_canceled GROUP BY ALL""".replace("5 * k", "CAST(5 * k AS INTEGER)"))
 def stream_netstate(spark, d):
     s = a.stops_events(spark, d).select("station_name", "time", "delay_in_min", "is_canceled")
-    return rounded(naive(drained(st.network_state_stream(as_stream(s, "time"), ["station_name"])), "window_end"))
+    return rounded(naive(drained(st.network_state_stream(as_stream([*halves(s, "time"), clock(s, "time")]), ["station_name"])), "window_end")).where("station_name <> 'clock'")
 
 
-@query("stream_ground_truth")
+@query("stream_ground_truth", f"WITH {a.LOGS} SELECT stop_id, predicted_at, changed_time, is_canceled, actual_delay_min FROM truth")
 def stream_ground_truth(spark, d):
     p, c = a.predictions_events(spark, d).select("stop_id", "scheduled_time", "predicted_at"), a.changes_events(spark, d).drop("day")
-    return drained(st.ground_truth_stream(as_stream(p, "predicted_at"), as_stream(c, "observed_at"))).select("stop_id", "actual_delay_min")
+    emitted = drained(st.ground_truth_stream(*[as_stream([*halves(df, at), clock(df, at)]) for df, at in ((p, "predicted_at"), (c, "observed_at"))]))
+    return naive(st.settled_truth(emitted.where("stop_id <> 'clock'")), "predicted_at", "changed_time").drop("scheduled_time")
 
 
-@query("stream_seal", f"WITH {a.LOGS} SELECT stop_id, station_name FROM predictions WHERE CAST(stop_id AS BIGINT) % 4 <> 0")
+@query("stream_daily_scores", f"""{REPORT} SELECT day, n_evaluated, {fixed_sql("brier")} AS brier FROM counts LEFT JOIN q USING (day)""")
+def stream_daily_scores(spark, d):
+    """The daily job, run twice over a log that grows between the runs; days are partitions of its table."""
+    p, c = a.predictions_events(spark, d), a.changes_events(spark, d)
+    log, progress, table = (t.shared_path(spark, x) for x in ("log", "progress", "scores"))
+
+    def report(days):
+        low, high = min(days), max(days)
+        own = t.read_log(spark, log, str(low), str(high)).where(F.col("day").isin(days))
+        seen = c.where(F.col("day").between(F.date_sub(F.lit(low), 1), F.date_add(F.lit(high), 2)))
+        truth = g.ground_truth(own, seen).withColumn("_y", g.outcome())
+        miss = F.col("delay_probability") - F.col("_y")
+        kept = F.when(~F.col("is_canceled"), miss * miss)
+        return truth.groupBy("day").agg(F.count(F.when(~F.col("is_canceled"), 1)).alias("n_evaluated"), m.mean(kept).alias("brier"))
+
+    for part in halves(p, "predicted_at"):
+        t.write_log(part, log)
+        st.daily_scores(spark, log, progress, report, table)
+    return fixed(spark.read.parquet(table).select("day", "n_evaluated", "brier"))
+
+
+@query("stream_seal", f"WITH {a.LOGS} SELECT stop_id, station_name, predicted_at, delay_probability FROM predictions WHERE CAST(stop_id AS BIGINT) % 4 <> 0")
 def stream_seal(spark, d):
     """Planned stops against a table of scores; stops that it lacks aren't sealed."""
     p = a.predictions_events(spark, d)
     scores = p.where(F.col("raw_delay_probability").isNotNull()).select("stop_id", "delay_probability")
-    plan = as_stream(p.select("stop_id", "station_name", "scheduled_time"), "scheduled_time")
+    plan = as_stream(halves(p.select("stop_id", "station_name", "scheduled_time"), "scheduled_time"))
     sealed = st.seal_stream(plan, lambda s: s.join(scores, "stop_id", "left"), lambda s: s, F.col("scheduled_time") - F.make_dt_interval(hours=F.lit(2)))
-    return drained(sealed).select("stop_id", "station_name")
+    return naive(drained(sealed).select("stop_id", "station_name", "predicted_at", "delay_probability"), "predicted_at")
+
+
+@query("stream_seal_bundle")
+def stream_seal_bundle(spark, d):
+    """Planned stops, as a stream, with their features from the stored frame, scored by a bundle that was saved and loaded
+    again, and sealed once."""
+    f = frame(spark, d)
+    path = t.shared_path(spark, "bundles")
+    pm.Bundle("v1", BUNDLE_FEATURES).fit(f.where("fold_month = 'train'"), rounds=2, boost_rounds=2).save(path)
+    bundle = pm.Bundle.load(spark, path)
+    plan = as_stream(halves(f.where("fold_month = 'eval'").select(F.col("id").alias("stop_id"), "scheduled_time"), "scheduled_time"))
+    known = f.select(F.col("id").alias("stop_id"), *BUNDLE_FEATURES)
+    sealed = st.seal_stream(plan, lambda s: s.join(known, "stop_id", "left"), bundle.score, F.col("scheduled_time") - F.make_dt_interval(hours=F.lit(2)))
+    return naive(drained(sealed.select("stop_id", "predicted_at", "delay_probability", "p50", "p90")), "predicted_at")
 
 
 def documents(spark, d, changes: bool = False):
-    """A timetable document for each station and day, written from the stops."""
+    """A timetable document for each station and hour, as the service has them, written from the stops."""
     s = a.stops_events(spark, d).withColumn("at", F.date_format(F.col("time"), "yyMMddHHmm"))
     i = F.col("id").cast("long")
     time = F.concat(F.lit(' ct="' if changes else ' pt="'), F.col("at"), F.lit('"'))
@@ -79,7 +137,7 @@ def documents(spark, d, changes: bool = False):
         F.lit('<s id="'), F.col("id"), F.lit('"><tl c="'), F.col("train_type"), F.lit('" n="'), F.col("train_number"), F.lit('"/>'),
         F.when(i % 3 != 1, F.concat(F.lit("<ar"), event, path, F.lit("/>"))).otherwise(F.lit("")), F.when(i % 3 != 2, F.concat(F.lit("<dp"), event, F.lit("/>"))).otherwise(F.lit("")), F.lit("</s>"),
     )
-    g_ = s.groupBy("station_name", F.to_date("time").alias("day")).agg(F.concat_ws("", F.collect_list(stop)).alias("body"))
+    g_ = s.groupBy("station_name", F.date_trunc("HOUR", "time").alias("hour")).agg(F.concat_ws("", F.collect_list(stop)).alias("body"))
     return g_.select(F.concat(F.lit('<timetable station="'), "station_name", F.lit('">'), "body", F.lit("</timetable>")).alias("xml"))
 
 

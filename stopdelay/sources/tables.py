@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +118,11 @@ def new_months(have: DataFrame, available: DataFrame) -> DataFrame:
     return available.select("month").distinct().join(have.select("month").distinct(), "month", "left_anti").orderBy("month")
 
 
+def version_order(version: str) -> Column:
+    """What versions are ordered by: the first number in them, then the text, so that v10 follows v9."""
+    return F.struct(F.coalesce(F.regexp_extract(version, r"\d+", 0).try_cast("long"), F.lit(-1)), F.col(version))
+
+
 def latest_version(registry: DataFrame) -> DataFrame:
     return registry.agg(F.max("version").alias("version"))
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes, whole_minutes
 from ..operators.netstate import late
+from ..sources.tables import replace_days
 
 
 def first_seal_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -17,9 +18,9 @@ def first_seal_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def latest_change_stream(stream: DataFrame) -> DataFrame:
-    """Each stop's latest change, in update or complete mode."""
-    last = F.max_by(F.struct("changed_time", "is_canceled"), "observed_at").alias("_r")
-    return stream.groupBy("stop_id").agg(F.max("observed_at").alias("observed_at"), last).select("stop_id", "observed_at", "_r.changed_time", "_r.is_canceled")
+    """Each stop's latest change, among equal times the greatest row, in update or complete mode."""
+    last = F.max(F.struct("observed_at", "changed_time", "is_canceled")).alias("_r")
+    return stream.groupBy("stop_id").agg(last).select("stop_id", "_r.observed_at", "_r.changed_time", "_r.is_canceled")
 
 
 def network_state_stream(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
@@ -31,7 +32,7 @@ def network_state_stream(stream: DataFrame, keys: list[str], delay: str = "1 hou
 
 def ground_truth_stream(predictions: DataFrame, changes: DataFrame, delay: str = "1 day") -> DataFrame:
     """Predictions with each observed change of their stop from 2 days before to 2 days after; those without one come once
-    both watermarks have passed. Several changes of a stop are reduced to the latest by whoever reads the result."""
+    both watermarks have passed. settled_truth reduces several changes of a stop to the latest."""
     p = predictions.withWatermark("predicted_at", delay)
     c = changes.select(F.col("stop_id").alias("_stop"), "changed_time", "is_canceled", "observed_at").withWatermark("observed_at", delay)
     near = F.col("observed_at").between(F.col("predicted_at") - F.expr("interval 2 days"), F.col("predicted_at") + F.expr("interval 2 days"))
@@ -39,6 +40,28 @@ def ground_truth_stream(predictions: DataFrame, changes: DataFrame, delay: str =
     return out.withColumn("actual_delay_min", F.coalesce(whole_minutes(F.col("scheduled_time"), F.col("changed_time")), F.lit(0)))
 
 
+def settled_truth(emitted: DataFrame) -> DataFrame:
+    """What ground_truth_stream has written so far, a row per seal: its stop's latest change, among equal times the greatest."""
+    keys = ["stop_id", "predicted_at", "scheduled_time"]
+    last = F.max(F.struct("observed_at", "changed_time", "is_canceled", "actual_delay_min")).alias("_r")
+    out = emitted.groupBy(*keys).agg(last).select(*keys, "_r.changed_time", "_r.is_canceled", "_r.actual_delay_min")
+    return out.withColumn("is_canceled", F.coalesce("is_canceled", F.lit(False)))
+
+
+def daily_scores(spark: SparkSession, log_path: str, progress: str, report: Callable[[list], DataFrame], table_path: str) -> None:
+    """One run of the daily job: days of the log at log_path that got rows since the last run are reported anew and
+    replace what table_path has of them. report: from days to a frame with a column day; it reads what it needs, such as
+    the next day's changes. A run that is repeated writes the same days again."""
+    log = spark.readStream.schema(spark.read.parquet(log_path).schema).parquet(log_path)
+
+    def write(batch: DataFrame, _: int) -> None:
+        days = [r["day"] for r in batch.select("day").distinct().collect()]  # a batch's days are few
+        if days:
+            replace_days(report(days), table_path)
+
+    log.select("day").writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+
+
 def seal_stream(plan: DataFrame, lookup: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], DataFrame], predicted_at: Column, lead_minutes: int = 120) -> DataFrame:
     """Planned stops to sealed predictions: static joins (lookup), a model (score), rows without a score dropped, and of
     every stop the first seal. Only stops that are still ahead are sealed."""

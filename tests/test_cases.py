@@ -323,3 +323,60 @@ def test_champion_and_challenger_have_the_same_rounds(spark, monkeypatch):
     monkeypatch.setattr(q, "frame", lambda spark, d: frame)
     q.championship(spark, "")
     assert len(rounds) == 2 and rounds[0] == rounds[1]
+
+
+def test_frame_in_local_time(spark):
+    """Days begin at midnight in Berlin, before and after both changes of the clock."""
+    rows = [(1, "S", "ICE", 8, "2025-03-29 22:59"), (2, "S", "ICE", 0, "2025-03-29 23:00"), (3, "S", "ICE", 0, "2025-03-30 22:00"), (4, "S", "ICE", 0, "2025-10-25 21:59"), (5, "S", "ICE", 0, "2025-10-25 22:00"), (6, "S", "ICE", 0, "2025-10-26 22:59"), (7, "S", "ICE", 0, "2025-10-26 23:00"), (8, "S", "ICE", 0, "2025-12-31 23:30")]
+    s = stops(spark, *rows).withColumn("departure_planned_time", F.col("time"))
+    got = {r.id: r for r in build_feature_frame(s, ti.holidays(spark, 2026), zone=ti.ZONE).collect()}
+    assert [(got[str(i)].scheduled_hour, got[str(i)].weekday) for i in range(1, 8)] == [(23, 6), (0, 7), (0, 1), (23, 6), (0, 7), (23, 7), (0, 1)]
+    assert got["1"].train_mean_delay_14d is None and got["2"].train_mean_delay_14d == 8.0  # the day barrier is the local midnight
+    assert (got["8"].fold_month, got["8"].is_holiday, got["8"].month) == ("2026-01", True, 1)
+    utc = {r.id: r for r in build_feature_frame(s, ti.holidays(spark, 2026)).collect()}
+    assert utc["2"].train_mean_delay_14d is None and utc["8"].fold_month == "2025-12"
+
+
+def test_versions_are_numbers(spark):
+    df = spark.createDataFrame([("v9",), ("v10",), ("v2",)], "model_version string")
+    assert [r.model_version for r in k.current_model(df).collect()] == ["v10"]
+
+
+@pytest.mark.parametrize("values,q", [([1.0], 0.9), ([3.0, 1.0, 2.0], 0.5), ([0.25, 0.5, 0.75, 7.0], 0.9), ([-3.5, -3.25, 10.0, 10.0, 11.0], 0.3)])
+def test_linear_quantile(spark, values, q):
+    import numpy as np
+
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+    assert k.linear_quantile(df, F.col("x"), q).first().v == pytest.approx(np.quantile(values, q))
+
+
+def test_rebuild_publishes_and_stands_down(spark, tmp_path):
+    now, path = F.lit("2025-01-10 12:00").cast("timestamp"), str(tmp_path / "cal")
+    at = [T("2025-01-08 00:00") + dt.timedelta(minutes=6 * i) for i in range(480)]
+    rows = [pred(str(i), str(x + dt.timedelta(hours=2)), p=0.2, p90=10.0, seal=str(x)) for i, x in enumerate(at)]
+    late = [(str(i), x + dt.timedelta(hours=2, minutes=20), False, x + dt.timedelta(hours=2), x.date()) for i, x in enumerate(at) if i % 2]
+    p, c_ = spark.createDataFrame(rows, PRED), spark.createDataFrame(late, CHANGE + ", day date")
+    out = k.rebuild(p, c_, now, "2025-01-10", path, 100)
+    assert out["p90_delta_min"] == pytest.approx(10, abs=1) and t.read_calibration(spark, path, "v1")["curve_y"] == out["curve_y"]
+    assert k.rebuild(p, c_, now, "2025-01-11", path, 10_000) is None and t.read_calibration(spark, path, "v1") is None
+
+
+def test_metrics_do_not_depend_on_order(spark):
+    rows = [(i % 2 * 1.0, (i * 7919 % 1000) / 1000.0) for i in range(32)]
+    results = set()
+    for order in (rows, rows[::-1], sorted(rows)):
+        df = spark.createDataFrame(order, "y double, p double").repartition(5)
+        results.add((m.expected_calibration_error(df, "y", "p").first().ece, m.classification_metrics(df, "y", "p").first().brier, df.agg(m.pinball(F.col("y"), F.col("p"), 0.9)).first()[0]))
+    assert len(results) == 1
+
+
+def test_saved_bundles(spark):
+    from stopdelay.queries import QUERIES
+
+    rows = QUERIES["saved_bundle"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r[c] == r[f"{c}_loaded"] for r in rows for c in ("delay_probability", "p50", "p90"))
+    sealed = {r.stop_id: r for r in QUERIES["stream_seal_bundle"](spark, "/root/testdata/sf0.001").collect()}
+    assert {r.id for r in rows} == set(sealed)
+    assert all(abs(sealed[r.id].delay_probability - r.delay_probability) < 1e-9 for r in rows)
+    got = {(r.val_month, r.metric): (r.model, r.baseline) for r in QUERIES["train_cv"](spark, "/root/testdata/sf0.001").collect()}
+    assert got["eval", "pr_auc"] == got["mean", "pr_auc"] and None not in got["eval", "roc_auc"]
