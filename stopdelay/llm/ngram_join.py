@@ -468,8 +468,9 @@ def _across(shared: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     label = links.groupBy(F.col("b").alias("node")).agg(F.max("a").alias("label"))
     s = shared.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # a token that one label has to itself, as most have in groups of near copies, leads to nothing new
-    mixed = s.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    mixed = staged(s.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"))
     s = staged(s.join(mixed, "token"))
+    discard(mixed)
     whole = 100 + percent
     bin_of = lambda n: F.floor(F.log(n.cast("double")) * 12).cast("int")
     index = s.where(whole * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n")).withColumn("bin", bin_of(F.col("n")))
