@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shared import discard, sliced, staged, table
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*(?:"[^"]*"|'[^']*')|=)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: In a style: comments, quoted strings and brackets, whose semicolons and colons part nothing.
 QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|\([^()]*\)""", re.S)
@@ -40,6 +40,9 @@ MARKED = frozenset(
     "share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay dialog toolbar pagination pager copyright".split()
 )
 EXEMPT = frozenset("html body article main h1".split())
+#: The marks of reader comments, and blocks of text, as against containers.
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+TEXT_BLOCK = frozenset("p li dt dd tr td th h2 h3 h4 h5 h6 blockquote figcaption".split())
 #: Which open elements a start tag ends by itself, each with the elements across which it doesn't.
 ENDS_P = frozenset(
     "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main "
@@ -80,32 +83,46 @@ def _unseen(style: str) -> bool:
     return held.get("display", (0, ""))[1] == "none" or held.get("visibility", (0, ""))[1] == "hidden"
 
 
-def _left_out(tag: str, attributes: str, in_main: bool) -> bool:
+def _left_out(tag: str, attributes: str, in_main: bool) -> str:
+    """Why an element is left out: by its tag, as comments, or else; "" if it isn't.
+
+    Inside an article a block of text goes only by a class all of whose words are marks: "cookie-notice" is one,
+    "share-price" is not.
+    """
     if tag in LEFT_OUT or tag == "header" and not in_main:
-        return True
+        return "else" if tag == "form" else "tag"
     if tag in EXEMPT or not attributes:
-        return False
+        return ""
     named: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
         named.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
     if "hidden" in named or named.get("aria-hidden", "").strip().lower() == "true" or "style" in named and _unseen(named["style"]):
-        return True
+        return "else"
     for name in ("class", "id", "role"):
-        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named.get(name, "")).lower()))
-        if words & MARKED or "header" in words and not in_main:
-            return True
-    return False
+        for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", named.get(name, "")).lower().split():
+            words = set(re.split(r"[^a-z]+", token)) - {""}
+            if in_main and tag in TEXT_BLOCK and not words <= MARKED:
+                continue
+            if words & MARKED or "header" in words and not in_main:
+                return "comments" if words & COMMENTS else "else"
+    return ""
 
 
-def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
-    """The text lines of a page and whether each stands inside an article (or main) element."""
+def page_lines(page: str | None, nested: bool = True) -> tuple[list[str], list[bool]]:
+    """The text lines of a page and whether each stands inside an article (or main) element.
+
+    An article in a sidebar or among comments (a teaser, a reader's comment) is left out with it, where the page ends as
+    many elements of that name as it begins; else, and in other elements that are left out, it is taken as the page's
+    own, behind an element that was never ended. Comments that hold all articles of a page are no comments (nested off).
+    """
     lines: list[str] = []
     inside: list[bool] = []
     held: list[str] = []
     page = page or ""
-    at, main, skip = 0, 0, 0
+    at, main, skip, why, doubt = 0, 0, 0, "", False
     stack: list[str] = []  # the open elements; from place skip - 1 on they are left out
     count: dict[str, int] = {}
+    balance: dict[str, bool] = {}
 
     def close(tags, across):
         """Ends the innermost open element of these with all in it, but not across some or across an article that counts."""
@@ -123,6 +140,13 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
             if stack[i] in across or across and stack[i] in MAIN and not (skip and i >= skip - 1):
                 return
 
+    def ended(tag):
+        """Whether the page ends all elements of this name."""
+        if tag not in balance:
+            begun, ends = (len(re.findall(rf"<{x}{tag}(?![a-z0-9:-])", page, re.I)) for x in ("", "/"))
+            balance[tag] = begun <= ends
+        return balance[tag]
+
     def flush():
         if held:
             text = " ".join(html.unescape("".join(held)).split())
@@ -161,7 +185,10 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if skip and (tag in MAIN and not main or tag == "body"):
-            skip = 0  # what was left open ends here
+            if tag == "article" and (why == "tag" or why == "comments" and nested) and ended(stack[skip - 1]):
+                doubt = doubt or why == "comments"
+            else:
+                skip = 0  # what was left open ends here
         if not alone:
             stack.append(tag)
             count[tag] = count.get(tag, 0) + 1
@@ -169,7 +196,7 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
             continue
         if tag == "br":
             held.append(" ")
-        elif not alone and _left_out(tag, m[3], main > 0):
+        elif not alone and (why := _left_out(tag, m[3], main > 0)):
             flush()
             skip = len(stack)
         elif tag in BLOCK:
@@ -178,7 +205,7 @@ def page_lines(page: str | None) -> tuple[list[str], list[bool]]:
     if not skip:
         held.append(page[at:])
     flush()
-    return lines, inside
+    return page_lines(page, False) if doubt and not any(inside) else (lines, inside)
 
 
 def shared_lines(a: list[str], b: list[str]) -> list[bool]:

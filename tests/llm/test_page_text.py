@@ -72,6 +72,33 @@ def test_left_out_elements_end_where_html_ends_them():
     assert p.page_lines("<article><aside>no</article><p>b") == (["b"], [False])
 
 
+def test_articles_that_are_not_the_pages_own():
+    for page, text in [
+        ("<article><p>a</article><section class=comments><article class=comment><p>no</article></section><article>b</article>", "a b"),
+        ("<aside><article class=teaser><p>no</article></aside><div>a</div>", "a"),
+        ("<footer><div><article>no</article></div></footer><p>a", "a"),
+        ("<aside><p>never ended<article><p>a</article>", "a"),
+        ("<article>a</article><aside>never ended<article><p>b</article>", "a b"),
+        ("<form><p>no<article>a</article></form>", "a"),
+        ("<div class='page has-comments'><p>no</p><article>a</article></div>", "a"),
+    ]:
+        assert " ".join(p.page_lines(page)[0]) == text, page
+
+
+def test_marks_of_text_blocks():
+    kept = ["share-price", "menu-item", "related-work", "x sharePrice"]
+    gone = ["share", "x share", "cookie-notice", "adBanner", "share_social"]
+    for x in kept + gone:
+        assert p.page_lines(f"<article><p class='{x}'>a</p>b</article>")[0] == ["a", "b"][x in gone :], x
+    assert p.page_lines("<article><div class='related-posts'>no</div>b</article>")[0] == ["b"]
+    assert p.page_lines("<p class='share-price'>no</p>b")[0] == ["b"]
+
+
+def test_quotes_that_open_no_value():
+    for tag in ['<p class="x>', "<p don't>", "<p title=don't>", "<p title='a > b'>", '<p title = "a > b" x>', "<p a==\">", "<p '>"]:
+        assert p.page_lines(f"<article>{tag}Hello</p><p>World</p></article>")[0] == ["Hello", "World"], tag
+
+
 def test_differencing(spark):
     site = lambda i, body: f"<html><body><div>The Site</div>{body}<p>Since 1999 on page {i % 1}</p></body></html>"
     rows = [(i, f"http://H.example/a/{i:03}", site(i, f"<p>own {i}</p><p>more {i}</p>")) for i in range(20)]
