@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.metrics import nearest_quantiles
-from ..functions.times import LATE_MIN, month_key
+from ..functions.times import LATE_MIN, month_key, wall_clock
 
 
 def share(c: Column) -> Column:
@@ -55,8 +55,10 @@ def endpoint_nulls(df: DataFrame, ride: str = "train_line_ride_id") -> DataFrame
     return g.agg(F.count(F.lit(1)).alias("n"), share(F.col("arrival_planned_time").isNull()).alias("arrival_null"), share(F.col("departure_planned_time").isNull()).alias("departure_null"))
 
 
-def hourly_counts(df: DataFrame, day: str) -> DataFrame:
-    return df.where(F.to_date("time") == F.lit(day).cast("date")).groupBy(F.hour("time").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+def hourly_counts(df: DataFrame, day: str, zone: str | None = None) -> DataFrame:
+    """Rows of a day's hours, on the zone's clocks (as written without one): a skipped hour has none, a repeated one twice as many."""
+    at = F.col("time") if zone is None else wall_clock(F.col("time"), zone)
+    return df.where(F.to_date(at) == F.lit(day).cast("date")).groupBy(F.hour(at).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def feature_null_rate(df: DataFrame, features: list[str]) -> DataFrame:

@@ -21,9 +21,12 @@ VAL = ["2000-01", "2000-02", "2000-03"]
 FOLDS = "folds AS (SELECT v.val_month, strftime(CAST(v.val_month || '-01' AS DATE) - to_months(CAST(k AS INTEGER)), '%Y-%m') AS train_month FROM (VALUES ('2000-01'), ('2000-02'), ('2000-03')) AS v(val_month), range(1, 13) AS r(k))"
 
 
-@query("folds", f"WITH {FOLDS} SELECT val_month, train_month FROM folds")
+@query("folds", f"""WITH {a.TRAINING}, {FOLDS}, months AS (SELECT fold_month AS train_month, count(*) AS n FROM training GROUP BY 1)
+  SELECT val_month, train_month, coalesce(n, 0) AS n FROM folds LEFT JOIN months USING (train_month)""")
 def folds(spark, d):
-    return b.walk_forward_folds(spark, VAL)
+    """Each fold's months with the rows that the table has of them."""
+    months = a.training_rows(spark, d).groupBy(F.col("fold_month").alias("train_month")).agg(F.count(F.lit(1)).alias("n"))
+    return b.walk_forward_folds(spark, VAL).join(months, "train_month", "left").select("val_month", "train_month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("fold_sizes", f"WITH {a.TRAINING}, {FOLDS} SELECT val_month, count(*) AS n FROM folds JOIN training ON fold_month = train_month GROUP BY 1")

@@ -43,13 +43,10 @@ def clock(df: DataFrame, order: str) -> DataFrame:
     return df.sparkSession.range(FILES).select(*row)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame) -> DataFrame:
     spark = stream.sparkSession
     sink, checkpoint = t.shared_path(spark, "sink"), t.shared_path(spark, "progress")
-    if mode == "complete":
-        st.upsert_available(stream, sink, checkpoint)
-    else:
-        st.run_available(stream, sink, checkpoint, mode)
+    st.run_available(stream, sink, checkpoint)
     return spark.read.schema(stream.schema).parquet(sink)
 
 
@@ -64,7 +61,9 @@ def stream_first_seal(spark, d):
 @query("stream_latest_change", f"WITH {a.LOGS} SELECT stop_id, observed_at, changed_time, is_canceled FROM latest")
 def stream_latest_change(spark, d):
     c = a.changes_events(spark, d).drop("day")
-    return naive(drained(st.latest_change_stream(as_stream(halves(c, "observed_at"))), "complete"), "observed_at", "changed_time")
+    table, progress = (t.shared_path(spark, x) for x in ("latest", "progress"))
+    st.latest_change_stream(as_stream(halves(c, "observed_at")), table, progress)
+    return naive(st.latest_so_far(spark, table), "observed_at", "changed_time")
 
 
 @query("stream_netstate", f"""WITH {a.STOPS} SELECT station_name, time_bucket(INTERVAL 5 MINUTE, time) + to_minutes(5 * k) AS window_end, round(avg(delay_in_min), 6) AS mean_delay_60m,

@@ -49,9 +49,9 @@ def write_monthly(df: DataFrame, path: str | None = None) -> str:
 
 
 def write_stops(df: DataFrame, path: str) -> str:
-    """Parquet by month; a month's rows go to one task per file, however they came."""
+    """Parquet by month; a day's rows go to one task, so that a month has a file a day at most, however they came."""
     out = df.withColumn("month", month_key(F.col("time")))
-    out.repartition("month").write.mode("overwrite").partitionBy("month").parquet(path)
+    out.repartition("month", F.to_date("time")).write.mode("overwrite").partitionBy("month").parquet(path)
     return path
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes, whole_minutes
+from ..operators.logs import latest_changes
 from ..operators.netstate import late
 from ..sources.tables import replace_days
 
@@ -17,10 +18,19 @@ def first_seal_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:
     return stream.withWatermark("predicted_at", delay).dropDuplicatesWithinWatermark(["stop_id"])
 
 
-def latest_change_stream(stream: DataFrame) -> DataFrame:
-    """Each stop's latest change, among equal times the greatest row, in update or complete mode."""
-    last = F.max(F.struct("observed_at", "changed_time", "is_canceled")).alias("_r")
-    return stream.groupBy("stop_id").agg(last).select("stop_id", "_r.observed_at", "_r.changed_time", "_r.is_canceled")
+def latest_change_stream(stream: DataFrame, table_path: str, checkpoint: str) -> None:
+    """What has come so far, each micro-batch's latest changes of its stops into a folder of its own. No state is kept and no
+    other folder is touched; a batch that is repeated writes its folder anew. latest_so_far reads the table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        latest_changes(batch).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_so_far(spark: SparkSession, table_path: str) -> DataFrame:
+    """Each stop's latest change, among equal times the greatest row."""
+    return latest_changes(spark.read.parquet(table_path).drop("batch"))
 
 
 def network_state_stream(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
@@ -73,12 +83,3 @@ def seal_stream(plan: DataFrame, lookup: Callable[[DataFrame], DataFrame], score
 def run_available(stream: DataFrame, sink_path: str, checkpoint: str, mode: str = "append") -> None:
     """All that has come so far into a Parquet table, then the stream ends; the next call goes on from there."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", sink_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
-def upsert_available(stream: DataFrame, table_path: str, checkpoint: str) -> None:
-    """The result so far in place of what table_path had, for complete mode."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
-
-    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -380,3 +380,43 @@ def test_saved_bundles(spark):
     assert all(abs(sealed[r.id].delay_probability - r.delay_probability) < 1e-9 for r in rows)
     got = {(r.val_month, r.metric): (r.model, r.baseline) for r in QUERIES["train_cv"](spark, "/root/testdata/sf0.001").collect()}
     assert got["eval", "pr_auc"] == got["mean", "pr_auc"] and None not in got["eval", "roc_auc"]
+
+
+def test_hours_of_a_day_on_which_clocks_change(spark):
+    """Stops every half hour, UTC: the hour that spring skips has none, the one that autumn repeats twice as many."""
+    from stopdelay.operators.profiles import hourly_counts
+
+    for day, hours in (("2026-03-29", {2: 0}), ("2026-10-25", {2: 4})):
+        df = spark.sql(f"SELECT explode(sequence(timestamp_ntz'{day} 00:00:00' - interval 1 day, timestamp_ntz'{day} 00:00:00' + interval 2 days, interval 30 minutes)) AS time")
+        got = {r.hour: r.n for r in hourly_counts(df, day, ti.ZONE).collect()}
+        assert {h: got.get(h, 0) for h in range(24)} == {h: hours.get(h, 2) for h in range(24)}
+
+
+def test_latest_changes_of_a_stream(spark, tmp_path):
+    """Runs over a log that grows: ties go to the greatest row, late rows change nothing, earlier folders stay as they are."""
+    from stopdelay.streaming import streams
+
+    log, table, progress = (str(tmp_path / x) for x in ("log", "table", "progress"))
+    schema = "stop_id string, observed_at long, changed_time long, is_canceled boolean"
+    runs = [[("a", 1, 5, False), ("a", 2, 6, False), ("b", 1, None, True)], [("a", 2, 7, False), ("b", 0, 9, False), ("c", 3, 3, None)]]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(log)
+        streams.latest_change_stream(spark.readStream.schema(schema).parquet(log), table, progress)
+    assert sorted(tuple(r) for r in streams.latest_so_far(spark, table).collect()) == [("a", 2, 7, False), ("b", 1, None, True), ("c", 3, 3, None)]
+    assert spark.read.parquet(f"{table}/batch=0").count() == 2
+
+
+def test_queries_without_the_pipeline(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    full = set(entry.queries())
+    try:
+        monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # import raises ModuleNotFoundError of that name
+        assert set(importlib.reload(entry).queries()) <= full
+    finally:
+        monkeypatch.undo()
+        importlib.reload(entry)
+    assert set(entry.queries()) == full
