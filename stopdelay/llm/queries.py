@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, host_rules, line_dedup, maxscore, mixing, ngram_join, page_text, pieces, ppm_langid, sharding
+from . import byte_pairs, chat_format, host_rules, line_dedup, maxscore, mixing, ngram_join, page_text, pieces, ppm_langid, sharding
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_minimax_shards": sharding.op8_minimax_shards,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op13_byte_bpe": byte_pairs.op13_byte_bpe,
     }
 
 
