@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_pairs, chat_format, hard_negatives, host_rules, line_dedup, maxscore, mixing, ngram_join, page_text, pieces, ppm_langid, sharding
+from . import byte_pairs, chat_format, hard_negatives, host_rules, line_dedup, maxscore, mixing, ngram_join, page_text, pieces, ppm_langid, prefix_trie, sharding
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_minimax_shards": sharding.op8_minimax_shards,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_line_dedup": line_dedup.op10_line_dedup,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_byte_bpe": byte_pairs.op13_byte_bpe,
     }
@@ -29,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_host_rules": host_rules.OP6_SQL,
         "op7_maxscore": maxscore.OP7_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
         "op12_hard_negatives": hard_negatives.OP12_SQL,
     }
