@@ -108,28 +108,11 @@ def _doubtful(sizes: np.ndarray, low: int, high: int, shards: int) -> np.ndarray
     return out
 
 
-def plan_cuts(digests: DataFrame, shards: int, first_bits: int = 14, more_bits: int = 8) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(cuts, alone): digests at which shards 1.. begin, and the groups that fill a shard of their own.
-
-    A group larger than an even share of what is to be dealt gets a shard to itself, largest first, for as long as there
-    are such groups; the rest is cut contiguously into the other shards. There are fewer such groups than shards.
-    """
+def plan_cuts(digests: DataFrame, shards: int, first_bits: int = 14, more_bits: int = 8) -> list[tuple[int, int]]:
+    """Digests at which shards 1.. begin. A group larger than an even share makes the least capacity its own size; the
+    groups around it are cut as near to even shares as before."""
     groups = staged(digests.groupBy("_hi", "_lo").agg(F.sum("size").alias("bytes")))
-    total, largest = groups.agg(F.sum("bytes"), F.max("bytes")).first()
-    if total is None:
-        return [], []
-    alone: list[tuple[int, int]] = []
-    if largest * shards > total:
-        for hi, lo, size in groups.orderBy(F.desc("bytes"), "_hi", "_lo").limit(shards - 1).collect():
-            left = shards - len(alone)
-            if size * left <= total or left == 1:
-                break
-            alone.append((hi, lo))
-            total -= size
-        if alone:
-            taken = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in alone])
-            groups = groups.where(~F.array_contains(taken, F.struct(F.col("_hi").alias("a"), F.col("_lo").alias("b"))))
-    left, bits = shards - len(alone), first_bits
+    left, bits = shards, first_bits
     # units: first digest (two longs), size, groups, leading bits; a bin's second long is -2, before all that share the first
     binned = lambda df, n: (lambda x: np.column_stack([x[:, 0], np.full(len(x), -2), x[:, 1:], np.full(len(x), n)]))(_bins(df, n))
     units = binned(groups, bits)
@@ -156,30 +139,27 @@ def plan_cuts(digests: DataFrame, shards: int, first_bits: int = 14, more_bits:
         units = np.concatenate([units[~doubt], fine])
         units = units[np.lexsort((units[:, 1], units[:, 0]))]
     if not len(units):
-        return [], alone
+        return []
     cuts = _even(np.cumsum(units[:, 2]), smallest_capacity(units[:, 2], left), left)
     last = (1 << 61, 0)
-    return [(int(units[i, 0]), int(units[i, 1])) if i < len(units) else last for i in cuts[:-1]], alone
+    return [(int(units[i, 0]), int(units[i, 1])) if i < len(units) else last for i in cuts[:-1]]
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, shard and slot of every document, under the law that shards' bytes are near equal.
 
     Size is the text's UTF-8 bytes (null: none) plus 16; text_crc32 of a null text is null. Equal texts share a shard; null texts are equal to one another
-    and to nothing else. Slots count from 0 in each shard without gaps. Repeated rows get slots of their own; an empty
+    and to nothing else. Shards are runs of groups in the order of their digests, also around a
+    group that is larger than an even share. Slots count from 0 in each shard without gaps. Repeated rows get slots of their own; an empty
     table gives no rows; other columns are not read.
     """
     d = digested(docs, id_col, text_col)
-    cuts, alone = plan_cuts(d, shards)
-    left = shards - len(alone)
+    cuts = plan_cuts(d, shards)
     hi, lo = F.col("_hi"), F.col("_lo")
     number = F.lit(0)
     for a, b in cuts:
         number = number + ((hi > a) | ((hi == a) & (lo >= b))).cast("int")
-    place = F.lit(None).cast("int")
-    for i, (a, b) in enumerate(alone):
-        place = F.when((hi == a) & (lo == b), F.lit(left + i)).otherwise(place)
-    out = d.withColumn("shard", F.coalesce(place, number).cast("int"))
+    out = d.withColumn("shard", number.cast("int"))
     # slots: each shard in pieces, numbered inside and offset by the pieces before; a shard is never one task
     pieces = rows_wanted(d, SLOT_ROWS * max(1, shards // 2), 1)
     out = out.withColumn("_piece", F.pmod(F.xxhash64(id_col, "size"), F.lit(pieces)).cast("int"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -39,8 +40,7 @@ def test_cuts_are_those_of_all_groups(spark, seed):
     d = s.digested(df)
     groups = sorted((tuple(x) for x in d.groupBy("_hi", "_lo").agg({"size": "sum"}).collect()))
     for first, more in ((2, 2), (14, 8)):
-        cuts, alone = s.plan_cuts(d, 7, first, more)
-        assert not alone
+        cuts = s.plan_cuts(d, 7, first, more)
         shard_of = lambda g: sum(g[:2] >= c for c in cuts)
         sums = [0] * 7
         for g in groups:
@@ -63,9 +63,40 @@ def test_rows_slots_and_groups(spark):
         by.setdefault(t, set()).add(r.shard)
     assert all(len(x) == 1 for x in by.values())
     assert {r.shard for r in rows} <= set(range(8))
-    # groups above an even share have shards of their own; what is left is even
-    left = [sum(r.size for r in rows if r.shard == k) for k in range(8) if k not in (*by["same"], *by["é" * 5000])]
-    assert max(left) <= 1.3 * min(left)
+    # shards are runs of the digests' order, also around groups that are larger than an even share
+    order = sorted(by, key=lambda t: "" if t is None else hashlib.md5(t.encode()).hexdigest())
+    runs = [next(iter(by[t])) for t in order]
+    assert runs == sorted(runs)
+    sizes = [sum(r.size for r in rows if texts[r.doc_id] == t) for t in order]
+    sums = [sum(n for n, k in zip(sizes, runs) if k == shard) for shard in range(8)]
+    assert max(sums) == brute_capacity(sizes, 8) == max(sizes)
+
+
+def test_large_groups_of_the_smallest_table(spark):
+    """Five groups of this table are larger than a fortieth of it; shards are runs of groups and none is larger than it must be."""
+    rows = s.op8_minimax_shards(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    groups = {}
+    for r in rows:
+        text = docs[r.doc_id]
+        g = groups.setdefault("" if text is None else hashlib.md5(text.encode()).hexdigest(), [0, set()])
+        g[0] += r.size
+        g[1].add(r.shard)
+    ordered = [groups[k] for k in sorted(groups)]
+    runs = [next(iter(k)) for _, k in ordered]
+    assert all(len(k) == 1 for _, k in ordered) and runs == sorted(runs)
+    sizes = [n for n, _ in ordered]
+    assert sum(n * 40 > sum(sizes) for n in sizes) == 5
+    sums = [sum(n for n, k in zip(sizes, runs) if k == shard) for shard in range(40)]
+    assert max(sums) == s.smallest_capacity(np.array(sizes), 40) == brute_capacity(sizes, 40)
+
+
+def test_rows_that_repeat_an_id(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, None)], "doc_id long, text string")
+    rows = s.shard(df, 2).collect()
+    assert len(rows) == 6
+    for k in range(2):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
 
 
 def test_empty_and_fewer_groups_than_shards(spark):
