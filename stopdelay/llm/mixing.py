@@ -105,13 +105,15 @@ def sized_docs(docs: DataFrame, seed: int = 11) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The mix as documents, with the columns of docs, whatever their names: a row for each whole round that takes a
     document, and one with the first words of a document whose last round ends within it. Documents that the mix doesn't
-    take are gone; rows that repeat an id and its text are taken together, as one row's rounds."""
+    take are gone; rows of one source that repeat an id and its text are taken together, as rounds of the least of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # one key for the rows and what is taken of them, so that texts are shuffled once
-    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]
-    taken = mix(sized_docs(docs, seed)).select(*key, "_order", "size", "taken").groupBy("id", "none", "_order").agg(F.first("size").alias("size"), F.sum("taken").alias("taken"))
-    out = docs.select(*key, F.xxhash64(F.lit(seed), "doc_id", text).alias("_order"), F.struct(*docs.columns).alias("own")).dropDuplicates(["id", "none", "_order"])
-    out = out.join(taken, ["id", "none", "_order"]).where("taken > 0")
+    key = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("of"), F.col("source").isNull().alias("of_none"), "_order"]
+    names = ["id", "none", "of", "of_none", "_order"]
+    taken = mix(sized_docs(docs, seed)).select(*key, "size", "taken").groupBy(*names).agg(F.first("size").alias("size"), F.sum("taken").alias("taken"))
+    own = docs.select(F.struct(*docs.columns).alias("own"), F.xxhash64(F.lit(seed), "doc_id", text).alias("_order"))
+    out = own.select("own", "own.doc_id", "own.source", "_order").select("own", *key).groupBy(*names).agg(F.min("own").alias("own"))
+    out = out.join(taken, names).where("taken > 0")
     part = F.col("taken") % F.col("size")
     whole = F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int"))
     out = out.select("own", F.explode(F.when(part > 0, F.array_append(whole, part)).otherwise(whole)).alias("words"))

@@ -109,6 +109,20 @@ def test_mixed_documents_hold_the_words_taken(spark):
     assert all(texts[r.doc_id].startswith(r.text) for r in rows)
 
 
+def test_repeated_rows_are_taken_with_their_own_source(spark):
+    """The same id and text in two sources: each source's words come from its own row, from the least of repeated ones."""
+    rows = [(i, "w " * 40, s, n) for i in range(30) for s, n in (("s1", 5), ("s2", 7), ("s2", 6), (None, 1))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rank int")
+    got = {}
+    for r in m.mixed_documents(df).collect():
+        assert r["rank"] == {"s1": 5, "s2": 6, None: 1}[r.source]
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    want = {}
+    for r in m.mix(m.sized_docs(df)).collect():
+        want[r.source] = want.get(r.source, 0) + r.taken
+    assert got == want and len(want) == 3
+
+
 def test_empty(spark):
     _, df = docs_of(spark, 3)
     assert m.mix(m.sized_docs(df.limit(0))).count() == 0
