@@ -5,103 +5,34 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import FeatureHasher, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.metrics import classification_metrics, nearest_quantiles, quantile_metrics
+from ..functions.metrics import classification_metrics, quantile_metrics
 from ..operators.baseline import compare_metrics, fit_baseline, predict_baseline, promotion_verdict, score_postprocess
-from ..sources.tables import load_split, shared_path, version_order
-
-CATEGORICAL = ["station_name", "train_type"]
-HASHED = ["train_number"]
-ABSENT = -999.0
-
-
-def with_missing(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Numbers as doubles with a sentinel for null and a flag column beside, as trees take neither null nor NaN."""
-    out = {c: F.coalesce(F.col(c).cast("double"), F.lit(ABSENT)) for c in numeric}
-    flags = {f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric}
-    return df.withColumns(flags).withColumns(out)
-
-
-def encoder(features: Sequence[str]) -> tuple[list, list[str]]:
-    """Pipeline stages that encode features into `features`, and the numeric ones. Unseen and null names are a class."""
-    cats = [c for c in CATEGORICAL if c in features]
-    hashed = [c for c in HASHED if c in features]
-    numeric = [c for c in features if c not in CATEGORICAL + HASHED]
-    stages: list = [StringIndexer(inputCols=cats, outputCols=[f"{c}_ix" for c in cats], handleInvalid="keep")] if cats else []
-    if hashed:
-        stages.append(FeatureHasher(inputCols=hashed, outputCol="_hashed", numFeatures=64))
-    inputs = [f"{c}_ix" for c in cats] + (["_hashed"] if hashed else []) + list(numeric) + [f"{c}_missing" for c in numeric]
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return stages, numeric
-
-
-def encode(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, PipelineModel]:
-    stages, numeric = encoder(features)
-    ready = with_missing(df, numeric)
-    model = Pipeline(stages=stages).fit(ready)
-    return model.transform(ready), model
-
-
-def fit_classifier(encoded: DataFrame, rounds: int = 20, depth: int = 5, label: str = "target_delayed6") -> PipelineModel:
-    data = encoded.withColumn("label", F.col(label).cast("double"))
-    gbt = GBTClassifier(maxIter=rounds, stepSize=0.1, maxDepth=depth, minInstancesPerNode=20, maxBins=256, featuresCol="features", labelCol="label", seed=7)
-    return Pipeline(stages=[gbt]).fit(data)
-
-
-class QuantileBoost:
-    """Boosting for the pinball loss: each round a tree on its gradient, with the residuals' quantile as a leaf's value.
-
-    A round's leaves are a small table (2^depth rows at most). Scores are written after each round, so that a plan
-    holds one round and not all before it.
-    """
-
-    def __init__(self, alpha: float, rounds: int = 4, step: float = 0.5, depth: int = 4):
-        self.alpha, self.rounds, self.step, self.depth = alpha, rounds, step, depth
-        self.base, self.trees = 0.0, []
-
-    def fit(self, encoded: DataFrame, target: str) -> QuantileBoost:
-        data = encoded.select("features", F.col(target).cast("double").alias("y"))
-        self.base = float(nearest_quantiles(encoded.select(F.col(target).alias("v")), "v", [self.alpha]).first()[0])
-        data, self.trees = data.withColumn("f", F.lit(self.base)), []
-        for _ in range(self.rounds):
-            data = data.withColumn("g", F.when(F.col("y") > F.col("f"), F.lit(self.alpha)).otherwise(F.lit(self.alpha - 1)))
-            tree = DecisionTreeRegressor(featuresCol="features", labelCol="g", maxDepth=self.depth, minInstancesPerNode=20, maxBins=256, seed=7).setLeafCol("leaf").fit(data)
-            rows = tree.transform(data)
-            values = {r["leaf"]: r["v"] for r in rows.groupBy("leaf").agg(F.percentile(F.col("y") - F.col("f"), F.lit(self.alpha)).alias("v")).collect()}
-            self.trees.append((tree, values))
-            path = shared_path(data.sparkSession, "boost")
-            rows.select("features", "y", (F.col("f") + self._value(values)).alias("f")).write.parquet(path)
-            data = data.sparkSession.read.parquet(path)
-        return self
+from ..sources.tables import load_split, shared_path, version_order, written
+from .boosting import Binning, Boost, best_splits, log_odds, scored
 
-    def _value(self, values: dict[float, float]) -> Column:
-        table = F.create_map(*[F.lit(float(x)) for kv in values.items() for x in kv])
-        return self.step * F.coalesce(F.element_at(table, F.col("leaf")), F.lit(0.0))
+__all__ = ["Binning", "Boost", "Bundle", "best_splits", "championship", "fit_binning", "fit_classifier", "fit_quantile", "log_odds", "model_metrics", "scored", "train_cv"]
 
-    def transform(self, encoded: DataFrame, name: str) -> DataFrame:
-        out = encoded.withColumn(name, F.lit(self.base))
-        for tree, values in self.trees:
-            out = tree.transform(out).withColumn(name, F.col(name) + self._value(values)).drop("leaf", "prediction")
-        return out
+#: The features that are names, not numbers.
+CATEGORICAL = ["station_name", "train_type", "train_number"]
 
-    def save(self, path: str) -> dict:
-        """Writes the trees below path; returns the rest, as JSON has it."""
-        for i, (tree, _) in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/{i}")
-        return {"alpha": self.alpha, "rounds": self.rounds, "step": self.step, "depth": self.depth, "base": self.base, "values": [sorted(v.items()) for _, v in self.trees]}
 
-    @classmethod
-    def load(cls, path: str, rest: dict) -> QuantileBoost:
-        out = cls(rest["alpha"], rest["rounds"], rest["step"], rest["depth"])
-        out.base, out.trees = rest["base"], [(DecisionTreeRegressionModel.load(f"{path}/{i}"), {float(k): v for k, v in x}) for i, x in enumerate(rest["values"])]
-        return out
+def fit_binning(df: DataFrame, features: Sequence[str]) -> Binning:
+    return Binning.fit(df, [c for c in features if c not in CATEGORICAL], [c for c in CATEGORICAL if c in features])
+
+
+def fit_boost(binned: DataFrame, binning: Binning, target: str, loss: str | float, rounds: int, **sizes) -> Boost:
+    return Boost(loss, rounds, **sizes).fit(binned, target, binning.widths, len(binning.numeric))
+
+
+def fit_classifier(binned: DataFrame, binning: Binning, rounds: int = 20, depth: int = 5, label: str = "target_delayed6") -> Boost:
+    return fit_boost(binned, binning, label, "logistic", rounds, depth=depth)
+
+
+def fit_quantile(binned: DataFrame, binning: Binning, alpha: float, rounds: int = 4, depth: int = 4, target: str = "target_delay_min") -> Boost:
+    return fit_boost(binned, binning, target, alpha, rounds, depth=depth, step=0.5, l2=0.0)
 
 
 class Bundle:
@@ -111,19 +42,17 @@ class Bundle:
         self.version, self.features = version, list(features)
 
     def fit(self, df: DataFrame, rounds: int = 10, boost_rounds: int = 4) -> Bundle:
-        encoded, self.encoder = encode(df, self.features)
-        encoded = encoded.select("features", "target_delayed6", "target_delay_min")
-        self.classifier = fit_classifier(encoded, rounds)
-        self.q50, self.q90 = (QuantileBoost(alpha, boost_rounds).fit(encoded, "target_delay_min") for alpha in (0.5, 0.9))
+        self.binning = fit_binning(df, self.features)
+        binned = written(self.binning.apply(df).select("bins", "target_delayed6", "target_delay_min"), "binned")
+        self.models = {"delay_probability": fit_classifier(binned, self.binning, rounds)}
+        self.models |= {name: fit_quantile(binned, self.binning, alpha, boost_rounds) for name, alpha in (("p50", 0.5), ("p90", 0.9))}
         return self
 
     def save(self, path: str) -> None:
         """Writes the bundle below path, a folder a version; its description comes last, so that what is there is whole."""
-        at = f"{path}/{self.version}"
-        self.encoder.write().overwrite().save(f"{at}/encoder")
-        self.classifier.write().overwrite().save(f"{at}/classifier")
-        about = {"version": self.version, "features": self.features, "q50": self.q50.save(f"{at}/q50"), "q90": self.q90.save(f"{at}/q90")}
-        SparkSession.active().createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/about")
+        state = {"binning": self.binning.state(), "models": {name: m.state() for name, m in self.models.items()}}
+        for part, text in (("models", state), ("about", {"version": self.version, "features": self.features})):
+            SparkSession.active().createDataFrame([(json.dumps(text),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{self.version}/{part}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: str | None = None) -> Bundle:
@@ -131,20 +60,15 @@ class Bundle:
         found = spark.read.text(f"{path}/*/about").withColumn("version", F.get_json_object("value", "$.version"))
         found = found.where(F.col("version") == version) if version is not None else found.orderBy(version_order("version").desc()).limit(1)
         about = json.loads(found.first()["value"])
-        out, at = cls(about["version"], about["features"]), f"{path}/{about['version']}"
-        out.encoder, out.classifier = PipelineModel.load(f"{at}/encoder"), PipelineModel.load(f"{at}/classifier")
-        out.q50, out.q90 = (QuantileBoost.load(f"{at}/{q}", about[q]) for q in ("q50", "q90"))
+        out = cls(about["version"], about["features"])
+        state = json.loads(spark.read.text(f"{path}/{out.version}/models").first()["value"])
+        out.binning, out.models = Binning(**state["binning"]), {name: Boost.of(x) for name, x in state["models"].items()}
         return out
 
     def score(self, df: DataFrame, mode: str = "serve") -> DataFrame:
         """df with delay_probability, p50 and p90."""
-        _, numeric = encoder(self.features)
-        kept = df.columns
-        out = self.encoder.transform(with_missing(df.select("*", *[F.col(c).alias(f"_own_{c}") for c in numeric]), numeric))
-        out = self.classifier.transform(out).withColumn("delay_probability", vector_to_array("probability")[1]).drop("prediction", "rawPrediction", "probability")
-        out = self.q90.transform(self.q50.transform(out, "p50"), "p90")
-        own = [F.col(f"_own_{c}").alias(c) if c in numeric else F.col(c) for c in kept]
-        return score_postprocess(out.select(*own, "delay_probability", "p50", "p90"), mode)
+        binned = self.binning.apply(df, "_bins")
+        return score_postprocess(scored(binned, self.models, len(self.binning.widths), "_bins"), mode)
 
 
 def model_metrics(scored: DataFrame) -> DataFrame:

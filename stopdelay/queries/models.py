@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import metrics as m
 from ..functions.times import holidays
 from ..operators import baseline as b
+from ..operators.quantiles import grouped_quantile
 from ..plans import models as pm
 from ..plans.features import FEATURES, build_feature_frame
 from ..sources import adapters as a
@@ -127,29 +127,87 @@ def frame(spark, d):
     return spark.read.parquet(path)
 
 
-@query("encoded_features")
-def encoded_features(spark, d):
+#: Whole numbers of the schedule; their bins are few.
+HOURS = ["train_line_station_num", "scheduled_hour", "weekday"]
+CATEGORIES = "FROM (SELECT {c} AS name, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 1 HAVING n >= 20)"
+#: The training rows of the frame's schedule, with the bins of HOURS and the places of the categories, as the binning has them.
+BINNED = a.PLANNED + f""", rows AS (
+  SELECT id, station_name, train_type, train_number, train_line_station_num, hour(scheduled_time) AS scheduled_hour, isodow(scheduled_time) - 1 AS weekday, delay_in_min, delay_in_min >= 6 AS late,
+    scheduled_time < TIMESTAMP '{a.NOW}' AS training FROM planned
+), known AS (SELECT * FROM rows WHERE training), edges AS (
+  SELECT {", ".join(f"list_sort(list_distinct(quantile_disc({c}, list_transform(range(1, 255), lambda i: i / 255.0::DOUBLE)))) AS {c}" for c in HOURS)} FROM known
+), {", ".join(f"{c}_names AS (SELECT name, row_number() OVER (ORDER BY n DESC, name) AS place {CATEGORIES.format(c=c, t='known')})" for c in pm.CATEGORICAL)}, binned AS (
+  SELECT rows.*, {", ".join(f"len(list_filter(edges.{c}, lambda e: e < rows.{c})) + 1 AS {c}_bin" for c in HOURS)}, {", ".join(f"coalesce({c}_names.place, 0) AS {c}_bin" for c in pm.CATEGORICAL)}
+  FROM rows {" ".join(f"LEFT JOIN {c}_names ON {c}_names.name = rows.{c}" for c in pm.CATEGORICAL)}, edges
+)"""
+BIN_COLUMNS = [f"{c}_bin" for c in (*HOURS, *pm.CATEGORICAL)]
+
+
+def binned_schedule(spark, d):
+    """The frame with the bins of the schedule, fitted on its training rows."""
     df = frame(spark, d)
-    encoded, _ = pm.encode(df, FEATURES)
-    return encoded.select("id", F.size(vector_to_array("features")).alias("width"))
+    binning = pm.fit_binning(df.where("fold_month = 'train'"), [*HOURS, *pm.CATEGORICAL])
+    return binning.apply(df), binning
+
+
+@query("encoded_features", f"WITH {BINNED} SELECT id, {', '.join(BIN_COLUMNS)} FROM binned")
+def encoded_features(spark, d):
+    """Bins of all rows; names that training has fewer than 20 times, or never, are 0."""
+    df, _ = binned_schedule(spark, d)
+    digits = lambda i: F.hex(F.substring("bins", 2 * i + 1, 2))  # noqa: E731  two bytes, the low one first
+    place = lambda i: F.conv(F.concat(F.substring(digits(i), 3, 2), F.substring(digits(i), 1, 2)), 16, 10).cast("long")
+    return df.select("id", *[place(i).alias(c) for i, c in enumerate(BIN_COLUMNS)])
+
+
+FEATURE_ROWS = " UNION ALL ".join(f"SELECT {i} AS feature, {c} AS bin, g, h FROM r" for i, c in enumerate(BIN_COLUMNS))
+SIDE = "CASE WHEN {h} + 1 > 0 THEN {g} * {g} / ({h} + 1) ELSE 0 END"
+
+
+@query("root_split", f"""WITH {BINNED}, base AS (SELECT 1 / (1 + exp(-ln((sum(late::INT) + 0.5) / (count(*) - sum(late::INT) + 0.5)))) AS p FROM binned WHERE training),
+  r AS (SELECT *, round_even((p - late::INT) * 67108864, 0)::BIGINT AS g, round_even(p * (1 - p) * 67108864, 0)::BIGINT AS h FROM binned, base WHERE training), f AS ({FEATURE_ROWS}),
+  s AS (SELECT feature, bin, sum(g) / 67108864.0::DOUBLE AS g, sum(h) / 67108864.0::DOUBLE AS h, count(*) AS n FROM f GROUP BY ALL),
+  c AS (SELECT feature, bin, sum(g) OVER w AS g, sum(h) OVER w AS h, sum(n) OVER w AS n, sum(g) OVER k AS all_g, sum(h) OVER k AS all_h, sum(n) OVER k AS all_n FROM s
+    WINDOW k AS (PARTITION BY feature), w AS (PARTITION BY feature ORDER BY CASE WHEN feature < 3 THEN bin ELSE g / (h + 1) END, bin)),
+  b AS (SELECT feature, {SIDE.format(g="g", h="h")} + {SIDE.format(g="(all_g - g)", h="(all_h - h)")} - {SIDE.format(g="all_g", h="all_h")} AS gain, n FROM c WHERE n >= 20 AND all_n - n >= 20)
+  SELECT feature, round(max(gain), 6) AS gain, arg_max(n, round(gain, 9)) AS n_left FROM b WHERE gain > 0 GROUP BY ALL""")
+def root_split(spark, d):
+    """Of each feature alone, the best first split of the classifier: its gain and the rows that go left."""
+    df, binning = binned_schedule(spark, d)
+    out = None
+    boost = pm.Boost("logistic", depth=1)
+    train = df.where("fold_month = 'train'").select("bins", F.col("target_delayed6").cast("double").alias("y"))
+    n, late = train.agg(F.count(F.lit(1)), F.sum("y")).first()
+    sums = t.written(boost.level(train.withColumn("f", F.lit(pm.log_odds(n, late))), binning.widths), "sums")
+    for i in range(len(binning.widths)):
+        one = pm.best_splits(sums.where(F.col("feature") == i), len(HOURS), boost.l2, boost.min_rows).select("feature", F.round("gain", 6).alias("gain"), F.col("left_n").alias("n_left"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("group_quantiles", f"""WITH {a.PLANNED} SELECT station_name, train_type, round(quantile_cont(delay_in_min - (id::BIGINT % 7) / 8.0::DOUBLE, 0.9), 6) AS v FROM planned GROUP BY ALL""")
+def group_quantiles(spark, d):
+    """Interpolated quantiles of all stations and types at once."""
+    rows = a.stops_events(spark, d).where(~F.col("is_canceled")).withColumn("x", F.col("delay_in_min") - (F.col("id").cast("long") % 7) / F.lit(8.0))
+    return grouped_quantile(rows, ["station_name", "train_type"], "x", 0.9).withColumn("v", F.round("v", 6))
 
 
 @query("clf_scores")
 def clf_scores(spark, d):
     df = frame(spark, d)
-    encoded, encoder = pm.encode(df.where("fold_month = 'train'"), FEATURES)
-    model = pm.fit_classifier(encoded, rounds=5)
-    _, numeric = pm.encoder(FEATURES)
-    rows = model.transform(encoder.transform(pm.with_missing(df.where("fold_month = 'eval'"), numeric)))
-    return rows.select("id", vector_to_array("probability")[1].alias("delay_probability"), F.col("target_delayed6").cast("int").alias("late"))
+    train = df.where("fold_month = 'train'")
+    binning = pm.fit_binning(train, FEATURES)
+    model = pm.fit_classifier(binning.apply(train), binning, rounds=5)
+    rows = pm.scored(binning.apply(df.where("fold_month = 'eval'")), {"delay_probability": model}, len(binning.widths))
+    return rows.select("id", "delay_probability", F.col("target_delayed6").cast("int").alias("late"))
 
 
 @query("quantile_scores")
 def quantile_scores(spark, d):
     df = frame(spark, d)
-    encoded, _ = pm.encode(df, FEATURES)
-    boost = pm.QuantileBoost(0.9, rounds=3).fit(encoded.where("fold_month = 'train'"), "target_delay_min")
-    return boost.transform(encoded.where("fold_month = 'eval'"), "p90").select("id", "p90", "target_delay_min")
+    train = df.where("fold_month = 'train'")
+    binning = pm.fit_binning(train, FEATURES)
+    boost = pm.fit_quantile(binning.apply(train), binning, 0.9, rounds=3)
+    return pm.scored(binning.apply(df.where("fold_month = 'eval'")), {"p90": boost}, len(binning.widths)).select("id", "p90", "target_delay_min")
 
 
 @query("championship")

@@ -24,6 +24,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: what comes before it isn't computed again, also if an executor is lost."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, written and counted, as a broadcast if it has so many rows at most; a larger one is joined by a shuffle."""
     path = shared_path(df.sparkSession, "small")
