@@ -169,10 +169,10 @@ def test_log_loss_beside_mllib(spark):
     df = frame(spark, rows_of(5, 3000)).withColumns({"label": F.col("late").cast("double"), "z": F.nanvl("z", F.lit(None).cast("double"))})
     train, rest = df.where(F.col("delay") != 3), df.where(F.col("delay") == 3)
     filled = lambda d: d.withColumns({"x": F.coalesce(F.col("x").cast("double"), F.lit(-999.0)), "z": F.coalesce("z", F.lit(-999.0))})
-    pipe = Pipeline(stages=[StringIndexer(inputCol="name", outputCol="ix", handleInvalid="keep"), VectorAssembler(inputCols=["x", "z", "ix"], outputCol="features"), GBTClassifier(maxIter=6, stepSize=0.1, maxDepth=4, minInstancesPerNode=20, maxBins=256, seed=7)]).fit(filled(train))
+    pipe = Pipeline(stages=[StringIndexer(inputCol="name", outputCol="ix", handleInvalid="keep"), VectorAssembler(inputCols=["x", "z", "ix"], outputCol="features"), GBTClassifier(maxIter=6, stepSize=0.5, maxDepth=4, minInstancesPerNode=20, maxBins=256, seed=7)]).fit(filled(train))
     theirs = pipe.transform(filled(rest)).select("label", vector_to_array("probability")[1].alias("p"))
     binning = b.Binning.fit(train, **HOME)
-    boost = b.Boost("logistic", 6, 4).fit(binning.apply(train), "late", binning.widths, 2)
+    boost = b.Boost("logistic", 6, 4, 0.5).fit(binning.apply(train), "late", binning.widths, 2)
     own = b.scored(binning.apply(rest), {"p": boost}, 3)
     loss = lambda d: -d.agg(F.avg(F.when(F.col("label") == 1, F.log("p")).otherwise(F.log(1 - F.col("p"))))).first()[0]
     assert loss(own) <= loss(theirs)
