@@ -75,32 +75,37 @@ class Shard:
             return self.rows[found].astype(object) @ vector.astype(object)
         return self.rows[found] @ vector
 
-    def best(self, found: np.ndarray, vector: np.ndarray, levels: list, k: int, low: int | None = None, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best of the rows `found` with scores from low to high, ties to smaller ids.
+    def best(self, found: np.ndarray, vector: np.ndarray, levels: list, k: int, windows=((None, None),)) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each window, ids and scores of the k best of the rows `found` with scores from its low to its high (None: no
+        such bound), ties to smaller ids. A row is bounded and scored once for all windows.
 
         levels: the vector's own summaries.
         """
-        bottom, top = -math.inf if low is None else float(low), math.inf if high is None else float(high)
-        bottom, top = bottom - abs(bottom) * SLACK - 1 if low is not None else bottom, top + abs(top) * SLACK + 1 if high is not None else top
+        bounds = [(-math.inf if low is None else low, math.inf if high is None else high) for low, high in windows]
         for (mean, deviation), (m, d) in zip(self.levels, levels):
             if len(found) <= k:
                 break
-            centre, spread = mean[found] @ m, deviation[found] @ d
-            spread += SLACK * (np.abs(mean[found]) @ np.abs(m) + spread) + 1
+            all_rows = len(found) == len(self.ids)
+            means, deviations = (mean, deviation) if all_rows else (mean[found], deviation[found])
+            centre, spread = means @ m, deviations @ d
+            spread += SLACK * (np.abs(means) @ np.abs(m) + spread) + 1
             lowest, highest = centre - spread, centre + spread
-            # k rows that are surely within the window are at least as good as the k-th of their lower bounds
-            sure = lowest[(highest <= (math.inf if high is None else high)) & (lowest >= (-math.inf if low is None else low))]
-            least = bottom if len(sure) < k else max(bottom, np.partition(sure, len(sure) - k)[len(sure) - k])
-            found = found[(highest >= least) & (lowest <= top)]
-        score = self.scores(found, vector)
-        if low is not None or high is not None:
-            within = (score >= low if low is not None else True) & (score <= high if high is not None else True)
-            found, score = found[within], score[within]
-        if score.dtype == object:
-            order = np.array(sorted(range(len(found)), key=lambda i: (-score[i], self.ids[found[i]]))[:k], int)
-        else:
-            order = np.lexsort((self.ids[found], -score))[:k]
-        return self.ids[found[order]], score[order]
+            wanted = np.zeros(len(found), bool)
+            for low, high in bounds:
+                # k rows that are surely within the window are at least as good as the k-th of their lower bounds
+                sure = lowest[(highest <= high) & (lowest >= low)]
+                least = float(low) - abs(low) * SLACK - 1 if len(sure) < k else np.partition(sure, len(sure) - k)[len(sure) - k]
+                wanted |= (highest >= least) & (lowest <= float(high) + abs(high) * SLACK + 1)
+            found = found[wanted]
+        score, out = self.scores(found, vector), []
+        for low, high in bounds:
+            on = np.flatnonzero((score >= low) & (score <= high)) if len(found) else np.zeros(0, int)
+            if score.dtype == object:
+                order = on[np.array(sorted(range(len(on)), key=lambda i: (-score[on[i]], self.ids[found[on[i]]]))[:k], int)]
+            else:
+                order = on[np.lexsort((self.ids[found[on]], -score[on]))[:k]]
+            out.append((self.ids[found[order]], score[order]))
+        return out
 
 
 def _cells(search, schema: str, values: list[pa.DataType], scale: int):
@@ -159,7 +164,7 @@ def hard_negatives(
 
     def same(shard: Shard, anchor: dict, vector, levels):
         found = np.flatnonzero((shard.labels == anchor["label"]) & (shard.ids != anchor["id"]))
-        ids, scores = shard.best(found, vector, levels, positives)
+        ((ids, scores),) = shard.best(found, vector, levels, positives)
         return [(anchor["anchor"], i, s) for i, s in zip(ids.tolist(), scores.tolist())]
 
     schema = "anchor long, id long, score long"
@@ -172,14 +177,13 @@ def hard_negatives(
 
     def other(shard: Shard, anchor: dict, vector, levels):
         found = np.flatnonzero((shard.labels != anchor["label"]) & (shard.ids != anchor["id"]))
-        out = []
-        for w in anchor["windows"]:
-            # whole scores between the shares of the positive's
-            least, most = -(-low[0] * w["score"] // low[1]), high[0] * w["score"] // high[1]
-            if least <= most:
-                ids, scores = shard.best(found, vector, levels, k, least, most)
-                out += [(anchor["anchor"], anchor["id"], w["place"], w["id"], w["score"], i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-        return out
+        # whole scores between the shares of each positive's
+        asked = [(w, -(-low[0] * w["score"] // low[1]), high[0] * w["score"] // high[1]) for w in anchor["windows"]]
+        asked = [x for x in asked if x[1] <= x[2]]
+        if not asked:
+            return []
+        best = shard.best(found, vector, levels, k, [x[1:] for x in asked])
+        return [(anchor["anchor"], anchor["id"], w["place"], w["id"], w["score"], i, s) for (w, _, _), (ids, scores) in zip(asked, best) for i, s in zip(ids.tolist(), scores.tolist())]
 
     schema = "anchor long, anchor_id long, place int, positive_id long, positive_score long, negative_id long, negative_score long"
     kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 4]

@@ -60,7 +60,7 @@ def test_large_components_are_not_cut(spark):
     assert h.matrix(array([[1e300, 2.5]]), 256).tolist() == [[int(1e300) * 256, 640]]
     shard = h.Shard(np.arange(3), np.array([1, 2, 2]), h.matrix(array([[2.0**60, 1.0], [2.0**59, 3.0], [2.0**58, 0.0]]), 256))
     query = h.matrix(array([[2.0**30, 1.0]]), 256)
-    ids, scores = shard.best(np.array([1, 2]), query[0], [(m[0], d[0]) for m, d in h.summaries(query)], 1)
+    ((ids, scores),) = shard.best(np.array([1, 2]), query[0], [(m[0], d[0]) for m, d in h.summaries(query)], 1)
     assert ids.tolist() == [1] and scores[0] == (1 << 67) * (1 << 38) + 768 * 256
 
 
