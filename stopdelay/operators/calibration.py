@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import coverage, expected_calibration_error
 from ..functions.times import minutes
-from ..sources.tables import version_order, write_calibration
+from ..sources.tables import version_order, write_calibration, written
 from .logs import ground_truth, outcome
 
 #: How much evidence, how old, and the target.
@@ -120,7 +120,7 @@ def fit_calibration(pairs: DataFrame, now: Column, min_pairs: int = MIN_PAIRS) -
 def rebuild(predictions: DataFrame, changes: DataFrame, now: Column, created_at: str, path: str, min_pairs: int = MIN_PAIRS) -> dict | None:
     """Logs to the published calibration of the newest model: pairs, fit, gate; what doesn't help or has too little
     evidence takes the model's calibration away. Returns what is published."""
-    pairs = collect_pairs(predictions, changes, now)
+    pairs = written(collect_pairs(predictions, changes, now), "pairs")  # read again and again below
     version = pairs.agg(F.max("model_version")).first()[0]
     if version is None:
         newest = current_model(predictions.select("model_version").distinct()).first()

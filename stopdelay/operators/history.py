@@ -9,15 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import LATE_MIN
-from ..sources.tables import small
+from ..sources.tables import written
 
 #: Days of a window, and the entities that have a history.
 WINDOWS = (14, 30)
 GRANULARITIES = {"train": ["train_type", "train_number"], "station_type": ["station_name", "train_type"], "type": ["train_type"]}
 
 
-#: Entities of which there are few, so that their tables are worth a look at their size.
-COARSE = ("station_type", "type")
+#: Rows up to which a table that was counted is broadcast.
+FEW_ROWS = 200_000
 
 
 def stat_columns(prefix: str, windows: Sequence[int] = WINDOWS) -> list[str]:
@@ -79,26 +79,41 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     return out.select(*left.columns, *[F.col("_hit")[c].alias(c) for c in values])
 
 
-def attach_rolling(df: DataFrame, prefix: str, keys: Sequence[str], windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """Stats of the entity's last active day before the stop's, null where they are older than the window.
-
-    Every stop's own day is in the daily table, so "the last day before" is the row before in that small table, and
-    the stops themselves need an equi-join only.
-    """
-    stats = rolling_from_daily(daily_aggregates(df, keys), keys, prefix, windows)
+def rolling_before(daily: DataFrame, prefix: str, keys: Sequence[str], windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """For each active day of an entity the stats of its last active day before, null where they are older than the window."""
+    stats = rolling_from_daily(daily, keys, prefix, windows)
     cols = stat_columns(prefix, windows)
     last = F.lag(F.struct("join_date", *cols)).over(W.partitionBy(*keys).orderBy("event_date"))
     prior = stats.select(*keys, "event_date", last.alias("_s"))
     age = F.date_diff("event_date", F.col("_s.join_date"))
     # the column's own window is its tolerance
     known = [F.when(age <= int(c.rsplit("_", 1)[1][:-1]), F.col("_s")[c]).alias(c) for c in cols]
-    table = prior.select(*keys, "event_date", *known)
-    return df.join(small(table) if prefix in COARSE else table, [*keys, "event_date"], "left")
+    return prior.select(*keys, "event_date", *known)
+
+
+def attach_rolling(df: DataFrame, prefix: str, keys: Sequence[str], windows: Sequence[int] = WINDOWS, daily: DataFrame | None = None, few: bool = False) -> DataFrame:
+    """Stats of the entity's last active day before the stop's.
+
+    Every stop's own day is in the daily table, so "the last day before" is the row before in that small table, and
+    the stops themselves need an equi-join only. daily: the entity's daily sums, if they are there already; few: whether
+    they are known to be few enough to be broadcast.
+    """
+    table = rolling_before(daily_aggregates(df, keys) if daily is None else daily, prefix, keys, windows)
+    return df.join(F.broadcast(table) if few else table, [*keys, "event_date"], "left")
 
 
-def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS, source: DataFrame | None = None) -> DataFrame:
+    """df with the stats of all entities. source: the stops without what was joined to df before; sums are of these.
+
+    The sums of the coarse entities are written once, by station and type; those by type are summed from them.
+    """
+    source = (df if source is None else source).select("station_name", "train_type", "train_number", "event_date", "delay_in_min", "is_canceled")
+    daily = written(daily_aggregates(source, GRANULARITIES["station_type"]), "daily")
+    few = daily.count() <= FEW_ROWS
+    by_type = daily.groupBy(*GRANULARITIES["type"], "event_date").agg(*[F.sum(c).alias(c) for c in ("delay_sum", "delayed_sum", "n")])
+    tables = {"train": (daily_aggregates(source, GRANULARITIES["train"]), False), "station_type": (daily, few), "type": (by_type, few)}
     for prefix, keys in GRANULARITIES.items():
-        df = attach_rolling(df, prefix, keys, windows)
+        df = attach_rolling(df, prefix, keys, windows, *tables[prefix])
     return df
 
 

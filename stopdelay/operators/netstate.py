@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import LATE_MIN, seal_time
-from ..sources.tables import small
+from ..sources.tables import written
+from .history import FEW_ROWS
 
 SCOPES = {"station_live": ["station_name"], "type_live": ["train_type"], "network_live": []}
 
@@ -37,30 +38,46 @@ def cumulative(buckets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return buckets.withColumns({c: F.sum(c).over(up) for c in ("delay", "delayed", "n")})
 
 
-def hourly_state(obs: DataFrame, keys: Sequence[str], scope: str, slide: str) -> DataFrame:
-    """Mean delay, late share and rows of every hour that ends at _end; hours begin every `slide`, at 5 past if hourly."""
-    span = F.window("time", "1 hour", "1 hour", "5 minutes") if slide == "1 hour" else F.window("time", "1 hour", slide)
-    g = obs.groupBy(*keys, span.alias("_w")).agg(F.avg("delay_in_min").alias("_m"), F.avg(late()).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return g.select(*keys, F.col("_w.end").alias("_end"), *[F.col(a).alias(b) for a, b in zip(("_m", "_s", "_n"), state_columns(scope))])
+def hourly_sums(obs: DataFrame, slide: str) -> DataFrame:
+    """Sums by station, type and hour (_end); hours begin every `slide`, at 5 past if hourly. Sliding hours are summed from
+    panes of one slide each, so that a pane and not a stop is in several hours."""
+    keys = ("station_name", "train_type")
+    sums = lambda df, span: df.groupBy(*keys, span.alias("_w")).agg(F.sum("delay").alias("delay"), F.sum("delayed").alias("delayed"), F.sum("known").alias("known"), F.sum("n").alias("n"))
+    one = obs.select(*keys, "time", F.col("delay_in_min").cast("long").alias("delay"), late().alias("delayed"), F.col("delay_in_min").isNotNull().cast("long").alias("known"), F.lit(1).cast("long").alias("n"))
+    if slide == "1 hour":
+        out = sums(one, F.window("time", "1 hour", "1 hour", "5 minutes"))
+    else:
+        panes = sums(one, F.window("time", slide)).withColumn("time", F.col("_w.start"))
+        out = sums(panes.drop("_w"), F.window("time", "1 hour", slide))
+    return out.withColumn("_end", F.col("_w.end")).drop("_w")
 
 
-def add_network_state(df: DataFrame, lead_minutes: int | None = None, scopes: Sequence[str] = tuple(SCOPES)) -> DataFrame:
+def hourly_state(sums: DataFrame, keys: Sequence[str], scope: str) -> DataFrame:
+    """Mean delay, late share and rows of every hour of hourly_sums."""
+    g = sums.groupBy(*keys, "_end").agg((F.try_divide(F.sum("delay"), F.sum("known"))).alias("_m"), (F.sum("delayed") / F.sum("n")).alias("_s"), F.sum("n").alias("_n"))
+    return g.select(*keys, "_end", *[F.col(a).alias(b) for a, b in zip(("_m", "_s", "_n"), state_columns(scope))])
+
+
+def add_network_state(df: DataFrame, lead_minutes: int | None = None, scopes: Sequence[str] = tuple(SCOPES), source: DataFrame | None = None) -> DataFrame:
     """The hour before the seal, by station, type and network, over what had happened by then (`time`), canceled stops
     left out. Nothing happened: null, and 0 for the station's count.
 
     Seals stand at 5 past, so an observation belongs to one seal's hour and the state is an equi-join with hours that
-    are aggregated once. With another lead the hours slide by 5 minutes and the seal is taken down to those.
+    are aggregated once. With another lead the hours slide by 5 minutes and the seal is taken down to those. source: the
+    stops without what was joined to df before. Their sums by station, type and hour are written once, for all scopes.
     """
-    obs = df.where(~F.col("is_canceled")).select("station_name", "train_type", "time", "delay_in_min")
+    obs = (df if source is None else source).where(~F.col("is_canceled")).select("station_name", "train_type", "time", "delay_in_min")
     seal = seal_time(F.col("scheduled_time"), lead_minutes)
     slide = "1 hour" if lead_minutes is None else "5 minutes"
     if lead_minutes is not None:
         seal = F.window(seal, "5 minutes")["start"]
     out = df.withColumn("_end", seal)
+    sums = written(hourly_sums(obs, slide), "hours")
+    few = sums.select("train_type", "_end").distinct().count() <= FEW_ROWS  # those of the network are fewer still
     for scope in scopes:
         keys = SCOPES[scope]
-        state = hourly_state(obs, keys, scope, slide)
-        out = out.join(state if scope == "station_live" else small(state), [*keys, "_end"], "left")
+        state = hourly_state(sums, keys, scope)
+        out = out.join(F.broadcast(state) if few and scope != "station_live" else state, [*keys, "_end"], "left")
     if "station_live" in scopes:
         out = out.withColumn("station_live_n_60m", F.coalesce("station_live_n_60m", F.lit(0)))
     return out.drop("_end")

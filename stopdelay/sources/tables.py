@@ -31,21 +31,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df, written and counted, as a broadcast if it has so many rows at most; a larger one is joined by a shuffle."""
-    path = shared_path(df.sparkSession, "small")
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    return F.broadcast(out) if out.count() <= rows else out
-
-
 def read_monthly(spark: SparkSession, path: str) -> DataFrame:
     """Files data-YYYY-MM.parquet, or folders month=YYYY-MM, with the month from the name.
 
     Times in nanoseconds, which Spark doesn't read as such, come as longs and are cut to microseconds.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    legacy = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(legacy)
+    spark.conf.set(legacy, "true")  # for the schema only: nothing is read here, and the reader goes by the schema
+    try:
+        df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    finally:
+        spark.conf.set(legacy, before)
     times = {c: F.timestamp_micros(F.floor(F.col(c) / 1000)).cast("timestamp_ntz") for c, t in df.dtypes if t == "bigint" and (c == "time" or c.endswith("_time"))}
     month = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2})[^/]*(?:/part-[^/]*)?$", 1)
     return df.withColumn("month", month).withColumns(times)

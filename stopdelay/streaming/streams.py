@@ -34,9 +34,14 @@ def latest_so_far(spark: SparkSession, table_path: str) -> DataFrame:
 
 
 def network_state_stream(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """Sliding hours, every 5 minutes, of observed stops that weren't canceled."""
+    """Sliding hours, every 5 minutes, of observed stops that weren't canceled.
+
+    Stops are summed by panes of 5 minutes first, and a pane, not a stop, goes into its twelve hours. An hour comes when
+    the watermark has passed it."""
     s = stream.where(~F.col("is_canceled")).withWatermark("time", delay)
-    g = s.groupBy(F.window("time", "60 minutes", "5 minutes").alias("_w"), *keys).agg(F.avg("delay_in_min").alias("mean_delay_60m"), F.avg(late()).alias("delayed_share_60m"), F.count(F.lit(1)).alias("n_60m"))
+    panes = s.groupBy(F.window("time", "5 minutes").alias("pane"), *keys).agg(F.sum("delay_in_min").alias("_delay"), F.count("delay_in_min").alias("_known"), F.sum(late()).alias("_late"), F.count(F.lit(1)).alias("_n"))
+    g = panes.groupBy(F.window(F.window_time("pane"), "60 minutes", "5 minutes").alias("_w"), *keys)
+    g = g.agg(F.try_divide(F.sum("_delay"), F.sum("_known")).alias("mean_delay_60m"), (F.sum("_late") / F.sum("_n")).alias("delayed_share_60m"), F.sum("_n").alias("n_60m"))
     return g.select(F.col("_w.end").alias("window_end"), *keys, "mean_delay_60m", "delayed_share_60m", "n_60m")
 
 
