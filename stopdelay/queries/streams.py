@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import metrics as m
-from ..operators import logs as g
 from ..plans import models as pm
 from ..sources import adapters as a
 from ..sources import tables as t
 from ..sources import timetable as x
 from ..streaming import streams as st
 from .history import naive, rounded
-from .live import REPORT, fixed, fixed_sql
+from .live import fixed
 from .models import BUNDLE_FEATURES, frame
-from .registry import query
+from .registry import SQL, query
 
 
 #: Files of a part; a micro-batch reads one part.
@@ -80,25 +78,15 @@ def stream_ground_truth(spark, d):
     return naive(st.settled_truth(emitted.where("stop_id <> 'clock'")), "predicted_at", "changed_time").drop("scheduled_time")
 
 
-@query("stream_daily_scores", f"""{REPORT} SELECT day, n_evaluated, {fixed_sql("brier")} AS brier FROM counts LEFT JOIN q USING (day)""")
+@query("stream_daily_scores", f"SELECT * FROM ({SQL['daily_report']}) LEFT JOIN ({SQL['daily_report_raw']}) USING (day)")
 def stream_daily_scores(spark, d):
-    """The daily job, run twice over a log that grows between the runs; days are partitions of its table."""
+    """The daily job with its whole report, run twice over a log that grows between the runs; days are partitions of its table."""
     p, c = a.predictions_events(spark, d), a.changes_events(spark, d)
     log, progress, table = (t.shared_path(spark, x) for x in ("log", "progress", "scores"))
-
-    def report(days):
-        low, high = min(days), max(days)
-        own = t.read_log(spark, log, str(low), str(high)).where(F.col("day").isin(days))
-        seen = c.where(F.col("day").between(F.date_sub(F.lit(low), 1), F.date_add(F.lit(high), 2)))
-        truth = g.ground_truth(own, seen).withColumn("_y", g.outcome())
-        miss = F.col("delay_probability") - F.col("_y")
-        kept = F.when(~F.col("is_canceled"), miss * miss)
-        return truth.groupBy("day").agg(F.count(F.when(~F.col("is_canceled"), 1)).alias("n_evaluated"), m.mean(kept).alias("brier"))
-
     for part in halves(p, "predicted_at"):
         t.write_log(part, log)
-        st.daily_scores(spark, log, progress, report, table)
-    return fixed(spark.read.parquet(table).select("day", "n_evaluated", "brier"))
+        st.daily_scores(spark, log, progress, st.whole_report(spark, log, c), table)
+    return fixed(spark.read.parquet(table))
 
 
 @query("stream_seal", f"WITH {a.LOGS} SELECT stop_id, station_name, predicted_at, delay_probability FROM predictions WHERE CAST(stop_id AS BIGINT) % 4 <> 0")

@@ -128,7 +128,8 @@ def version_order(version: str) -> Column:
 
 
 def latest_version(registry: DataFrame) -> DataFrame:
-    return registry.agg(F.max("version").alias("version"))
+    """One row: the newest version, see version_order."""
+    return registry.agg(F.max_by("version", version_order("version")).alias("version"))
 
 
 def rename_stations(stops: DataFrame, stations: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes, whole_minutes
-from ..operators.logs import latest_changes
+from ..operators.logs import daily_report, ground_truth, latest_changes, uncorrected_report
 from ..operators.netstate import late
-from ..sources.tables import replace_days
+from ..sources.tables import read_log, replace_days
 
 
 def first_seal_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -77,6 +77,19 @@ def daily_scores(spark: SparkSession, log_path: str, progress: str, report: Call
     log.select("day").writeStream.foreachBatch(write).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
+def whole_report(spark: SparkSession, log_path: str, changes: DataFrame) -> Callable[[list], DataFrame]:
+    """What daily_scores writes of days of the log: the daily report, and beside it what the outputs before correction would
+    have been. Changes count from the day before to two days after the days asked for."""
+
+    def report(days: list) -> DataFrame:
+        low, high = min(days), max(days)
+        own = read_log(spark, log_path, str(low), str(high)).where(F.col("day").isin(days))
+        truth = ground_truth(own, changes.where(F.col("day").between(F.date_sub(F.lit(low), 1), F.date_add(F.lit(high), 2))))
+        return daily_report(truth).join(uncorrected_report(truth), "day", "left")
+
+    return report
+
+
 def seal_stream(plan: DataFrame, lookup: Callable[[DataFrame], DataFrame], score: Callable[[DataFrame], DataFrame], predicted_at: Column, lead_minutes: int = 120) -> DataFrame:
     """Planned stops to sealed predictions: static joins (lookup), a model (score), rows without a score dropped, and of
     every stop the first seal. Only stops that are still ahead are sealed."""

@@ -340,6 +340,7 @@ def test_frame_in_local_time(spark):
 def test_versions_are_numbers(spark):
     df = spark.createDataFrame([("v9",), ("v10",), ("v2",)], "model_version string")
     assert [r.model_version for r in k.current_model(df).collect()] == ["v10"]
+    assert t.latest_version(df.withColumnRenamed("model_version", "version")).first().version == "v10"
 
 
 @pytest.mark.parametrize("values,q", [([1.0], 0.9), ([3.0, 1.0, 2.0], 0.5), ([0.25, 0.5, 0.75, 7.0], 0.9), ([-3.5, -3.25, 10.0, 10.0, 11.0], 0.3)])
