@@ -97,14 +97,14 @@ def train_cv(features: DataFrame, folds: dict[str, list[str]], names: Sequence[s
     return out.union(out.groupBy("metric").agg(F.avg("model").alias("model"), F.avg("baseline").alias("baseline")).select(F.lit("mean"), "metric", "model", "baseline"))
 
 
-def championship(champion: Bundle, features: DataFrame, train_months: list[str], eval_month: str, refit_months: list[str], challenger_features: Sequence[str]) -> tuple[DataFrame, Bundle | None]:
+def championship(champion: Bundle, features: DataFrame, train_months: list[str], eval_month: str, refit_months: list[str], challenger_features: Sequence[str], rounds: int = 10, boost_rounds: int = 4) -> tuple[DataFrame, Bundle | None]:
     """(verdict, bundle): a challenger from the months before, both scored on the month, each on its own features; the
     bundle is the challenger refitted on refit_months if it is promoted."""
     columns = sorted({*champion.features, *challenger_features, "target_delayed6", "target_delay_min"})
-    challenger = Bundle(eval_month, challenger_features).fit(load_split(features, train_months, columns))
+    challenger = Bundle(eval_month, challenger_features).fit(load_split(features, train_months, columns), rounds, boost_rounds)
     month = load_split(features, [eval_month], columns)
     old, new = (model_metrics(b.score(month, "championship")) for b in (champion, challenger))
     verdict = promotion_verdict(compare_metrics(old, new))
     if not verdict.first()["promote"]:
         return verdict, None
-    return verdict, Bundle(f"{eval_month}-refit", challenger_features).fit(load_split(features, refit_months, columns))
+    return verdict, Bundle(f"{eval_month}-refit", challenger_features).fit(load_split(features, refit_months, columns), rounds, boost_rounds)

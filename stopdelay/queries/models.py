@@ -215,8 +215,8 @@ def championship(spark, d):
     """The schedule alone against all features, both with the same rounds."""
     df = frame(spark, d)
     names = ["station_name", "train_type", "scheduled_hour", "weekday"]
-    champion = pm.Bundle("v1", names).fit(df.where("fold_month = 'train'"))
-    verdict, refitted = pm.championship(champion, df, ["train"], "eval", ["train", "eval"], FEATURES)
+    champion = pm.Bundle("v1", names).fit(df.where("fold_month = 'train'"), 4, 2)
+    verdict, refitted = pm.championship(champion, df, ["train"], "eval", ["train", "eval"], FEATURES, 4, 2)
     return verdict.withColumn("refitted", F.lit(refitted is not None))
 
 
