@@ -9,6 +9,7 @@ from ..plans import models as pm
 from ..sources import adapters as a
 from ..sources import tables as t
 from ..sources import timetable as x
+from ..sources.parts import load
 from ..streaming import streams as st
 from .history import naive, rounded
 from .live import fixed
@@ -86,7 +87,7 @@ def stream_daily_scores(spark, d):
     for part in halves(p, "predicted_at"):
         t.write_log(part, log)
         st.daily_scores(spark, log, progress, st.whole_report(spark, log, c), table)
-    return fixed(spark.read.parquet(table))
+    return fixed(load(spark, table))
 
 
 @query("stream_seal", f"WITH {a.LOGS} SELECT stop_id, station_name, predicted_at, delay_probability FROM predictions WHERE CAST(stop_id AS BIGINT) % 4 <> 0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import month_key
+from .parts import commit, found, load
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -76,8 +78,13 @@ def write_log(df: DataFrame, path: str) -> str:
 
 
 def read_log(spark: SparkSession, path: str, first_day: str, last_day: str) -> DataFrame:
-    """The days' rows of a log; days without a folder are fine, columns of some eras only are null in others."""
-    return spark.read.option("mergeSchema", "true").parquet(path).where(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
+    """The days' rows of a log; days without a folder are fine, columns of some of these days only are null in others.
+    Only the days' own folders are listed and opened. No day there at all: no rows, with the whole log's columns."""
+    first, last = (dt.date.fromisoformat(str(x)) for x in (first_day, last_day))
+    days = ",".join(str(first + dt.timedelta(days=i)) for i in range((last - first).days + 1))
+    read = spark.read.option("mergeSchema", "true").option("basePath", path)
+    own = found(read, f"{path}/day={{{days}}}") if days else None
+    return read.parquet(path).where(F.lit(False)) if own is None else own.withColumn("day", F.col("day").cast("date"))
 
 
 def write_snapshot(df: DataFrame, path: str) -> str:
@@ -90,8 +97,8 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_days(df: DataFrame, path: str) -> None:
-    """Writes df's days in place of those of the table, other days stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    """Publishes df's days in place of those of the table, other days stay; readers (load of parts) see all days or none."""
+    commit(df, path, "day")
 
 
 CALIBRATION = T.StructType([
@@ -101,20 +108,21 @@ CALIBRATION = T.StructType([
 
 
 def write_calibration(spark: SparkSession, calibration: dict | None, version: str, created_at: str, path: str) -> None:
-    """The model's calibration in place of what it had; None removes it. A version's folder is replaced as a whole."""
+    """Publishes the model's calibration beside those it had; None takes all of the model's away."""
     rows = [] if calibration is None else [(created_at, version, calibration["n_samples"], calibration["curve_x"], calibration["curve_y"], calibration["p90_delta_min"])]
-    spark.createDataFrame(rows, CALIBRATION).drop("model_version").coalesce(1).write.mode("overwrite").parquet(f"{path}/model_version={version}")
+    df = spark.createDataFrame(rows, CALIBRATION).coalesce(1)
+    commit(df, path, "model_version", "append" if rows else "replace", [version])
+
+
+def read_calibrations(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """All calibrations, or a model's; one that a newer one follows held until that one's created_at."""
+    out = load(spark, path, None if version is None else F.col("part") == version)
+    return spark.createDataFrame([], CALIBRATION) if out is None else out
 
 
 def read_calibration(spark: SparkSession, path: str, version: str) -> dict | None:
     """The model's newest calibration; None, which means identity, if there is none for this model."""
-    try:
-        df = spark.read.schema(CALIBRATION).parquet(path).where(F.col("model_version") == version)
-        row = df.orderBy(F.desc("created_at")).limit(1).collect()
-    except Exception as e:  # no such folder yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+    row = read_calibrations(spark, path, version).orderBy(F.desc("created_at")).limit(1).collect()
     return row[0].asDict() if row else None
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.times import minutes, whole_minutes
 from ..operators.logs import daily_report, ground_truth, latest_changes, uncorrected_report
 from ..operators.netstate import late
+from ..sources.parts import commit, entries, load
 from ..sources.tables import read_log, replace_days
 
 
@@ -18,19 +19,45 @@ def first_seal_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:
     return stream.withWatermark("predicted_at", delay).dropDuplicatesWithinWatermark(["stop_id"])
 
 
-def latest_change_stream(stream: DataFrame, table_path: str, checkpoint: str) -> None:
-    """What has come so far, each micro-batch's latest changes of its stops into a folder of its own. No state is kept and no
-    other folder is touched; a batch that is repeated writes its folder anew. latest_so_far reads the table."""
+#: Batches that may lie beside the merged rows, and how long a stop's change may be followed by others, as a rule.
+BATCHES, OPEN_DAYS = 8, 3
+
+
+def latest_change_stream(stream: DataFrame, table_path: str, checkpoint: str, batches: int = BATCHES, open_days: int = OPEN_DAYS) -> None:
+    """What has come so far as a table of parts: each micro-batch's latest changes of its stops are a part, and every
+    `batches` of them are merged with the stops that are still open. latest_so_far reads the table.
+
+    A batch that is repeated replaces its part, or adds rows that change nothing where it was merged meanwhile."""
 
     def write(batch: DataFrame, number: int) -> None:
-        latest_changes(batch).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
+        part = f"b{number:012d}"
+        commit(latest_changes(batch).withColumn("part", F.lit(part)), table_path, "part", "replace", [part])
+        merge_changes(batch.sparkSession, table_path, batches, open_days)
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def merge_changes(spark: SparkSession, table_path: str, batches: int = BATCHES, open_days: int = OPEN_DAYS) -> None:
+    """Merges batches, once there are so many, with the part `open`. Changes that are open_days older than the newest go
+    to a part of their own that is never rewritten, so a merge reads and writes these days and the batches and no more. A
+    change that comes later still counts: readers compare all parts."""
+    _, now = entries(spark, table_path)
+    new = [r[0] for r in now.where(F.col("part").startswith("b")).select("part").distinct().orderBy("part").collect()]
+    if len(new) < batches:
+        return
+    rows = latest_changes(load(spark, table_path, F.col("part").isin("open", *new)).drop("part"))
+    newest = rows.agg(F.max("observed_at")).first()[0]
+    if newest is None:
+        part = F.lit("open")
+    else:
+        since = F.lit(newest) - F.expr(f"interval {open_days} days")
+        part = F.when(F.col("observed_at") < since, F.lit(f"settled-{new[-1]}")).otherwise(F.lit("open"))
+    commit(rows.withColumn("part", part), table_path, "part", "replace", ["open", *new])
+
+
 def latest_so_far(spark: SparkSession, table_path: str) -> DataFrame:
     """Each stop's latest change, among equal times the greatest row."""
-    return latest_changes(spark.read.parquet(table_path).drop("batch"))
+    return latest_changes(load(spark, table_path).drop("part"))
 
 
 def network_state_stream(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
