@@ -83,19 +83,24 @@ def snapshot(df: DataFrame, latest) -> DataFrame:
     return out
 
 
-def snapshot_lookup(df: DataFrame, snap: DataFrame, overlay: DataFrame | None = None, max_age: int = 30) -> DataFrame:
+def snapshot_lookup(df: DataFrame, snap: DataFrame, overlay: DataFrame | None = None, max_age: int = 30, versions: tuple[str, ...] = ()) -> DataFrame:
     """df(event_date, keys) with the statistics that are fresh enough, the overlay's before the snapshot's, and coverage:
-    the finest granularity that answered, else cold. Unlike the live service, a join_date after the day isn't used."""
+    the finest granularity that answered, else cold. Unlike the live service, a join_date after the day isn't used.
+
+    versions: columns of df that name, for each table, the published_at of the version that counts; without them a table
+    is one version."""
     out = df
     answers = []
     for prefix, keys in GRANULARITIES.items():
         found = []
         for i, table in enumerate(x for x in (overlay, snap) if x is not None):
-            t = table.where(F.col("granularity") == prefix).select(F.col("key1").alias("_1"), F.col("key2").alias("_2"), F.struct("join_date", "m14", "r14", "m30", "r30", "n30").alias(f"_{prefix}{i}"))
+            t = table.where(F.col("granularity") == prefix).select(F.col("key1").alias("_1"), F.col("key2").alias("_2"), F.struct("join_date", "m14", "r14", "m30", "r30", "n30").alias(f"_{prefix}{i}"), *([F.col("published_at").alias("_v")] if versions else []))
             on: Column = F.col(keys[0]) == F.col("_1")
             if len(keys) > 1:
                 on = on & (F.col(keys[1]) == F.col("_2"))
-            out = out.join(t, on, "left").drop("_1", "_2")
+            if versions:
+                on = on & (F.col(versions[i]) == F.col("_v"))
+            out = out.join(t, on, "left").drop("_1", "_2", "_v")
             entry = F.col(f"_{prefix}{i}")
             age = F.date_diff("event_date", entry["join_date"])
             found.append(F.when((age <= max_age) & (age >= 0), entry))

@@ -65,13 +65,15 @@ def isotonic_curve(pairs: DataFrame) -> tuple[list[float], list[float]]:
     return [round(x, 6) for x in model.boundaries.toArray().tolist()], [round(min(1.0, max(0.0, y)), 6) for y in model.predictions.toArray().tolist()]
 
 
-def interpolate(p: Column, xs: list[float], ys: list[float]) -> Column:
-    """The piecewise linear curve through the knots, level beyond them."""
-    knots = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in zip(xs, ys)])
+def along(p: Column, knots: Column) -> Column:
+    """The piecewise linear curve through the knots, an array of (x, y) by ascending x, level beyond them."""
     low = F.filter(knots, lambda k: k["x"] <= p)
-    high = F.filter(knots, lambda k: k["x"] > p)
-    a, b = F.element_at(low, -1), F.element_at(high, 1)
-    return F.when(F.size(low) == 0, F.lit(float(ys[0]))).when(F.size(high) == 0, F.lit(float(ys[-1]))).otherwise(a["y"] + (b["y"] - a["y"]) * (p - a["x"]) / (b["x"] - a["x"]))
+    a, b = F.try_element_at(low, F.lit(-1)), F.try_element_at(knots, F.size(low) + 1)
+    return F.when(p.isNull(), None).when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * (p - a["x"]) / (b["x"] - a["x"]))
+
+
+def interpolate(p: Column, xs: list[float], ys: list[float]) -> Column:
+    return along(p, F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in zip(xs, ys)]))
 
 
 def apply_calibration(df: DataFrame, xs: list[float] | None, ys: list[float] | None, delta: float = 0.0, model_version: str | None = None) -> DataFrame:

@@ -288,12 +288,12 @@ def snapshot_entities(spark, d):
     return snap(spark, d).groupBy("granularity").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lookup_sql():
+def lookup_sql(also=""):
     joins, cols, cover = [], [], []
     for prefix, keys in h.GRANULARITIES.items():
         for x in ("overlay", "snap"):
             on = f"{prefix}_{x}.key1 = r.{keys[0]}" + (f" AND {prefix}_{x}.key2 = r.{keys[1]}" if len(keys) > 1 else "")
-            joins.append(f"LEFT JOIN {x} {prefix}_{x} ON {prefix}_{x}.granularity = '{prefix}' AND {on} AND r.event_date - {prefix}_{x}.join_date BETWEEN 0 AND 30")
+            joins.append(f"LEFT JOIN {x} {prefix}_{x} ON {prefix}_{x}.granularity = '{prefix}' AND {on} AND r.event_date - {prefix}_{x}.join_date BETWEEN 0 AND 30" + also.format(table=f"{prefix}_{x}"))
         hit = f"{prefix}_overlay.join_date IS NOT NULL"
         for c, v in zip(h.stat_columns(prefix), ("m14", "r14", "m30", "r30", "n30")):
             e = f"CASE WHEN {hit} THEN {prefix}_overlay.{v} ELSE {prefix}_snap.{v} END"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans import models as pm
 from ..sources import adapters as a
 from ..sources import tables as t
 from ..sources import timetable as x
@@ -13,7 +12,6 @@ from ..sources.parts import load
 from ..streaming import streams as st
 from .history import naive, rounded
 from .live import fixed
-from .models import BUNDLE_FEATURES, frame
 from .registry import SQL, query
 
 
@@ -100,20 +98,6 @@ def stream_seal(spark, d):
     return naive(drained(sealed).select("stop_id", "station_name", "predicted_at", "delay_probability"), "predicted_at")
 
 
-@query("stream_seal_bundle")
-def stream_seal_bundle(spark, d):
-    """Planned stops, as a stream, with their features from the stored frame, scored by a bundle that was saved and loaded
-    again, and sealed once."""
-    f = frame(spark, d)
-    path = t.shared_path(spark, "bundles")
-    pm.Bundle("v1", BUNDLE_FEATURES).fit(f.where("fold_month = 'train'"), rounds=2, boost_rounds=2).save(path)
-    bundle = pm.Bundle.load(spark, path)
-    plan = as_stream(halves(f.where("fold_month = 'eval'").select(F.col("id").alias("stop_id"), "scheduled_time"), "scheduled_time"))
-    known = f.select(F.col("id").alias("stop_id"), *BUNDLE_FEATURES)
-    sealed = st.seal_stream(plan, lambda s: s.join(known, "stop_id", "left"), bundle.score, F.col("scheduled_time") - F.make_dt_interval(hours=F.lit(2)))
-    return naive(drained(sealed.select("stop_id", "predicted_at", "delay_probability", "p50", "p90")), "predicted_at")
-
-
 def documents(spark, d, changes: bool = False):
     """A timetable document for each station and hour, as the service has them, written from the stops."""
     s = a.stops_events(spark, d).withColumn("at", F.date_format(F.col("time"), "yyMMddHHmm"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import minutes, whole_minutes
-from ..operators.logs import daily_report, ground_truth, latest_changes, uncorrected_report
+from ..operators.logs import anti_append, daily_report, ground_truth, latest_changes, uncorrected_report
 from ..operators.netstate import late
 from ..sources.parts import commit, entries, load
-from ..sources.tables import read_log, replace_days
+from ..sources.tables import read_log, replace_days, written
 
 
 def first_seal_stream(stream: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -125,6 +126,25 @@ def seal_stream(plan: DataFrame, lookup: Callable[[DataFrame], DataFrame], score
     return first_seal_stream(out)
 
 
+def seal_batches(plan: DataFrame, seal: Callable[[DataFrame], DataFrame], table_path: str, checkpoint: str) -> None:
+    """Planned stops to a table of sealed predictions, a part a day of the seal and a commit a batch. seal: from a batch's
+    stops to rows with stop_id, predicted_at and delay_probability; it reads the logs as they are then. Rows without a
+    score are dropped; of a stop that was sealed on one of the batch's days or the day before, nothing is sealed again,
+    and so a batch that is repeated adds nothing."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        rows = written(seal(batch).where(F.col("delay_probability").isNotNull()).withColumn("day", F.to_date("predicted_at")), "sealed")
+        days = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+        if days["first"] is None:
+            return
+        before = load(spark, table_path, F.col("part").between(str(days["first"] - dt.timedelta(days=1)), str(days["last"])))
+        logged = spark.createDataFrame([], "stop_id string") if before is None else before.select("stop_id")
+        commit(anti_append(rows, logged), table_path, "day", "append")
+
+    plan.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, sink_path: str, checkpoint: str, mode: str = "append") -> None:
     """All that has come so far into a Parquet table, then the stream ends; the next call goes on from there."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", sink_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
