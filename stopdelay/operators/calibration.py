@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import IsotonicRegression
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,11 +60,40 @@ def conformal_offset(pairs: DataFrame, target: float = TARGET) -> DataFrame:
     return linear_quantile(pairs, F.col("actual_delay_min") - F.col("model_p90_min"), target).select(F.round("v", 2).alias("p90_delta_min"))
 
 
+BLOCK = "lo double, hi double, w long, s long"
+
+
+def pooled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks by ascending range, each with its rows w and late ones s, to blocks of strictly rising s / w: a block that
+    isn't above the one before is pooled with it. Whole numbers are compared, so blocks don't depend on the order of merges."""
+    stack: list[list] = []
+    for f in frames:
+        for lo, hi, w, s in zip(f["lo"].tolist(), f["hi"].tolist(), f["w"].tolist(), f["s"].tolist()):
+            while stack and stack[-1][3] * w >= s * stack[-1][2]:
+                left = stack.pop()
+                lo, w, s = left[0], w + left[2], s + left[3]
+            stack.append([lo, hi, w, s])
+    yield pd.DataFrame(stack, columns=["lo", "hi", "w", "s"])
+
+
+def isotonic_blocks(pairs: DataFrame) -> DataFrame:
+    """(lo, hi, w, s): the pools of the isotonic fit of outcomes on exact probabilities.
+
+    Probabilities are summed by value, dealt out by range and pooled there; what is left of the ranges is pooled once
+    more. N rows make at most some N^(2/3) blocks of strictly rising shares, as those are different fractions whose
+    denominators sum to N, so the last step holds few rows whatever comes in. Null and NaN probabilities take no part.
+    """
+    p = F.col("model_probability").cast("double")
+    one = pairs.where(p.isNotNull() & ~F.isnan(p)).groupBy((p + 0.0).alias("lo")).agg(F.count(F.lit(1)).alias("w"), F.sum(outcome().cast("long")).alias("s"))
+    one = one.select("lo", F.col("lo").alias("hi"), "w", "s")
+    ranges = one.repartitionByRange("lo").sortWithinPartitions("lo").mapInPandas(pooled, BLOCK)
+    return ranges.repartition(1).sortWithinPartitions("lo").mapInPandas(pooled, BLOCK)
+
+
 def isotonic_curve(pairs: DataFrame) -> tuple[list[float], list[float]]:
-    """Knots of the isotonic fit of the exact probabilities, which are summed by value first."""
-    data = pairs.select(F.col("model_probability").alias("p"), outcome().alias("label")).groupBy("p", "label").agg(F.count(F.lit(1)).cast("double").alias("w"))
-    model = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="w").fit(data)
-    return [round(x, 6) for x in model.boundaries.toArray().tolist()], [round(min(1.0, max(0.0, y)), 6) for y in model.predictions.toArray().tolist()]
+    """Knots of the isotonic fit: both ends of each pool, at its share of late stops; to 6 digits."""
+    knots = [(x, r["s"] / r["w"]) for r in isotonic_blocks(pairs).orderBy("lo").collect() for x in sorted({r["lo"], r["hi"]})]
+    return [round(x, 6) for x, _ in knots], [round(y, 6) for _, y in knots]
 
 
 def along(p: Column, knots: Column) -> Column:

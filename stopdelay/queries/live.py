@@ -409,8 +409,19 @@ def calibration_gate(spark, d):
     return rounded(k.validate_correction(pairs(spark, d).where(recent), CURVE_X, CURVE_Y, DELTA))
 
 
-@query("isotonic_curve")
+@query("isotonic_curve", f"""WITH {PAIRS}, points AS (
+  SELECT model_probability AS p, count(*) AS w, sum((actual_delay_min >= 6)::INT) AS s FROM pairs GROUP BY 1
+), sums AS (
+  SELECT *, row_number() OVER (ORDER BY p) AS i, sum(w) OVER (ORDER BY p) AS cw, sum(s) OVER (ORDER BY p) AS cs FROM points
+), means AS (
+  SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s)::DOUBLE / (b.cw - a.cw + a.w)::DOUBLE AS m FROM sums a JOIN sums b ON b.i >= a.i
+), least_mean AS (
+  SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM means
+), fit AS (SELECT i, max(m) AS y FROM least_mean GROUP BY i
+), pools AS (SELECT y, min(p) AS lo, max(p) AS hi FROM fit JOIN sums USING (i) GROUP BY y)
+SELECT round(lo, 6) AS x, round(y, 6) AS y FROM pools UNION SELECT round(hi, 6), round(y, 6) FROM pools""")
 def isotonic_curve(spark, d):
+    """The pools against the greatest of the least means over all ranges that hold a point."""
     xs, ys = k.isotonic_curve(pairs(spark, d))
     return spark.createDataFrame(list(zip(xs, ys)), "x double, y double")
 
