@@ -68,7 +68,7 @@ def commit(df: DataFrame, path: str, by: str, mode: str = "replace", parts: Sequ
     df.withColumn("_commit", F.lit(name)).write.mode("append").partitionBy(by, "_commit").parquet(data)
     wrote = found(spark.read.schema(f"{by} string, _commit string").option("basePath", data), f"{data}/*/_commit={name}")
     new = [] if wrote is None else [r[0] for r in wrote.select(by).distinct().collect()]  # names of parts, not rows
-    bad = [p for p in new if p is None or not re.fullmatch(r"[\w.\-]+", p)]
+    bad = [p for p in new if p is None or not re.match(r"[\w.\-]+\Z", p)]
     if bad:
         raise ValueError(f"not names of parts: {bad[:5]}")
     gone = {*new, *parts} if mode == "replace" else set()
