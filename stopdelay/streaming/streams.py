@@ -107,11 +107,12 @@ def daily_scores(spark: SparkSession, log_path: str, progress: str, report: Call
 
 def whole_report(spark: SparkSession, log_path: str, changes: DataFrame) -> Callable[[list], DataFrame]:
     """What daily_scores writes of days of the log: the daily report, and beside it what the outputs before correction would
-    have been. Changes count from the day before to two days after the days asked for."""
+    have been, null in days of an era without raw outputs. Changes count from the day before to two days after the days asked for."""
 
     def report(days: list) -> DataFrame:
         low, high = min(days), max(days)
         own = read_log(spark, log_path, str(low), str(high)).where(F.col("day").isin(days))
+        own = own.withColumns({c: F.lit(None).cast("double") for c in ("raw_delay_probability", "raw_delay_p90_min") if c not in own.columns})
         truth = ground_truth(own, changes.where(F.col("day").between(F.date_sub(F.lit(low), 1), F.date_add(F.lit(high), 2))))
         return daily_report(truth).join(uncorrected_report(truth), "day", "left")
 

@@ -113,3 +113,13 @@ def test_merging_nothing(spark, tmp_path):
     parts.commit(spark.createDataFrame(unseen, schema).withColumn("part", F.lit("b1")), path, "part")
     streams.merge_changes(spark, path, batches=1)
     assert rows(streams.latest_so_far(spark, path)) == unseen
+
+
+def test_reports_of_an_era_without_raw_outputs(spark, tmp_path):
+    path, day = str(tmp_path / "log"), dt.date(2024, 1, 1)
+    at = dt.datetime(2024, 1, 1, 10)
+    form = "stop_id string, scheduled_time timestamp, predicted_at timestamp, delay_probability double, delay_p50_min double, delay_p90_min double, coverage string, day date"
+    tables.write_log(spark.createDataFrame([("a", at, at, 0.5, 1.0, 5.0, "train", day), ("b", at, at, 0.2, 1.0, 5.0, "cold", day)], form), path)
+    changes = spark.createDataFrame([("a", at, at + dt.timedelta(minutes=9), False, day)], "stop_id string, observed_at timestamp, changed_time timestamp, is_canceled boolean, day date")
+    got = [r.asDict() for r in streams.whole_report(spark, path, changes)([day]).collect()]
+    assert [(r["n_predictions"], r["roc_auc"], r["ece_raw"]) for r in got] == [(2, 1.0, None)]
