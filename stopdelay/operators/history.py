@@ -117,8 +117,13 @@ def add_rolling_stats(df: DataFrame, windows: Sequence[int] = WINDOWS, source: D
     return df
 
 
-def latest_stats(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
-    """An entity's stats as of its last active day."""
-    stats = rolling_from_daily(daily_aggregates(df, keys), keys, prefix)
+def latest_of_daily(daily: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """An entity's stats as of its last active day, from its daily sums."""
+    stats = rolling_from_daily(daily, keys, prefix)
     cols = ["join_date", *stat_columns(prefix)]
     return stats.groupBy(*keys).agg(F.max_by(F.struct(*cols), "join_date").alias("_s")).select(*keys, *[F.col("_s")[c].alias(c) for c in cols])
+
+
+def latest_stats(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """An entity's stats as of its last active day."""
+    return latest_of_daily(daily_aggregates(df, keys), keys, prefix)

@@ -10,6 +10,7 @@ from ..operators import baseline as b
 from ..operators import calibration as k
 from ..operators import history as h
 from ..operators import logs as g
+from ..operators import overlay as o
 from ..operators import profiles as p
 from ..sources import adapters as a
 from ..sources import tables as t
@@ -283,6 +284,21 @@ for granularity in h.GRANULARITIES:
         return rounded(overlay(spark, d).where(F.col("granularity") == granularity).drop("granularity"))
 
 
+@query("overlay_increments", f"WITH {a.LOGS}, {OVERLAY} SELECT granularity, key1, key2, join_date, {STATS}, n30 FROM overlay")
+def overlay_increments(spark, d):
+    """The overlay kept by increments: changes of the first days before their seals, the rest in two batches, the last
+    one twice, and its parts merged between."""
+    path, early = t.shared_path(spark, "overlay_parts"), F.lit("2024-01-08").cast("timestamp")
+    p, c = a.predictions_events(spark, d), a.changes_events(spark, d)
+    last = p.where(F.col("predicted_at") >= early), c.where(F.col("observed_at") >= a.now())
+    batches = [(p.where(F.lit(False)), c.where(F.col("observed_at") < early)), (p.where(F.col("predicted_at") < early), c.where((F.col("observed_at") >= early) & (F.col("observed_at") < a.now()))), last, last]
+    for i, batch in enumerate(batches):
+        o.refresh_overlay(*batch, path)
+        if i == 2:
+            o.merge_overlay(spark, path, a.now(), folders=1)
+    return rounded(o.overlay_statistics(spark, path, a.now()))
+
+
 @query("snapshot_entities", f"WITH {a.STOPS}, {SNAP} SELECT granularity, count(*) AS n FROM snap GROUP BY 1")
 def snapshot_entities(spark, d):
     return snap(spark, d).groupBy("granularity").agg(F.count(F.lit(1)).alias("n"))
