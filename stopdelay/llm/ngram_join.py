@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, discard, staged, table
+from .shared import arrow_batches, discard, shuffles_dropped, staged, table
 
 #: Cells of the frequency sketch: as many as there are documents, within these bounds. The sketch orders the work and
 #: never decides a result.
@@ -500,7 +500,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: s
     are documents: one that repeats another's id is another document; one without an id has its component's least id,
     null if there is none. Other columns are not read.
     """
-    with arrow_batches(docs.sparkSession):
+    with arrow_batches(docs.sparkSession), shuffles_dropped(docs.sparkSession):
         out, tables = _found(docs, k, percent, id_col, text_col)
         out = staged(out)
     discard(*tables)

@@ -88,6 +88,19 @@ def arrow_batches(spark: SparkSession, rows: int = 10_000, size: str = "2m"):
             spark.conf.set(name, value)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a query that runs inside go when it has ended, not when the driver collects its garbage. Each
+    DataFrame is to run once inside; what it gives is read from a written table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sliced(batches, size: int = 1 << 20):
     """Batches in slices of rows of about so many bytes, so that what is made of one doesn't follow the session's batch size."""
     for batch in batches:
