@@ -210,3 +210,16 @@ def test_grouped_quantiles_equal_numpy(spark):
             assert got[g] == pytest.approx(float(np.quantile(xs, q)), rel=1e-12, abs=1e-300), (g, q)
     assert grouped_quantile(df.limit(0), ["g"], "v", 0.5).count() == 0
     assert [x.v for x in grouped_quantile(df.where("g = 'two'"), [], "v", 0.5).collect()] == [1.5]
+
+
+def test_more_categories_than_sixteen_bits_tell_apart(spark):
+    """Every name that has rows enough has its own bin, and a split finds the names that 16 bits would have cut off."""
+    n = 70_000
+    df = spark.range(n).select("id", F.format_string("%06d", "id").alias("name"), (F.col("id") >= 66_000).cast("int").alias("late"))
+    binning = b.Binning.fit(df, [], ["name"], category_rows=1)
+    assert binning.widths == [n + 1]
+    got = binning.apply(df.where("id IN (0, 65535, 69999)").coalesce(1)).orderBy("name").toArrow().column("bins").combine_chunks()
+    assert b.bins_of(got, 1)[:, 0].tolist() == [1, 65_536, n]
+    boost = b.Boost("logistic", 1, 1, min_rows=20).fit(binning.apply(df), "late", binning.widths, 0)
+    (split,) = boost.trees[0].splits
+    assert split[4] == list(range(66_001, n + 1))
