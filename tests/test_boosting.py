@@ -223,3 +223,15 @@ def test_more_categories_than_sixteen_bits_tell_apart(spark):
     boost = b.Boost("logistic", 1, 1, min_rows=20).fit(binning.apply(df), "late", binning.widths, 0)
     (split,) = boost.trees[0].splits
     assert split[4] == list(range(66_001, n + 1))
+
+
+@pytest.mark.parametrize("run", [1, 70])
+def test_wide_features_have_the_same_trees(spark, monkeypatch, run):
+    """Features whose sums are made by runs of rows against those that are added up in place."""
+    df = frame(spark, rows_of(9)).repartition(3)
+    binning = b.Binning.fit(df, **HOME, category_rows=1)
+    fit = lambda: b.Boost("logistic", 3, 3, min_rows=10).fit(binning.apply(df), "late", binning.widths, 2).state()
+    one = fit()
+    monkeypatch.setattr(b, "CELLS", 12)
+    monkeypatch.setattr(b, "RUN", run)
+    assert fit() == one
