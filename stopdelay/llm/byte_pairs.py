@@ -27,7 +27,9 @@ from .shared import free, sliced, table
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 NEVER = 1 << 60
 #: Encodings of words that a worker remembers, twice so many at most, of at most so many characters; pairs of tokens likewise.
-REMEMBERED, WORD_CHARS, PAIRS = 1 << 17, 48, 1 << 20
+REMEMBERED, WORD_CHARS, PAIRS = 1 << 18, 48, 1 << 20
+#: Bytes of a word up to which only the prefixes are looked at that its encoding may need.
+SHORT = 256
 SPACE = regex.compile(r"\s")
 
 
@@ -50,6 +52,7 @@ class BytePairs(dict):
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.begins = {token[:n] for token in ranks for n in range(1, len(token) + 1)}
+        self.ends = dict.fromkeys((token[n:] for token in ranks for n in range(1, len(token))), -1) | ranks
         self.longest = max(map(len, ranks))
         self.fitting: dict[int, bool] = {}
         self.grown: dict[int, tuple[list, list] | None] = {}
@@ -117,6 +120,37 @@ class BytePairs(dict):
                         last[to] = token
         return last
 
+    def last_token(self, data: bytes, n: int, known: dict[int, int]) -> int:
+        """The last token of the prefix of n bytes, by those of the shorter prefixes that it may stand behind; known takes
+        what was found, {0: -1} at first. Just one token fits, so the longest is tried first and the others seldom."""
+        ends, fitting, found = self.ends, self.fitting, []
+        for at in range(n - 1, -1, -1):
+            token = ends.get(data[at:n])
+            if token is None:
+                break
+            if token >= 0:
+                found.append((at, token))
+        for at, token in reversed(found):
+            before = known.get(at)
+            if before is None:
+                before = self.last_token(data, at, known)
+            fit = fitting.get((before + 1 << 32) | token)
+            if fit or (fit is None and self.fits(before, token)):
+                known[n] = token
+                return token
+        raise ValueError("no token fits")
+
+    def short_path(self, data: bytes) -> list[int]:
+        """path(last_tokens(data)) of a short word, from its end."""
+        known, at, ids = {0: -1}, len(data), []
+        if at:
+            self.last_token(data, at, known)
+        while at:
+            ids.append(known[at])
+            at -= len(self.tokens[known[at]])
+        ids.reverse()
+        return ids
+
     def path(self, last: list[int]) -> list[int]:
         """The encoding of the whole, from the last tokens of its prefixes."""
         at, ids = len(last) - 1, []
@@ -146,7 +180,7 @@ class BytePairs(dict):
         if ids is None:
             data = word.encode()
             whole = self.ranks.get(data)  # a word that is a token is that one, whatever merging gives
-            path = [whole] if whole is not None else self.path(self.last_tokens(data))
+            path = [whole] if whole is not None else self.short_path(data) if len(data) <= SHORT else self.path(self.last_tokens(data))
             ids = pack(f"<{len(path)}i", *path)
         if len(word) <= WORD_CHARS:
             if len(self) >= REMEMBERED:  # words of the last two rounds are known

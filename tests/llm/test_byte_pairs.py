@@ -123,3 +123,19 @@ def test_query_against_the_library(spark, library):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode())))
     assert sorted(map(tuple, b.op13_byte_bpe(spark, D).collect())) == sorted(want)
+
+
+def test_short_words_from_their_ends(pairs):
+    """The same encodings with few prefixes looked at, of any ranks too."""
+    for seed in range(150):
+        r = random.Random(seed)
+        letters = b"ab" if seed % 3 else b"abc"
+        p = b.BytePairs(some_ranks(r, letters))
+        for _ in range(20):
+            data = bytes(r.choices(letters, k=r.randint(0, 40)))
+            assert p.short_path(data) == p.path(p.last_tokens(data)) == merged(data, p.ranks)
+    known = {0: -1}
+    pairs.last_token(b" internationalisations", 22, known)
+    assert len(known) < 12
+    for word in ["x" * b.SHORT, "9f" * (b.SHORT // 2), "漢字" * 42, "a" * (b.SHORT + 1)]:
+        assert pairs.short_path(word.encode()) == pairs.path(pairs.last_tokens(word.encode()))
