@@ -235,3 +235,10 @@ def test_wide_features_have_the_same_trees(spark, monkeypatch, run):
     monkeypatch.setattr(b, "CELLS", 12)
     monkeypatch.setattr(b, "RUN", run)
     assert fit() == one
+
+
+def test_bins_keep_only_what_is_asked_for(spark):
+    df = frame(spark, rows_of(10))
+    binning = b.Binning.fit(df, **HOME, category_rows=1)
+    some = binning.apply(df, only=["late"])
+    assert some.columns == ["late", "bins"] and sorted(map(str, some.collect())) == sorted(map(str, binning.apply(df).select("late", "bins").collect()))
