@@ -2,8 +2,10 @@
 
 import itertools
 import json
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from stopdelay.operators.quantiles import from_keys, grouped_quantile, ordered_keys
 from stopdelay.plans import boosting as b
 from stopdelay.plans import models as pm
+from stopdelay.queries import QUERIES, SQL
+from tests.oracle import compare
 
 HOME = {"numeric": ["x", "z"], "categorical": ["name"]}
 
@@ -225,6 +229,18 @@ def test_more_categories_than_sixteen_bits_tell_apart(spark):
     assert split[4] == list(range(66_001, n + 1))
 
 
+def test_root_split_of_more_names_than_sixteen_bits_tell_apart(spark, tmp_path):
+    """The query beside its SQL: 66,000 train numbers with 20 or 21 stops each, all of them for training."""
+    d, names = "/root/testdata/sf0.001", 66_000
+    for x in os.listdir(d):
+        if x != "events.parquet":
+            os.symlink(f"{d}/{x}", tmp_path / x)
+    rows = f"SELECT i AS event_id, TIMESTAMP '2024-01-02 00:00:00' + to_seconds(i % 1500000) AS ts, i % {names} AS user_id, 'view' AS event_type, (i * 7919 % 1009) / 10 AS value FROM range({21 * names}) r(i)"
+    duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    ok, what = compare(spark, str(tmp_path), QUERIES["root_split"], SQL["root_split"])
+    assert ok, what
+
+
 @pytest.mark.parametrize("run", [1, 70])
 def test_wide_features_have_the_same_trees(spark, monkeypatch, run):
     """Features whose sums are made by runs of rows against those that are added up in place."""
