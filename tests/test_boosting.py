@@ -258,3 +258,79 @@ def test_bins_keep_only_what_is_asked_for(spark):
     binning = b.Binning.fit(df, **HOME, category_rows=1)
     some = binning.apply(df, only=["late"])
     assert some.columns == ["late", "bins"] and sorted(map(str, some.collect())) == sorted(map(str, binning.apply(df).select("late", "bins").collect()))
+
+
+@pytest.mark.parametrize("loss,target", [("logistic", "late"), (0.9, "delay")])
+@pytest.mark.parametrize("leaves", [None, 6])
+def test_rows_dealt_to_tasks_have_the_trees_of_one_task(spark, monkeypatch, loss, target, leaves):
+    """In blocks of seven rows, with sums side by side and with those that occur, and written after each two trees."""
+    df = frame(spark, rows_of(11)).repartition(3)
+    binning = b.Binning.fit(df, **HOME, category_rows=1)
+    fit = lambda: b.Boost(loss, 5, 4, 0.3, min_rows=10, leaves=leaves).fit(binning.apply(df), target, binning.widths, 2).state()
+    one = fit()
+    monkeypatch.setattr(b, "ALONE", 0)
+    monkeypatch.setattr(b, "RUN", 7)
+    monkeypatch.setattr(b, "WRITTEN", 2)
+    for cells in (12, 1 << 14):
+        monkeypatch.setattr(b, "CELLS", cells)
+        assert json.dumps(fit()) == json.dumps(one)
+    assert len(one["trees"]) == 5 and all(t["splits"] for t in one["trees"])
+
+
+def test_leaves_are_split_best_first(spark):
+    """Against splitting one leaf after the other, the best one each time; no depth limits it."""
+    df = frame(spark, rows_of(12, 900))
+    binning = b.Binning.fit(df, **HOME, category_rows=1)
+    boost = b.Boost("logistic", 3, None, 0.3, min_rows=10, leaves=9).fit(binning.apply(df), "late", binning.widths, 2)
+    local = binning.apply(df.coalesce(1)).select("bins", F.col("late").cast("double").alias("y")).toArrow()
+    bins, y = b.bins_of(local.column("bins").combine_chunks(), 3), local.column("y").to_numpy()
+    f, nodes = np.full(len(y), boost.base), set()
+    for tree in boost.trees:
+        g, h = boost.gradients(y, f)
+        best = lambda rows: split_by_hand(bins[rows], g[rows], h[rows], 2, boost.l2, boost.min_rows)
+        leaves = {1: (np.arange(len(y)), best(np.arange(len(y))))}
+        splits = []
+        while len(leaves) < 9 and any(x for _, x in leaves.values()):
+            node = max((n for n, (_, x) in leaves.items() if x), key=lambda n: (leaves[n][1][0], -n))
+            rows, x = leaves.pop(node)
+            splits.append((node, x[1], int(x[2]), x[3], x[4]))
+            for child, own in ((2 * node, rows[x[5]]), (2 * node + 1, rows[~x[5]])):
+                leaves[child] = own, best(own)
+        assert tree.splits == sorted(splits) and len(tree.splits) == 8
+        nodes |= {s[0] for s in splits}
+        for node, (rows, _) in leaves.items():
+            assert tree.values[node] == pytest.approx(-0.3 * (int(g[rows].sum()) / b.UNIT) / (int(h[rows].sum()) / b.UNIT + 1.0), abs=1e-12)
+        f = f + tree.score(bins)
+    assert len(boost.trees) == 3 and max(nodes) > 8  # not level by level
+
+
+def test_no_bins_and_slices():
+    import pyarrow as pa
+
+    rows = np.arange(12, dtype=np.uint32).reshape(4, 3)
+    column = pa.array([x.tobytes() for x in rows], pa.binary())
+    assert (b.bins_of(column, 3) == rows).all() and (b.bins_of(column.slice(1, 2), 3) == rows[1:3]).all()
+    assert b.bins_of(column.slice(4), 3).shape == (0, 3)
+
+
+def jobs(spark, name, run):
+    """What run returns, with the number of Spark jobs that it started."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        return run(), len(sc.statusTracker().getJobIdsForGroup(name))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_of_a_championship(spark):
+    """Few rows are fitted without a job a level, and the verdict is there when it's read, nothing is scored again."""
+    df = frame(spark, rows_of(13)).select("x", "z", F.col("name").alias("train_number"), (F.col("late") == 1).alias("target_delayed6"), F.col("delay").alias("target_delay_min"), F.when(F.col("x") % 3 == 0, "eval").otherwise("train").alias("fold_month"))
+    binning = pm.fit_binning(df, ["x", "z"])
+    binned = binning.apply(df)
+    boost, n = jobs(spark, "fit", lambda: pm.fit_classifier(binned, binning, 10, depth=3))
+    assert len(boost.trees) == 10 and n < 10
+    champion = pm.Bundle("v1", ["x"]).fit(df.where("fold_month = 'train'"), 1, 1)
+    verdict, _ = pm.championship(champion, df, ["train"], "eval", ["train", "eval"], ["x", "z", "train_number"], 1, 1)
+    rows, n = jobs(spark, "verdict", verdict.collect)
+    assert len(rows) == 1 and n == 1
