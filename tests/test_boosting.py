@@ -328,9 +328,33 @@ def test_jobs_of_a_championship(spark):
     df = frame(spark, rows_of(13)).select("x", "z", F.col("name").alias("train_number"), (F.col("late") == 1).alias("target_delayed6"), F.col("delay").alias("target_delay_min"), F.when(F.col("x") % 3 == 0, "eval").otherwise("train").alias("fold_month"))
     binning = pm.fit_binning(df, ["x", "z"])
     binned = binning.apply(df)
-    boost, n = jobs(spark, "fit", lambda: pm.fit_classifier(binned, binning, 10, depth=3))
+    boost, n = jobs(spark, "fit", lambda: pm.fit_classifier(binned, binning, 10, depth=3, min_rows=20))
     assert len(boost.trees) == 10 and n < 10
     champion = pm.Bundle("v1", ["x"]).fit(df.where("fold_month = 'train'"), 1, 1)
     verdict, _ = pm.championship(champion, df, ["train"], "eval", ["train", "eval"], ["x", "z", "train_number"], 1, 1)
     rows, n = jobs(spark, "verdict", verdict.collect)
     assert len(rows) == 1 and n == 1
+
+
+def test_clf_scores_come_from_the_whole_classifier(spark, monkeypatch):
+    """300 trees of 127 leaves at most, none with fewer than 100 rows."""
+    from stopdelay.queries import models as q
+
+    n, fitted, fit = 3000, [], b.Boost.fit
+
+    def record(self, *args):
+        fitted.append(fit(self, *args))
+        return self
+
+    columns = [F.when(F.col("id") % 3 == 0, "eval").otherwise("train").alias("fold_month"), (F.hash("id") % 3 == 0).alias("target_delayed6")]
+    df = spark.range(n).select(F.col("id").cast("string").alias("id"), F.sin("id").alias("x"), (F.col("id") % 12).cast("string").alias("station_name"), *columns)
+    monkeypatch.setattr(q, "FEATURES", ["x", "station_name"])
+    monkeypatch.setattr(q, "frame", lambda spark, d: df)
+    monkeypatch.setattr(b.Boost, "fit", record)
+    assert q.clf_scores(spark, "").count() == n // 3
+    (boost,) = fitted
+    assert (boost.rounds, boost.leaves, boost.min_rows, boost.depth) == (300, 127, 100, None) and len(boost.trees) == 300
+    local = q.pm.fit_binning(df.where("fold_month = 'train'"), q.FEATURES).apply(df.where("fold_month = 'train'")).toArrow().column("bins").combine_chunks()
+    cols = list(np.ascontiguousarray(b.bins_of(local, 2).T))
+    leaves = [[len(x) for x in b.routed(cols, len(cols[0]), t.packed()).values()] for t in boost.trees]
+    assert all(min(x) >= 100 and sum(x) == 2 * n // 3 for x in leaves) and max(len(x) for x in leaves) > 8
